@@ -66,18 +66,22 @@ def visit_gaps(daily_df: DataFrame) -> DataFrame:
 
 
 def irregularity(gaps: Column) -> dict[str, Column]:
-    """L1 and L2 spread of gaps around their mean, null below two gaps."""
-    n = F.size(gaps)
-    mean = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + g) / n
-    valid = (n >= 2) & (mean > 1e-10)
-    l1 = F.aggregate(gaps, F.lit(0.0), lambda a, g: a + F.abs(g / mean - 1)) / n
-    l2 = F.sqrt(
-        F.aggregate(gaps, F.lit(0.0), lambda a, g: a + (g / mean - 1) * (g / mean - 1)) / n
+    """L1 and L2 spread of gaps around their mean, null below two gaps.
+
+    With n gaps summing to s, g / mean - 1 equals (n * g - s) / s. The integer
+    numerators make both scores independent of the order of the gaps.
+    """
+    n = F.size(gaps).cast("bigint")
+    total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g)
+    absolute = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + F.abs(n * g - total))
+    squared = F.aggregate(
+        gaps, F.lit(0).cast("bigint"), lambda a, g: a + (n * g - total) * (n * g - total)
     )
+    valid = (n >= 2) & (total > 0)
     return {
-        "irregularity_l1": F.when(valid, l1),
-        "irregularity_l2": F.when(valid, l2),
-        "central_diff": F.when(valid, mean),
+        "irregularity_l1": F.when(valid, absolute / (n * total)),
+        "irregularity_l2": F.when(valid, F.sqrt(squared / n) / total),
+        "central_diff": F.when(valid, total / n),
     }
 
 
@@ -188,7 +192,7 @@ def person_year_features(
         F.count("date").alias("days_observed"),
         F.sum("visit_count").alias("visit_count"),
         F.sum("hospitalized_flag").cast("bigint").alias("hospitalized_days"),
-        F.sort_array(F.collect_list("gap_days")).alias("_gaps"),
+        F.collect_list("gap_days").alias("_gaps"),
         F.min(active_date).alias("_first_active"),
         F.max(active_date).alias("_last_active"),
         F.max("cci_total").alias("max_cci"),

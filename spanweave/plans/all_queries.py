@@ -1,6 +1,6 @@
 """Importing this module registers every query."""
 
-from . import timeline_queries  # noqa: F401
+from . import rule_queries, timeline_queries  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["QUERIES", "ORACLES"]

@@ -194,12 +194,12 @@ SELECT person_id, year(date) AS year, date_diff('day',
 FROM daily WHERE visit_count > 0""")
 
 block("regularity", "gap", """
-SELECT person_id, year, sum(abs(gap / m - 1)) / count(*) AS irregularity_l1,
-       sqrt(sum((gap / m - 1) * (gap / m - 1)) / count(*)) AS irregularity_l2,
-       max(m) AS central_diff
-FROM (SELECT *, avg(gap) OVER (PARTITION BY person_id, year) AS m,
+SELECT person_id, year, CAST(sum(abs(gap * n - s)) AS DOUBLE) / max(n * s) AS irregularity_l1,
+       sqrt(CAST(sum((gap * n - s) * (gap * n - s)) AS DOUBLE) / max(n)) / max(s) AS irregularity_l2,
+       CAST(max(s) AS DOUBLE) / max(n) AS central_diff
+FROM (SELECT *, CAST(sum(gap) OVER (PARTITION BY person_id, year) AS BIGINT) AS s,
              count(gap) OVER (PARTITION BY person_id, year) AS n FROM gap WHERE gap IS NOT NULL) AS g
-WHERE n >= 2 AND m > 1e-10 GROUP BY 1, 2""")
+WHERE n >= 2 AND s > 0 GROUP BY 1, 2""")
 
 block("volume", "daily", """
 SELECT person_id, year(date) AS year, min(date) AS year_first_date, max(date) AS year_last_date,
