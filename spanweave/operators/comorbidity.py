@@ -86,12 +86,10 @@ def clean_code(col: Column) -> Column:
     return F.upper(F.regexp_replace(col, r"\.", ""))
 
 
-def is_v_code_to_drop(code: Column, vocab: Column) -> Column:
+def is_v_code_to_drop(code: str, vocab: str) -> Column:
     """True or unknown for V-codes in ICD10CM or without vocabulary."""
-    like = F.lit(False)
-    for pattern in V_CODE_PATTERNS:
-        like = like | code.like(pattern)
-    return like & (vocab == "ICD10CM")
+    like = " OR ".join(f"{code} LIKE '{pattern}'" for pattern in V_CODE_PATTERNS)
+    return F.expr(f"({like}) AND {vocab} = 'ICD10CM'")
 
 
 def with_groups(df: DataFrame, code_col: str = "code", variant: str = "main") -> DataFrame:
@@ -113,40 +111,34 @@ def with_groups(df: DataFrame, code_col: str = "code", variant: str = "main") ->
         probe = F.substring(code_col, 1, length) if length else F.col(code_col)
         df = df.join(F.broadcast(table), probe == F.col(key), "left").drop(key)
         found.append(hit)
-    second = F.lit(None).cast("int")
-    for group, text in SECOND_GROUP.items():
-        hit = F.lit(False)
-        for prefix in text.split():
-            hit = hit | F.col(code_col).startswith(prefix)
-        second = F.when(hit, F.lit(group)).otherwise(second)
+    seconds = " ".join(
+        "WHEN " + " OR ".join(f"startswith({code_col}, '{p}')" for p in text.split()) + f" THEN {group}"
+        for group, text in SECOND_GROUP.items()
+    )
     return df.withColumns(
-        {"cc_group": F.coalesce(F.least(*found), F.lit(0)), "cc_second": second}
+        {
+            "cc_group": F.expr(f"coalesce(least({', '.join(found)}), 0)"),
+            "cc_second": F.expr(f"CASE {seconds} END"),
+        }
     ).drop(*found)
 
 
-def _bit(group: str) -> Column:
-    return F.call_function("shiftleft", F.lit(1).cast("bigint"), F.col(group))
-
+def _flag_text(mask: str, group: int) -> str:
+    return f"CAST(shiftright({mask}, {group}) & 1 AS INT)"
 
-def _no_bits() -> Column:
-    return F.lit(0).cast("bigint")
 
-
-def flag(mask: Column | str, group: int) -> Column:
-    mask = F.col(mask) if isinstance(mask, str) else mask
-    return F.shiftright(mask, group).bitwiseAND(F.lit(1)).cast("int")
+def flag(mask: str, group: int) -> Column:
+    return F.expr(_flag_text(mask, group))
 
 
 def flag_columns(mask: str = "cci_mask") -> dict[str, Column]:
     return {f"cci_{name}": flag(mask, g) for g, name in enumerate(CCI_NAMES, start=1)}
 
 
-def score(mask: Column | str) -> Column:
+def score(mask: str) -> Column:
     """Weighted sum of the groups present; no hierarchy between related groups."""
-    total = F.lit(0)
-    for group, weight in enumerate(CCI_WEIGHTS, start=1):
-        total = total + flag(mask, group) * weight
-    return total
+    terms = [f"{w} * {_flag_text(mask, g)}" for g, w in enumerate(CCI_WEIGHTS, start=1)]
+    return F.expr(" + ".join(terms))
 
 
 def visit_scores(events: DataFrame, visits: DataFrame, variant: str = "main") -> DataFrame:
@@ -163,11 +155,13 @@ def visit_scores(events: DataFrame, visits: DataFrame, variant: str = "main") ->
         & F.col("visit_occurrence_id").isNotNull()
         & F.col("source_code").isNotNull()
     ).select("visit_occurrence_id", year, clean_code(F.col("source_code")).alias("code"), "vocab_id")
-    kept = with_groups(coded.filter(~is_v_code_to_drop(F.col("code"), F.col("vocab_id"))), "code", variant)
-    first = F.when(F.col("cc_group") > 0, _bit("cc_group")).otherwise(_no_bits())
-    second = F.when(F.col("cc_second").isNotNull(), _bit("cc_second")).otherwise(_no_bits())
+    kept = with_groups(coded.filter(~is_v_code_to_drop("code", "vocab_id")), "code", variant)
+    bits = F.expr(
+        "if(cc_group > 0, shiftleft(1L, cc_group), 0L) | "
+        "if(cc_second IS NOT NULL, shiftleft(1L, cc_second), 0L)"
+    )
     masks = (
-        kept.withColumn("mask", first.bitwiseOR(second))
+        kept.withColumn("mask", bits)
         .filter("mask <> 0")
         .groupBy("visit_occurrence_id", "cal_year")
         .agg(F.bit_or("mask").alias("cci_mask"))

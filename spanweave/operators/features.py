@@ -65,23 +65,21 @@ def visit_gaps(daily_df: DataFrame) -> DataFrame:
     return daily_df.withColumn("gap_days", F.when(active, F.datediff("date", previous)))
 
 
-def irregularity(gaps: Column) -> dict[str, Column]:
+def irregularity(gaps: str, count: str, total: str) -> dict[str, Column]:
     """L1 and L2 spread of gaps around their mean, null below two gaps.
 
     With n gaps summing to s, g / mean - 1 equals (n * g - s) / s. The integer
     numerators make both scores independent of the order of the gaps.
     """
-    n = F.size(gaps).cast("bigint")
-    total = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + g)
-    absolute = F.aggregate(gaps, F.lit(0).cast("bigint"), lambda a, g: a + F.abs(n * g - total))
-    squared = F.aggregate(
-        gaps, F.lit(0).cast("bigint"), lambda a, g: a + (n * g - total) * (n * g - total)
-    )
-    valid = (n >= 2) & (total > 0)
+    n, s = F.col(count), F.col(total)
+    zero = F.lit(0).cast("bigint")
+    absolute = F.aggregate(gaps, zero, lambda a, g: a + F.abs(n * g - s))
+    squared = F.aggregate(gaps, zero, lambda a, g: a + (n * g - s) * (n * g - s))
+    valid = (n >= 2) & (s > 0)
     return {
-        "irregularity_l1": F.when(valid, absolute / (n * total)),
-        "irregularity_l2": F.when(valid, F.sqrt(squared / n) / total),
-        "central_diff": F.when(valid, total / n),
+        "irregularity_l1": F.when(valid, absolute / (n * s)),
+        "irregularity_l2": F.when(valid, F.sqrt(squared / n) / s),
+        "central_diff": F.when(valid, s / n),
     }
 
 
@@ -193,13 +191,15 @@ def person_year_features(
         F.sum("visit_count").alias("visit_count"),
         F.sum("hospitalized_flag").cast("bigint").alias("hospitalized_days"),
         F.collect_list("gap_days").alias("_gaps"),
+        F.count("gap_days").alias("_gap_n"),
+        F.sum("gap_days").alias("_gap_sum"),
         F.min(active_date).alias("_first_active"),
         F.max(active_date).alias("_last_active"),
         F.max("cci_total").alias("max_cci"),
         F.bit_or("cci_mask").alias("cci_mask"),
         *totals,
     )
-    scored = base.withColumns(irregularity(F.col("_gaps")))
+    scored = base.withColumns(irregularity("_gaps", "_gap_n", "_gap_sum"))
     scored = scored.withColumn(
         "has_valid_regularity", F.when(F.col("irregularity_l1").isNotNull(), 1).otherwise(0)
     )

@@ -19,15 +19,17 @@ def archetype(
     ip, vc = F.col(inpatient), F.col(visits)
     s = F.coalesce(F.col(score), F.lit(1.0))
     regular = s < threshold
-    pace = F.when(regular, "Regular").otherwise("Irregular")
+    pace = F.when(regular, "regular").otherwise("irregular")
     label = (
         F.when(ip >= 2, "Multiple Complex Episodes")
         .when(ip == 1, "Sporadic Complex Episodes")
         .when(vc <= 1, "Sparse Use")
-        .when(vc >= 4, F.concat(pace, F.lit(" Frequent")))
-        .otherwise(F.concat(pace, F.lit(" Infrequent")))
+        .when((vc >= 4) & regular, "Regular Frequent")
+        .when(vc >= 4, "Irregular Frequent")
+        .when(regular, "Regular Infrequent")
+        .otherwise("Irregular Infrequent")
     )
-    tail = F.format_string(" visits + %s (score=%.2f)", F.lower(pace), s)
+    tail = F.format_string(" visits + %s (score=%.2f)", pace, s)
     reason = (
         F.when(ip >= 2, F.format_string("IP visits >= 2 (n=%d)", ip))
         .when(ip == 1, "1 IP visit")

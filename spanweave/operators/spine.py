@@ -95,27 +95,22 @@ def keyed_counts(events: DataFrame, days: DataFrame) -> DataFrame:
 
 
 def _domain_aggregates(domain: str) -> list[Column]:
-    mine = (F.col("tag") == domain) & F.col("key").isNotNull()
-    zero = mine & (F.col("key") == 0)
+    mine = f"tag = '{domain}' AND key IS NOT NULL"
     return [
-        F.sum(F.when(mine, F.col("n")).otherwise(0)).alias(f"{domain}_count"),
-        F.count_if(mine).alias(f"{domain}_unique_ct"),
-        F.sum(F.when(zero, F.col("n")).otherwise(0)).alias(f"{domain}_nomatch_ct"),
+        F.expr(f"sum(CASE WHEN {mine} THEN n ELSE 0 END) AS {domain}_count"),
+        F.expr(f"count_if({mine}) AS {domain}_unique_ct"),
+        F.expr(f"sum(CASE WHEN {mine} AND key = 0 THEN n ELSE 0 END) AS {domain}_nomatch_ct"),
     ]
 
 
-def _total(suffix: str) -> Column:
-    total = F.col(f"{DOMAINS[0]}_{suffix}")
-    for d in DOMAINS[1:]:
-        total = total + F.col(f"{d}_{suffix}")
-    return total
-
-
 def totals() -> dict[str, Column]:
+    def total(suffix: str) -> Column:
+        return F.expr(" + ".join(f"{d}_{suffix}" for d in DOMAINS))
+
     return {
-        "total_data_points": _total("count"),
-        "total_unique_concepts": _total("unique_ct"),
-        "total_nomatch_concepts": _total("nomatch_ct"),
+        "total_data_points": total("count"),
+        "total_unique_concepts": total("unique_ct"),
+        "total_nomatch_concepts": total("nomatch_ct"),
     }
 
 

@@ -8,8 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from ..operators import comorbidity, features, rules, spine
+from ..functions.constants import GMM4_LABELS, GMM7_LABELS
+from ..functions.stability import settle
+from ..operators import comorbidity, concordance, features, mixture, rules, spine
 from ..sources import lens
+from . import fixed_models
 
 
 class Lab:
@@ -43,6 +46,50 @@ class Lab:
     def rules(self) -> DataFrame:
         return rules.classify(self.features)
 
+    @cached_property
+    def labelled(self) -> DataFrame:
+        """Features with rule, 4- and 7-component labels and the cohort."""
+        scored = mixture.predict(self.rules, fixed_models.model_4(), "gmm_4", GMM4_LABELS)
+        scored = mixture.predict(scored, fixed_models.model_7(), "gmm_7", GMM7_LABELS)
+        cohort = F.when(F.col("person_id") % 3 == 0, "cohort_2a").otherwise("cohort_1")
+        return scored.withColumn("cohort", cohort)
+
+    @cached_property
+    def relabels(self) -> dict[str, DataFrame]:
+        return {
+            m: concordance.relabel(
+                concordance.composition(self.stored_labels, f"{m}_cluster", "archetype"), f"{m}_cluster"
+            )
+            for m in ("gmm_4", "gmm_7")
+        }
+
+    @cached_property
+    def relabelled(self) -> DataFrame:
+        """Labelled rows plus reference-based names and a second rule run (threshold 0.4)."""
+        second, _ = rules.archetype(threshold=0.4)
+        df = self.stored_labels.withColumn("archetype_adaptive", second)
+        for method, names in self.relabels.items():
+            df = concordance.apply_labels(df, names, method)
+        return df
+
+    @cached_property
+    def stored_labels(self) -> DataFrame:
+        """Labelled rows behind a checkpoint, for operators that make several passes."""
+        return settle(self.labelled)
+
+    @cached_property
+    def stored_features(self) -> DataFrame:
+        """Features behind a checkpoint, for operators that make several passes."""
+        return settle(self.features)
+
+
+METHOD_COLUMNS = {
+    "rules_vanilla": "archetype",
+    "rules_adaptive": "archetype_adaptive",
+    "gmm_4": "gmm_4_relabeled",
+    "gmm_7": "gmm_7_relabeled",
+}
+
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round the double columns, so results do not depend on summation order."""

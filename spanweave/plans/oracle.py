@@ -9,6 +9,7 @@ from __future__ import annotations
 from ..functions.constants import CCI_NAMES, CCI_WEIGHTS, DOMAINS
 from ..operators.comorbidity import GROUP_CODES, SECOND_GROUP
 from ..sources import lens
+from . import fixed_models
 
 
 def _list(values) -> str:
@@ -255,6 +256,65 @@ FROM (SELECT *, CAST(sum(archetype_changed) OVER (PARTITION BY person_id ORDER B
                   FROM rule) AS a) AS b) AS c""")
 
 
+block("score4", "feature", fixed_models.scores_sql("feature", fixed_models.WEIGHTS_4, fixed_models.MEANS_4, "f"))
+block("score7", "score4", fixed_models.scores_sql(
+    "(SELECT * EXCLUDE (x0, x1, x2, x3, x4, x5) FROM score4) AS s4",
+    fixed_models.WEIGHTS_7, fixed_models.MEANS_7, "g"))
+block("labelled", "score7", f"""
+SELECT *, {rule_case('0.5')} AS archetype, {fixed_models.argmax_sql(4, 'f')} AS gmm_4_cluster,
+       {fixed_models.argmax_sql(7, 'g')} AS gmm_7_cluster,
+       CASE WHEN person_id % 3 = 0 THEN 'cohort_2a' ELSE 'cohort_1' END AS cohort
+FROM score7""")
+
+
+def _relabel(cluster: str) -> str:
+    return f"""
+SELECT {cluster}, max(first) AS dominant_or_first, max(p1) AS purity,
+       CASE WHEN max(p1) >= 50 THEN max(first)
+            WHEN sum(pct) FILTER (WHERE r <= 2) >= 50
+                 THEN max(first) || coalesce(' + ' || max(second), '')
+            ELSE 'Mixed' END AS relabeled,
+       CASE WHEN max(p1) >= 50 THEN max(first) END AS dominant
+FROM (SELECT *, CASE WHEN r = 1 THEN archetype END AS first, CASE WHEN r = 2 THEN archetype END AS second,
+             CASE WHEN r = 1 THEN pct END AS p1
+      FROM (SELECT *, row_number() OVER (PARTITION BY {cluster} ORDER BY pct DESC, archetype) AS r
+            FROM (SELECT {cluster}, archetype,
+                         count(*) * 100.0 / sum(count(*)) OVER (PARTITION BY {cluster}) AS pct
+                  FROM labelled GROUP BY 1, 2) AS a) AS b) AS c GROUP BY 1"""
+
+
+block("relabel4", "labelled", _relabel("gmm_4_cluster"))
+block("relabel7", "labelled", _relabel("gmm_7_cluster"))
+block("relabelled", "relabel4 relabel7", f"""
+SELECT l.*, {rule_case('0.4')} AS archetype_adaptive, r4.relabeled AS gmm_4_relabeled,
+       r7.relabeled AS gmm_7_relabeled
+FROM labelled l JOIN relabel4 r4 ON l.gmm_4_cluster = r4.gmm_4_cluster
+JOIN relabel7 r7 ON l.gmm_7_cluster = r7.gmm_7_cluster""")
+_METHODS = {"gmm_4": "gmm_4_relabeled", "gmm_7": "gmm_7_relabeled",
+            "rules_adaptive": "archetype_adaptive", "rules_vanilla": "archetype"}
+_NAMES = ["rules_vanilla", "rules_adaptive", "gmm_4", "gmm_7"]
+block("pair", "relabelled", " UNION ALL ".join(
+    f"SELECT '{m1}' AS method1, '{m2}' AS method2, {_METHODS[m1]} AS a, {_METHODS[m2]} AS b FROM relabelled"
+    for i, m1 in enumerate(_NAMES) for m2 in _NAMES[i + 1:]))
+block("cell", "pair", """
+SELECT *, sum(n) OVER (PARTITION BY method1, method2, a) AS row_n,
+       sum(n) OVER (PARTITION BY method1, method2, b) AS col_n,
+       sum(n) OVER (PARTITION BY method1, method2) AS total
+FROM (SELECT method1, method2, a, b, count(*) AS n FROM pair GROUP BY 1, 2, 3, 4) AS p""")
+block("ari", "cell", """
+SELECT c.method1, c.method2, c.agreement, c.n_rows,
+       (c.both_n - r.x * k.x / (c.n_rows * (c.n_rows - 1) / 2.0))
+         / ((r.x + k.x) / 2.0 - r.x * k.x / (c.n_rows * (c.n_rows - 1) / 2.0)) AS ari
+FROM (SELECT method1, method2, sum(n * (n - 1) / 2.0) AS both_n, CAST(sum(n) AS BIGINT) AS n_rows,
+             coalesce(sum(n) FILTER (WHERE a = b), 0) * 1.0 / sum(n) AS agreement FROM cell GROUP BY 1, 2) AS c
+JOIN (SELECT method1, method2, sum(row_n * (row_n - 1) / 2.0) AS x
+      FROM (SELECT DISTINCT method1, method2, a, row_n FROM cell) AS q GROUP BY 1, 2) AS r
+  ON c.method1 = r.method1 AND c.method2 = r.method2
+JOIN (SELECT method1, method2, sum(col_n * (col_n - 1) / 2.0) AS x
+      FROM (SELECT DISTINCT method1, method2, b, col_n FROM cell) AS q GROUP BY 1, 2) AS k
+  ON c.method1 = k.method1 AND c.method2 = k.method2""")
+
+
 def compose(needs: str, final: str) -> str:
     """A full query: the needed blocks in dependency order, then ``final``."""
     ordered: list[str] = []

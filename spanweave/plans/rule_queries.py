@@ -78,7 +78,7 @@ def training_sample(lab: Lab) -> DataFrame:
     return sampling.with_training_flag(lab.features).select("person_id", "year", "training_data")
 
 
-_SAMPLE = compose("feature", f"""
+SAMPLE_SQL = compose("feature", f"""
 , s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id
         ORDER BY {_ORDER_KEY}, year) AS rn FROM feature) AS f WHERE rn = 1)""")
 
@@ -87,7 +87,7 @@ def _curve_sql(source: str) -> str:
     cells = ", ".join(
         f"count(*) FILTER (WHERE a = '{a}') AS \"{a}\"" for a in ARCHETYPES
     )
-    return f"""{_SAMPLE},
+    return f"""{SAMPLE_SQL},
 g AS (SELECT CAST(i * 0.05 AS DOUBLE) AS threshold FROM range(0, 21) AS r(i)),
 c AS (SELECT round(threshold, 6) AS threshold, {rule_case('round(threshold, 6)')} AS a FROM {source}, g)
 SELECT threshold, {cells}, count(*) AS total FROM c GROUP BY 1"""
@@ -131,7 +131,7 @@ def stability_curve(lab: Lab) -> DataFrame:
 
 @query("threshold_choice")
 def threshold_choice(lab: Lab) -> DataFrame:
-    return tuning.choice_row(lab.spark, tuning.find_threshold(lab.features, "L1"))
+    return tuning.choice_row(lab.spark, tuning.find_threshold(lab.stored_features, "L1"))
 
 
 @query("null_score_audit", compose("feature", """
@@ -155,7 +155,7 @@ SELECT person_id, {_YEAR}, {rule_case('0.4')} AS archetype, round(
             / greatest(0.1, CASE WHEN visit_count >= 4 THEN f ELSE i END)) END, 6) AS archetype_confidence
 FROM feature, q"""))
 def adaptive_confidence(lab: Lab) -> DataFrame:
-    return tuning.adaptive(lab.features, "L1", 0.4).select(
+    return tuning.adaptive(lab.stored_features, "L1", 0.4).select(
         "person_id", "year", "archetype", "archetype_confidence"
     )
 
@@ -178,12 +178,12 @@ SELECT count(*) AS n, round(stddev_samp(irregularity_l1) / avg(irregularity_l1),
   round(avg(CASE WHEN (irregularity_l1 > 0.7) = (irregularity_l2 > 0.7) THEN 1.0 ELSE 0.0 END), 6) AS agree_70
 FROM r, c"""))
 def penalty_stats(lab: Lab) -> DataFrame:
-    return tuning.penalty_stats(lab.features)
+    return tuning.penalty_stats(lab.stored_features)
 
 
 @query("penalty_choice")
 def penalty_choice(lab: Lab) -> DataFrame:
-    return tuning.choice_row(lab.spark, tuning.choose_penalty(lab.features))
+    return tuning.choice_row(lab.spark, tuning.choose_penalty(lab.stored_features))
 
 
 @query("js_divergence", _curve_sql("s").rsplit("g AS (SELECT CAST", 1)[0] + f"""
