@@ -83,13 +83,14 @@ def irregularity(gaps: str, count: str, total: str) -> dict[str, Column]:
     }
 
 
-def inpatient_visits(daily_df: DataFrame, days: DataFrame) -> DataFrame:
+def inpatient_visits(days: DataFrame) -> DataFrame:
     """Distinct visits present on hospitalised days, per person-year.
 
-    Any visit of such a day counts, also a same-day outpatient one. The
-    distinct count is keyed by visit, so a busy person is spread over tasks.
+    Any visit of such a day counts, also a same-day outpatient one. Only visit
+    days are needed, and the distinct count is keyed by visit, so a busy person
+    is spread over tasks.
     """
-    hospital = daily_df.filter("hospitalized_flag = 1").select("person_id", "date")
+    hospital = days.filter("is_hospitalized = 1").select("person_id", "date").distinct()
     return (
         days.filter(F.col("visit_occurrence_id").isNotNull())
         .join(hospital, ["person_id", "date"], "left_semi")
@@ -204,7 +205,7 @@ def person_year_features(
         "has_valid_regularity", F.when(F.col("irregularity_l1").isNotNull(), 1).otherwise(0)
     )
     scored = _comorbidity_columns(scored, cci)
-    full = scored.join(inpatient_visits(daily_df, days), ["person_id", "year"], "left").withColumn(
+    full = scored.join(inpatient_visits(days), ["person_id", "year"], "left").withColumn(
         "inpatient_visit_count", F.coalesce("inpatient_visit_count", F.lit(0).cast("bigint"))
     )
     columns = ["person_id", "year", "year_first_date", "year_last_date", "days_observed",

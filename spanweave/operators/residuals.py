@@ -134,7 +134,7 @@ def interaction_ols(rows: DataFrame, group: str, clusters: Sequence[int],
     others = [k for k in clusters if k != reference]
     gap = {k: F.col(f"v{k}") - F.col(f"v{reference}") for k in others}
     meat = persons.groupBy("outcome").agg(
-        F.count(F.lit(1)).cast("double").alias("g"),
+        F.count(F.lit(1)).cast("double").alias("_persons"),
         F.sum("n").cast("double").alias("n_obs"),
         F.array(*[F.struct(F.lit(k).alias(group), F.sum(gap[k] * gap[k]).alias("meat")) for k in others]).alias("m"),
     )
@@ -147,9 +147,9 @@ def interaction_ols(rows: DataFrame, group: str, clusters: Sequence[int],
         F.col("syy") + F.col("k_n") * (F.col("mean_y") - F.col("_grand")) * (F.col("mean_y") - F.col("_grand"))
     ).over(by_outcome)
     lines = lines.withColumn("r_squared", 1 - F.try_divide(within, total))
-    terms = meat.select("outcome", "g", "n_obs", F.inline("m"))
+    terms = meat.select("outcome", "_persons", "n_obs", F.inline("m"))
     p = 2 * len(clusters)
-    correction = F.col("g") / (F.col("g") - 1) * (F.col("n_obs") - 1) / (F.col("n_obs") - p)
+    correction = F.col("_persons") / (F.col("_persons") - 1) * (F.col("n_obs") - 1) / (F.col("n_obs") - p)
     return terms.join(lines, ["outcome", group]).select(
         "outcome",
         group,

@@ -221,7 +221,7 @@ def features_core(lab: Lab) -> DataFrame:
 SELECT person_id, CAST(year AS INTEGER) AS year, inpatient_visit_count FROM volume
 WHERE inpatient_visit_count > 0"""))
 def inpatient_visits(lab: Lab) -> DataFrame:
-    return features.inpatient_visits(lab.daily, lab.days)
+    return features.inpatient_visits(lab.days)
 
 
 @query("regularity", compose("feature", """

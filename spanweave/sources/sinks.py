@@ -78,6 +78,21 @@ def replace_by_key(df: DataFrame, path: str, key: str = "method") -> None:
     )
 
 
+def replace_partitions(df: DataFrame, table: str, key: str) -> None:
+    """Replace a table's partitions for the keys in ``df``; create the table if absent."""
+    spark = df.sparkSession
+    if not spark.catalog.tableExists(table):
+        overwrite(df, table, key)
+        return
+    setting = "spark.sql.sources.partitionOverwriteMode"
+    before = spark.conf.get(setting)
+    spark.conf.set(setting, "dynamic")  # insertInto takes the mode from the session only
+    try:
+        df.select(*spark.table(table).columns).write.mode("overwrite").insertInto(table)
+    finally:
+        spark.conf.set(setting, before)
+
+
 def tables_exist(spark: SparkSession, names: Iterable[str]) -> bool:
     return all(spark.catalog.tableExists(n) for n in names)
 
