@@ -191,6 +191,22 @@ def matrices(scores: DataFrame, methods: Sequence[str]) -> DataFrame:
     return one.unionByName(other).unionByName(diagonal)
 
 
+def consistency(scores: DataFrame, information: DataFrame, first: str = "rules_vanilla",
+                second: str = "rules_adaptive") -> DataFrame:
+    """ARI and AMI of two rule runs against each data-driven method, and their change."""
+    both = scores.select(*_PAIR, "ari").join(information.select(*_PAIR, "ami"), _PAIR)
+    wide = both.filter(
+        F.col("method1").isin(first, second) & ~F.col("method2").isin(first, second)
+    ).groupBy(F.col("method2").alias("method")).agg(
+        *[
+            F.max(F.when(F.col("method1") == run, F.col(v))).alias(f"{v}_{name}")
+            for v in ("ari", "ami")
+            for run, name in ((first, "vanilla"), (second, "adaptive"))
+        ]
+    )
+    return wide.withColumns({f"{v}_delta": F.col(f"{v}_adaptive") - F.col(f"{v}_vanilla") for v in ("ari", "ami")})
+
+
 # cluster composition ----------------------------------------------------
 
 

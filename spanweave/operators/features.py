@@ -65,20 +65,28 @@ def visit_gaps(daily_df: DataFrame) -> DataFrame:
     return daily_df.withColumn("gap_days", F.when(active, F.datediff("date", previous)))
 
 
-def irregularity(gaps: str, count: str, total: str) -> dict[str, Column]:
+def _gap_deviation(gapped: DataFrame) -> DataFrame:
+    """Add the person-year's gap count and sum, and each gap's deviation n * gap - sum.
+
+    Uses the same window partitions as the gaps, so nothing moves again.
+    """
+    year = Window.partitionBy("person_id", "year")
+    return gapped.withColumns(
+        {"_gap_n": F.count("gap_days").over(year), "_gap_sum": F.sum("gap_days").over(year)}
+    ).withColumn("_gap_dev", F.col("_gap_n") * F.col("gap_days") - F.col("_gap_sum"))
+
+
+def irregularity() -> dict[str, Column]:
     """L1 and L2 spread of gaps around their mean, null below two gaps.
 
     With n gaps summing to s, g / mean - 1 equals (n * g - s) / s. The integer
     numerators make both scores independent of the order of the gaps.
     """
-    n, s = F.col(count), F.col(total)
-    zero = F.lit(0).cast("bigint")
-    absolute = F.aggregate(gaps, zero, lambda a, g: a + F.abs(n * g - s))
-    squared = F.aggregate(gaps, zero, lambda a, g: a + (n * g - s) * (n * g - s))
+    n, s = F.col("_gap_n"), F.col("_gap_sum")
     valid = (n >= 2) & (s > 0)
     return {
-        "irregularity_l1": F.when(valid, absolute / (n * s)),
-        "irregularity_l2": F.when(valid, F.sqrt(squared / n) / s),
+        "irregularity_l1": F.when(valid, F.col("_abs_dev") / (n * s)),
+        "irregularity_l2": F.when(valid, F.sqrt(F.col("_sq_dev") / n) / s),
         "central_diff": F.when(valid, s / n),
     }
 
@@ -178,7 +186,7 @@ def person_year_features(
     most one daily row per calendar day, which bounds every group here.
     """
     clustered = daily_df.withColumn("year", F.year("date")).repartition("person_id")
-    gapped = visit_gaps(clustered)
+    gapped = _gap_deviation(visit_gaps(clustered))
     active_date = F.when(F.col("visit_count") > 0, F.col("date"))
     totals = (
         [F.sum(f"{d}_count").alias(f"total_{d}_count") for d in BREADTH_DOMAINS]
@@ -191,16 +199,17 @@ def person_year_features(
         F.count("date").alias("days_observed"),
         F.sum("visit_count").alias("visit_count"),
         F.sum("hospitalized_flag").cast("bigint").alias("hospitalized_days"),
-        F.collect_list("gap_days").alias("_gaps"),
-        F.count("gap_days").alias("_gap_n"),
-        F.sum("gap_days").alias("_gap_sum"),
+        F.max("_gap_n").alias("_gap_n"),
+        F.max("_gap_sum").alias("_gap_sum"),
+        F.sum(F.abs("_gap_dev")).alias("_abs_dev"),
+        F.sum(F.col("_gap_dev") * F.col("_gap_dev")).alias("_sq_dev"),
         F.min(active_date).alias("_first_active"),
         F.max(active_date).alias("_last_active"),
         F.max("cci_total").alias("max_cci"),
         F.bit_or("cci_mask").alias("cci_mask"),
         *totals,
     )
-    scored = base.withColumns(irregularity("_gaps", "_gap_n", "_gap_sum"))
+    scored = base.withColumns(irregularity())
     scored = scored.withColumn(
         "has_valid_regularity", F.when(F.col("irregularity_l1").isNotNull(), 1).otherwise(0)
     )

@@ -12,17 +12,17 @@ from . import comorbidity, spine
 _SUMMED = [f"{d}_{s}" for d in DOMAINS for s in ("count", "nomatch_ct")]
 
 
-def rollup_period(daily_df: DataFrame, events: DataFrame, unit: str) -> DataFrame:
+def rollup_period(daily_df: DataFrame, events: DataFrame, unit: str, dates: bool = True) -> DataFrame:
     """Roll the daily table up to ``week``, ``month`` or ``year``.
 
     Sums and maxima come from the daily rows. Distinct concepts come from
-    (person, period, domain, concept) keys, reduced map-side, and both meet in
-    one ``groupBy``. Date lists hold at most the days of the period.
+    (person, period, domain, concept) keys, counted per period before they join
+    the daily rows in one ``groupBy``. Date lists hold at most the days of the
+    period; leave them out with ``dates=False`` for an all-numeric aggregation.
     """
     days = daily_df.select(
         "person_id",
         period_label("date", unit).alias("period"),
-        F.lit("day").alias("tag"),
         "date",
         "visit_count",
         "hospitalized_flag",
@@ -33,18 +33,17 @@ def rollup_period(daily_df: DataFrame, events: DataFrame, unit: str) -> DataFram
     )
     concepts = (
         events.filter(F.col("concept_id").isNotNull() & F.col("person_id").isNotNull())
-        .select(
-            "person_id",
-            period_label("date", unit).alias("period"),
-            F.col("domain").alias("tag"),
-            "concept_id",
-        )
+        .select("person_id", period_label("date", unit).alias("period"), "domain", "concept_id")
         .distinct()
-        .drop("concept_id")
+        .groupBy("person_id", "period")
+        .agg(*[F.count_if(F.col("domain") == d).alias(f"{d}_unique_ct") for d in DOMAINS])
     )
-    active = F.col("visit_count") > 0
-    clinical = F.col("has_clinical_concepts") == 1
-    rolled = (
+    active, clinical = F.col("visit_count") > 0, F.col("has_clinical_concepts") == 1
+    lists = [
+        F.sort_array(F.collect_list(F.when(active, F.col("date")))).alias("dates_with_visits"),
+        F.sort_array(F.collect_list(F.when(clinical, F.col("date")))).alias("dates_with_clinical_concepts"),
+    ] if dates else []
+    return (
         days.unionByName(concepts, allowMissingColumns=True)
         .groupBy("person_id", "period")
         .agg(
@@ -55,19 +54,16 @@ def rollup_period(daily_df: DataFrame, events: DataFrame, unit: str) -> DataFram
             F.count("date").alias("unique_dates_with_data"),
             F.count_if(active).alias("days_with_visits"),
             F.sum("has_clinical_concepts").alias("days_with_clinical_concepts"),
-            F.sort_array(F.collect_list(F.when(active, F.col("date")))).alias("dates_with_visits"),
-            F.sort_array(F.collect_list(F.when(clinical, F.col("date")))).alias(
-                "dates_with_clinical_concepts"
-            ),
             F.sum("visit_count").alias("visit_count"),
             F.sum("hospitalized_flag").alias("hospitalized_days"),
+            *lists,
             F.max("cci_total").alias("cci_total"),
             F.bit_or("cci_mask").alias("cci_mask"),
             *[F.sum(c).alias(c) for c in _SUMMED],
-            *[F.count_if(F.col("tag") == d).alias(f"{d}_unique_ct") for d in DOMAINS],
+            *[F.expr(f"coalesce(sum({d}_unique_ct), 0) AS {d}_unique_ct") for d in DOMAINS],
         )
+        .withColumns(spine.totals())
     )
-    return rolled.withColumns(spine.totals())
 
 
 def finalize(rolled: DataFrame, people: DataFrame) -> DataFrame:

@@ -92,7 +92,8 @@ def medoid_days(daily_df: DataFrame, visits: DataFrame, medoids: DataFrame) -> D
     ``medoids``: person_id, year, cluster_id, cluster_label (one row per cluster).
     """
     keys = medoids.select("person_id", "year", "cluster_id", "cluster_label")
-    first_concept = visits.groupBy(
+    people = keys.select("person_id").distinct()
+    first_concept = visits.join(people, "person_id", "left_semi").groupBy(
         "person_id", F.to_date("visit_start_date").alias("date")
     ).agg(F.min("visit_concept_id").alias("visit_concept_id"))
     mine = daily_df.withColumn("year", F.year("date")).join(keys, ["person_id", "year"])

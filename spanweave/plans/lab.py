@@ -34,6 +34,12 @@ class Lab:
     def daily(self) -> DataFrame:
         return spine.daily(self.clinical.events, self.days, self.visit_cci)
 
+    @cached_property
+    def stored_daily(self) -> DataFrame:
+        """Daily rows behind a checkpoint; later stages of this lab read them."""
+        self.daily = settle(self.daily)
+        return self.daily
+
     @cached_property
     def people(self) -> DataFrame:
         return spine.demographics(self.clinical.person, self.clinical.concepts)

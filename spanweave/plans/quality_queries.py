@@ -10,7 +10,7 @@ from ..functions.scalar import cluster_name
 from ..operators import concordance, quality, rules, timelines
 from .lab import METHOD_COLUMNS, Lab
 from .oracle import compose
-from .registry import query
+from .registry import ORACLES, query
 
 _CORE = ("visit_count", "inpatient_visit_count", "hospitalized_days")
 
@@ -34,7 +34,7 @@ SELECT gmm_4_cluster, count(*) AS n, {_profile_columns(PROFILE_FEATURES)},
   round(count(*) FILTER (WHERE max_cci > 4) * 100.0 / count(*), 6) AS "High"
 FROM labelled GROUP BY 1) AS p JOIN t ON p.gmm_4_cluster = t.gmm_4_cluster"""))
 def cluster_profiles(lab: Lab) -> DataFrame:
-    return quality.profiles(lab.labelled, "gmm_4_cluster", "gmm_4", "archetype")
+    return quality.profiles(lab.stored_labels, "gmm_4_cluster", "gmm_4", "archetype")
 
 
 @query("profile_export", compose("labelled", """
@@ -151,10 +151,11 @@ FROM md JOIN daily y ON y.person_id = md.person_id AND year(y.date) = md.year
 LEFT JOIN (SELECT person_id, visit_start_date AS date, min(visit_concept_id) AS visit_concept_id
            FROM visit GROUP BY 1, 2) AS c ON c.person_id = y.person_id AND c.date = y.date"""))
 def medoid_timeline(lab: Lab) -> DataFrame:
+    daily = lab.stored_daily  # read by the labels and by the timeline
     found = quality.medoids(lab.stored_labels, "archetype", _CORE, "rules").withColumns(
         {"cluster_id": F.col("cluster"), "cluster_label": F.col("cluster")}
     )
-    return timelines.medoid_days(lab.daily, lab.clinical.visits, found).select(
+    return timelines.medoid_days(daily, lab.clinical.visits, found).select(
         "cluster_label", "person_id", "date", "visit_count", "day_of_year", "visit_concept_id", "y_label"
     )
 
@@ -241,7 +242,7 @@ FROM (SELECT DISTINCT gmm_4_cluster FROM f) AS c LEFT JOIN (
   SELECT gmm_4_cluster, string_agg(printf('%.0f%% ', flow) || archetype, ' + ' ORDER BY flow DESC, archetype) AS flow_label
   FROM f WHERE flow >= 5 GROUP BY 1) AS x ON c.gmm_4_cluster = x.gmm_4_cluster"""))
 def flow_labels(lab: Lab) -> DataFrame:
-    return concordance.flow_labels(lab.labelled, "gmm_4_cluster", "archetype")
+    return concordance.flow_labels(lab.stored_labels, "gmm_4_cluster", "archetype")
 
 
 @query("split_table", compose("labelled", """
@@ -311,6 +312,20 @@ def concordance_matrix(lab: Lab) -> DataFrame:
     return concordance.matrices(concordance.pair_scores(_cells(lab)), list(METHOD_COLUMNS))
 
 
+@query("consistency", f"""
+SELECT a.method2 AS method, max(a.ari) FILTER (WHERE a.method1 = 'rules_vanilla') AS ari_vanilla,
+  max(a.ari) FILTER (WHERE a.method1 = 'rules_adaptive') AS ari_adaptive,
+  max(m.ami) FILTER (WHERE a.method1 = 'rules_vanilla') AS ami_vanilla,
+  max(m.ami) FILTER (WHERE a.method1 = 'rules_adaptive') AS ami_adaptive
+FROM ({ORACLES["ari"]}) AS a JOIN ({ORACLES["ami"]}) AS m ON a.method1 = m.method1 AND a.method2 = m.method2
+WHERE a.method1 LIKE 'rules%' AND a.method2 LIKE 'gmm%' GROUP BY 1""")
+def consistency(lab: Lab) -> DataFrame:
+    cells = _cells(lab)
+    return concordance.consistency(
+        concordance.pair_scores(cells), concordance.adjusted_mutual_information(cells)
+    ).drop("ari_delta", "ami_delta")
+
+
 def _scorecard_sql() -> str:
     columns = {"rules_vanilla": "archetype", "rules_adaptive": "archetype_adaptive",
                "gmm_4": "gmm_4_cluster", "gmm_7": "gmm_7_cluster"}

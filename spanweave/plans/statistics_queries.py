@@ -45,7 +45,7 @@ def _outcomes(lab: Lab) -> DataFrame:
 
 
 def _domains(lab: Lab) -> DataFrame:
-    return residuals.domain_rows(lab.labelled, _K)
+    return residuals.domain_rows(lab.stored_labels, _K)
 
 
 @query("residuals", compose("resid", f"""
@@ -53,7 +53,7 @@ SELECT person_id, CAST(year AS INTEGER) AS year, gmm_4_cluster, {_NAME} AS clust
     f"round(domain_resid_{s}, 6) AS domain_resid_{s}, round(abs(domain_resid_{s}), 6) AS domain_abs_resid_{s}"
     for s in _SHORT) + " FROM resid"))
 def residual_table(lab: Lab) -> DataFrame:
-    return residuals.with_residuals(lab.labelled, _K).select(
+    return residuals.with_residuals(lab.stored_labels, _K).select(
         "person_id", "year", _K, F.col("gmm_4_cluster_label").alias("cluster_label"), "max_cci",
         *residuals.all_outcomes(),
     )
@@ -244,7 +244,7 @@ block("metric", "charac", " UNION ALL ".join(
 
 
 def _characterised(lab: Lab) -> DataFrame:
-    yearly = rollup.rollup_period(lab.daily, lab.clinical.events, "year")
+    yearly = rollup.rollup_period(lab.stored_daily, lab.clinical.events, "year", dates=False)
     full = cohorts.assemble(features.with_prior_year(lab.labelled), yearly, _YEARLY)
     return full.withColumn("gmm_4_named", F.col("gmm_4_cluster_label"))
 

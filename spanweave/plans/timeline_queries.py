@@ -404,7 +404,9 @@ SELECT person_id, date, visit_count, CAST(lane AS INTEGER) AS lane,
 FROM (SELECT *, dense_rank() OVER (ORDER BY person_id) - 1 AS lane FROM daily) AS d
 WHERE lane >= 20 AND lane < 30"""))
 def timeline_page(lab: Lab) -> DataFrame:
-    return timelines.page(lab.daily.select("person_id", "date", "visit_count"), page=3, page_size=10)
+    return timelines.page(lab.stored_daily, page=3, page_size=10).select(
+        "person_id", "date", "visit_count", "lane", "x"
+    )
 
 
 @query("suppressed_counts", compose("rule", """
