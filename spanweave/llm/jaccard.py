@@ -187,21 +187,26 @@ def _unsettled(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame
     (|D(x)| + |D(y)| - allowed difference) / 2. With no overlap at all both would be
     similar to the pivot, hence in one component. The first common element stands in both
     early enough to leave room for that overlap: equal elements within the prefixes are
-    looked up, and their positions decide. Copies of one text with unrelated changes are
-    told apart here without forming their pairs.
+    looked up, and their positions decide. Where both have the same nearest pivot, it alone
+    decides. Copies of one text with unrelated changes are told apart here without forming
+    their pairs.
     """
     at = compared.join(found.withColumnRenamed("node", "b"), "b", "left").select(
         "a", "b", "near", "size", "apart", "prefix", F.coalesce("component", "b").alias("component"))
     mixed = at.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("a")
-    at = at.join(mixed, "a", "left_semi")
-    rows = settle(at.select("a", "b", "near", "size", "apart", "component", F.posexplode("prefix").alias("i", "element")), "elements")
+    best = at.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("best"))
+    at = settle(at.join(mixed, "a", "left_semi").join(best, "b"), "pivoted")
+    rows = at.select("a", "b", "near", "size", "apart", "component", "best", F.posexplode("prefix").alias("i", "element"))
+    common = rows.groupBy("a", "element").agg(F.count("*").alias("uses")).where("uses > 1").select("a", "element")
+    rows = settle(rows.join(common, ["a", "element"], "left_semi"), "elements")
     x, y = rows.alias("x"), rows.alias("y")
     same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element"))
     open_ = (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.near") & F.col("y.near"))
+    nearest = (F.col("x.best") != F.col("y.best")) | (F.col("x.a") == F.col("x.best"))
     sizes = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
     room = 2 * (100 + percent) * F.least(F.col("x.apart") - F.col("x.i"), F.col("y.apart") - F.col("y.i"))
     needed = (100 + percent) * (F.col("x.apart") + F.col("y.apart")) - (100 - percent) * (F.col("x.size") + F.col("y.size"))
-    return x.join(y, same & open_ & sizes & (room >= needed)).select(
+    return x.join(y, same & open_ & nearest & sizes & (room >= needed)).select(
         F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
 
 
@@ -220,14 +225,16 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     groups of any size lose no link and yet are not expanded into all their pairs.
     """
     docs = docs.select("doc_id", "text")
-    rows = settle(docs.mapInArrow(_sketches(words, percent),
+    full = settle(docs.mapInArrow(_sketches(words, percent),
                                   "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, signatures array<bigint>"), "sets")
+    rows = settle(full.drop("signatures"), "sizes")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["h1", "h2", "n_shingles"]
     classes = settle(some.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("size")), "classes")
     heads = classes.select(F.col("head").alias("doc_id"))
-    signed = some.select("doc_id", "signatures").join(heads, "doc_id", "left_semi").select(
-        F.col("doc_id").alias("head"), F.explode("signatures").alias("signature"))
+    kept = settle(full.where("n_shingles > 0").select("doc_id", "signatures").join(heads, "doc_id", "left_semi"), "signatures")
+    discard(full)
+    signed = kept.select(F.col("doc_id").alias("head"), F.explode("signatures").alias("signature"))
     shared = settle(signed.groupBy("signature").agg(F.min("head").alias("low"), F.max("head").alias("high"),
                                                     F.count("*").alias("n")).where("low <> high"), "shared")
     large = shared.where("n > 2").select("signature", "low")
@@ -247,6 +254,6 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
 
     home = classes.join(found.withColumnRenamed("node", "head"), "head", "left").where("size > 1 OR component IS NOT NULL")
     home = settle(home.select(*same, F.coalesce("component", "head").alias("component")), "homes")
-    discard(shared, members, pairs, texts, compared, more)
-    out = rows.drop("signatures").join(home, same, "left")
+    discard(kept, shared, members, pairs, texts, compared, more)
+    out = rows.join(home, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
