@@ -16,6 +16,7 @@ rest being zero. Selector 0 stands for one value of more than 60 bits, kept afte
 
 from __future__ import annotations
 
+import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
@@ -29,6 +30,8 @@ from pyspark.sql import functions as F
 
 from .scratch import settle
 
+#: A comma or full stop between a letter and a blank.
+_STOP = re.compile(rb"(?<=[a-z])([.,])[ \n]")
 MAGIC = b"S8BTOK01"
 # Fixed values of the coding: values per word and bits per value, by selector.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -254,9 +257,10 @@ class WordTokens:
     """Ids by a tokenizer file of the tokenizers library, followed by ``end``.
 
     For files that lower-case, drop white space and part letters from punctuation: there
-    the library works between blanks and line breaks independently, and on a final comma or
-    full stop apart from the letters before it. So each worker asks it once for each
-    distinct word and remembers up to REMEMBERED of them.
+    the library works between blanks and line breaks independently, and on a comma or full
+    stop between a letter and a blank apart from that letter. So each worker asks it once
+    for each distinct word, and its model alone where a word is plain small letters, which
+    the steps before the model leave as they are. It remembers up to REMEMBERED words.
     """
 
     REMEMBERED = 1_000_000
@@ -265,12 +269,15 @@ class WordTokens:
         self.path, self.end = path, end
         self.known: dict[bytes, bytes] | None = None
 
-    def __getstate__(self):
-        return {"path": self.path, "end": self.end, "known": None}
-
     def _ask(self, words: list[bytes]) -> None:
-        for i in range(0, len(words), 20_000):
-            part = words[i : i + 20_000]
+        other = []
+        for word in words:
+            if word.isalpha():
+                self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode())])
+            else:
+                other.append(word)
+        for i in range(0, len(other), 20_000):
+            part = other[i : i + 20_000]
             found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
             for word, ids in zip(part, found):
                 self.known[word] = np.array(ids.ids, "<u4").tobytes()
@@ -282,16 +289,13 @@ class WordTokens:
             self.known = {}
             self.library = Tokenizer.from_file(self.path)
             self.library.encode_special_tokens = True
+            self.model = self.library.model
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        cut = [text.encode("utf-8", "replace").lower().replace(b"\n", b" ").split(b" ") for text in texts]
-        new = {word for words in cut for word in words if word not in self.known}
-        ended = {word for word in new if word[-1:] in (b",", b".") and word[:-1].isalpha()}
-        self._ask(list({part for word in ended for part in (word[:-1], word[-1:]) if part not in self.known} | (new - ended)))
-        known = self.known.__getitem__
-        for word in ended:
-            self.known[word] = known(word[:-1]) + known(word[-1:])
+        cut = [_STOP.sub(rb" \1 ", text.encode("utf-8", "replace").lower()).replace(b"\n", b" ").split(b" ") for text in texts]
+        self._ask([word for word in set().union(*cut) if word not in self.known])
         end = b"" if self.end is None else self.end.to_bytes(4, "little")
+        known = self.known.__getitem__
         return [np.frombuffer(b"".join([*map(known, words), end]), "<u4") for words in cut]
 
 
