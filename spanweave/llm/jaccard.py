@@ -6,7 +6,8 @@ with ``k`` fixed by the band. The shingle domain is cut into ``n1`` parts of ``n
 some part then holds at most ``k // n1`` of the differences, and leaving out that many of
 its cells leaves equal content. So two similar sets agree on one (part, subset of cells).
 A hash of the content of each such subset is a signature; sets that share a signature are
-compared exactly.
+candidates. A candidate pair is dropped if the counts of its sets in 256 hash bins differ by
+more than similar sets may, and else compared exactly.
 """
 
 from __future__ import annotations
@@ -27,6 +28,10 @@ from .scratch import discard, settle
 #: Up to this many differences, cells are enumerated in pairs out of three, which tells
 #: small sets better apart; beyond it, singly, which needs the fewest signatures.
 FINE = 16
+#: Bins of a sketch.
+BINS = 256
+#: Sets of one signature that are compared with each other at once.
+BLOCK = 1000
 
 
 @dataclass(frozen=True)
@@ -101,7 +106,7 @@ class Bands:
 
 def _sketches(words: int, percent: int):
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
-              ("signatures", pa.list_(pa.int64()))]
+              ("sketch", pa.binary()), ("signatures", pa.list_(pa.int64()))]
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bands = Bands(percent)
@@ -112,31 +117,99 @@ def _sketches(words: int, percent: int):
                 h1 = [int(mix(s, 21).sum(dtype=np.uint64)) for s in sets]
                 h2 = [int(mix(s, 22).sum(dtype=np.uint64)) for s in sets]
                 found = [bands.signatures(s) if len(s) else s for s in sets]
+                bins = [np.minimum(np.bincount((mix(s, 13) >> np.uint64(56)).astype(int), minlength=BINS), 255) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(raw)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)),
+                    pa.array([b.astype(np.uint8).tobytes() for b in bins], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ], schema=pa.schema(fields))
 
     return run
 
 
-def _comparer(words: int, percent: int):
-    fields = [("a", pa.int64()), ("b", pa.int64()), ("near", pa.bool_()), ("size", pa.int64()), ("apart", pa.int64()),
-              ("prefix", pa.list_(pa.int64()))]
-    slack = (100 - percent) / (100 + percent)
-
-    def prefix(pivot: np.ndarray, other: np.ndarray, common: np.ndarray, near: bool) -> np.ndarray:
-        gone = np.ones(len(pivot), bool)
-        gone[np.searchsorted(pivot, other[common])] = False
-        apart = np.concatenate([other[~common], pivot[gone]])
-        overlap = max(1, len(apart) - len(other) * (100 - percent) // percent)
-        if near:
-            overlap = max(overlap, int(np.ceil(len(apart) * (1 - slack) / 2 - 1e-9)))
-        return apart[: max(0, len(apart) - overlap + 1)]
+def _counts(sketches: pa.Array) -> np.ndarray:
+    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+
+
+def _may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
+    """Whether sets of sizes a and b that differ in at least ``apart`` shingles can link."""
+    return (apart * (100 + percent) <= (a + b) * (100 - percent)) & (100 * np.minimum(a, b) >= percent * np.maximum(a, b))
+
+
+def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sketches leave a link possible."""
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for chunk in chunks:
+            apart = np.abs(_counts(chunk.column("sa")) - _counts(chunk.column("sb"))).sum(1, dtype=np.int64)
+            ok = _may_link(apart, chunk.column("na").to_numpy(), chunk.column("nb").to_numpy(), percent)
+            yield chunk.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
+
+    a = sketches.select(F.col("doc_id").alias("a"), F.col("n_shingles").alias("na"), F.col("sketch").alias("sa"))
+    b = sketches.select(F.col("doc_id").alias("b"), F.col("n_shingles").alias("nb"), F.col("sketch").alias("sb"))
+    return pairs.join(b, "b").join(a, "a").select("a", "b", "na", "nb", "sa", "sb").mapInArrow(run, "a bigint, b bigint")
+
+
+def _runs(chunks: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The runs of equal keys in sorted rows, whole even where they span chunks."""
+    rest = None
+    for chunk in chunks:
+        table = pa.Table.from_batches([chunk])
+        rest = table if rest is None else pa.concat_tables([rest, table])
+        key = np.stack([rest.column(k).to_numpy() for k in keys])
+        cuts = np.flatnonzero((key[:, 1:] != key[:, :-1]).any(0)) + 1
+        for a, b in zip([0, *cuts[:-1]], cuts):
+            yield rest.slice(a, b - a)
+        if len(cuts):
+            rest = rest.slice(cuts[-1])
+    if rest is not None and rest.num_rows:
+        yield rest
+
+
+def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent: int) -> DataFrame:
+    """Pairs of sets that share a signature but not a component and whose sketches leave a
+    link possible.
+
+    The sets of a signature are dealt to blocks of about BLOCK; each two blocks meet in one
+    task, which compares the sketches as matrices and returns only the pairs that pass. So
+    copies of one text with unrelated changes are told apart without forming their pairs,
+    and a signature of any number of sets is spread over tasks of bounded size.
+    """
+    keys = ["signature", "i", "j"]
 
+    def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for rows in _runs(chunks, keys):
+            rows = rows.combine_chunks()
+            head, part, size, block = (rows.column(c).to_numpy() for c in ("head", "component", "n_shingles", "block"))
+            within = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
+            if (part == part[0]).all():
+                continue
+            counts = _counts(rows.column("sketch"))
+            left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+            for x in range(len(head)):
+                y = np.flatnonzero((head > head[x]) & (part != part[x]) & (within | (block != block[x])))
+                y = y[_may_link(np.zeros(1), size[x], size[y], percent)]
+                y = y[_may_link(np.abs(counts[y] - counts[x]).sum(1, dtype=np.int64), size[x], size[y], percent)]
+                left.append(np.full(len(y), head[x]))
+                right.append(head[y])
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])
+
+    now = members.select("signature", "head").join(found.withColumnRenamed("node", "head"), "head", "left")
+    now = settle(now.select("signature", "head", F.coalesce("component", "head").alias("component")), "placed")
+    mixed = now.groupBy("signature").agg(F.min("component").alias("x"), F.max("component").alias("y"), F.count("*").alias("n")).where("x <> y")
+    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
+    dealt = now.join(mixed.select("signature", blocks.alias("blocks")), "signature")
+    dealt = dealt.withColumn("block", F.pmod(F.xxhash64("head"), F.col("blocks")).cast("int"))
+    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("signature", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "head", "component")
+    dealt = dealt.join(sketches.withColumnRenamed("doc_id", "head"), "head")
+    dealt = dealt.repartition(*keys).sortWithinPartitions(*keys)
+    return dealt.mapInArrow(run, "a bigint, b bigint").distinct()
+
+
+def _comparer(words: int, percent: int):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         kept: dict[int, np.ndarray] = {}
         for chunk in chunks:
@@ -147,67 +220,26 @@ def _comparer(words: int, percent: int):
             fresh = [i for i in texts if i not in kept]
             for at, raw in batches([texts[i] for i in fresh]):
                 kept |= zip(fresh[at : at + len(raw)], shingle_sets(raw, words))
-            near, apart, prefixes = [], [], []
+            near = []
             for x, y in zip(a, b):
                 s, t = kept[x], kept[y]
-                at = np.minimum(np.searchsorted(s, t), len(s) - 1)
-                common = s[at] == t
-                shared = int(common.sum())
+                shared = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
                 near.append(100 * shared >= percent * (len(s) + len(t) - shared))
-                apart.append(len(s) + len(t) - 2 * shared)
-                prefixes.append(prefix(s, t, common, near[-1]).view(np.int64))
-            offsets = np.concatenate([[0], np.cumsum([len(p) for p in prefixes])]).astype(np.int32)
-            flat = np.concatenate([*prefixes, np.zeros(0, np.int64)])
-            yield pa.RecordBatch.from_arrays([
-                chunk.column("a"), chunk.column("b"), pa.array(near, pa.bool_()),
-                pa.array([len(kept[y]) for y in b], pa.int64()), pa.array(apart, pa.int64()),
-                pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
-            ], schema=pa.schema(fields))
+            yield chunk.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
 
     return run
 
 
-def _compared(pairs: DataFrame, texts: DataFrame, words: int, percent: int) -> DataFrame:
-    """Each pair (a, b) with: near, the size of b, the size of their symmetric difference
-    and a prefix of it (``_unsettled`` says what for)."""
+def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, compared by their whole texts."""
+    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    texts = settle(docs.join(wanted, "doc_id", "left_semi"), "texts")
     a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
     b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
     both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    return settle(both.mapInArrow(_comparer(words, percent),
-                                  "a bigint, b bigint, near boolean, size bigint, apart bigint, prefix array<bigint>"), "compared")
-
-
-def _unsettled(compared: DataFrame, found: DataFrame, percent: int) -> DataFrame:
-    """Pairs (x, y) that were compared with the same pivot, lie in different components and
-    may yet be similar.
-
-    Let D(x) be the symmetric difference of x and the pivot, in an order that is the same
-    for all x: first what the pivot lacks. Then |x - y| = |D(x)| + |D(y)| - 2 |D(x) & D(y)|,
-    so similar sets need an overlap of D(x) and D(y) of at least
-    (|D(x)| + |D(y)| - allowed difference) / 2. With no overlap at all both would be
-    similar to the pivot, hence in one component. The first common element stands in both
-    early enough to leave room for that overlap: equal elements within the prefixes are
-    looked up, and their positions decide. Where both have the same nearest pivot, it alone
-    decides. Copies of one text with unrelated changes are told apart here without forming
-    their pairs.
-    """
-    at = compared.join(found.withColumnRenamed("node", "b"), "b", "left").select(
-        "a", "b", "near", "size", "apart", "prefix", F.coalesce("component", "b").alias("component"))
-    mixed = at.groupBy("a").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("a")
-    best = at.groupBy("b").agg(F.min_by("a", F.struct("apart", "a")).alias("best"))
-    at = settle(at.join(mixed, "a", "left_semi").join(best, "b"), "pivoted")
-    rows = at.select("a", "b", "near", "size", "apart", "component", "best", F.posexplode("prefix").alias("i", "element"))
-    common = rows.groupBy("a", "element").agg(F.count("*").alias("uses")).where("uses > 1").select("a", "element")
-    rows = settle(rows.join(common, ["a", "element"], "left_semi"), "elements")
-    x, y = rows.alias("x"), rows.alias("y")
-    same = (F.col("x.a") == F.col("y.a")) & (F.col("x.element") == F.col("y.element"))
-    open_ = (F.col("x.b") < F.col("y.b")) & (F.col("x.component") != F.col("y.component")) & ~(F.col("x.near") & F.col("y.near"))
-    nearest = (F.col("x.best") != F.col("y.best")) | (F.col("x.a") == F.col("x.best"))
-    sizes = 100 * F.least("x.size", "y.size") >= percent * F.greatest("x.size", "y.size")
-    room = 2 * (100 + percent) * F.least(F.col("x.apart") - F.col("x.i"), F.col("y.apart") - F.col("y.i"))
-    needed = (100 + percent) * (F.col("x.apart") + F.col("y.apart")) - (100 - percent) * (F.col("x.size") + F.col("y.size"))
-    return x.join(y, same & open_ & nearest & sizes & (room >= needed)).select(
-        F.col("x.b").alias("a"), F.col("y.b").alias("b")).distinct()
+    links = settle(both.mapInArrow(_comparer(words, percent), "a bigint, b bigint"), "links")
+    discard(texts)
+    return links
 
 
 def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFrame:
@@ -220,40 +252,37 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     document in links. An empty table gives an empty result; other columns are ignored.
 
     Equal sets are one class from the start. Of the classes that share a signature, each
-    is first compared with the smallest one, the pivot; pairs that are then still apart
-    and may be similar, judged by how both differ from the pivot, are compared next. So
-    groups of any size lose no link and yet are not expanded into all their pairs.
+    is first compared with the smallest one; what is then still apart is looked through in
+    blocks of sketches, and compared where these allow a link. So groups of any size lose
+    no link and yet are not expanded into all their pairs.
     """
     docs = docs.select("doc_id", "text")
-    full = settle(docs.mapInArrow(_sketches(words, percent),
-                                  "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, signatures array<bigint>"), "sets")
-    rows = settle(full.drop("signatures"), "sizes")
+    full = settle(docs.mapInArrow(_sketches(words, percent), "doc_id bigint, n_shingles bigint, h1 bigint, h2 bigint, "
+                                  "sketch binary, signatures array<bigint>"), "sets")
+    rows = settle(full.drop("signatures", "sketch"), "sizes")
     some = rows.where("n_shingles > 0 AND doc_id IS NOT NULL")
     same = ["h1", "h2", "n_shingles"]
     classes = settle(some.groupBy(*same).agg(F.min("doc_id").alias("head"), F.count("*").alias("size")), "classes")
     heads = classes.select(F.col("head").alias("doc_id"))
-    kept = settle(full.where("n_shingles > 0").select("doc_id", "signatures").join(heads, "doc_id", "left_semi"), "signatures")
+    kept = settle(full.where("n_shingles > 0").drop("h1", "h2").join(heads, "doc_id", "left_semi"), "signatures")
     discard(full)
+    sketches = kept.select("doc_id", "n_shingles", "sketch")
     signed = kept.select(F.col("doc_id").alias("head"), F.explode("signatures").alias("signature"))
     shared = settle(signed.groupBy("signature").agg(F.min("head").alias("low"), F.max("head").alias("high"),
                                                     F.count("*").alias("n")).where("low <> high"), "shared")
     large = shared.where("n > 2").select("signature", "low")
     members = settle(signed.join(large, "signature").select("signature", "low", "head"), "members")
     stars = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b"))
-    pairs = settle(shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b"))
-                   .unionByName(stars).distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("doc_id")).unionByName(pairs.select(F.col("b").alias("doc_id"))).distinct()
-    texts = settle(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    compared = _compared(pairs, texts, words, percent)
-    links = compared.where("near").select("a", "b")
+    pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars).distinct()
+    pairs = settle(_plausible(pairs, sketches, percent), "pairs")
+    links = _links(pairs, docs, words, percent)
     found = components(links)
-    more = settle(_unsettled(compared, found, percent).join(pairs, ["a", "b"], "left_anti"), "unsettled")
+    more = settle(_across(members, found, sketches, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        again = _compared(more, texts, words, percent)
-        found = components(links.unionByName(again.where("near").select("a", "b")))
+        found = components(links.unionByName(_links(more, docs, words, percent)))
 
     home = classes.join(found.withColumnRenamed("node", "head"), "head", "left").where("size > 1 OR component IS NOT NULL")
     home = settle(home.select(*same, F.coalesce("component", "head").alias("component")), "homes")
-    discard(kept, shared, members, pairs, texts, compared, more)
+    discard(kept, shared, members, pairs, more)
     out = rows.join(home, same, "left")
     return out.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")).alias("component_id"))
