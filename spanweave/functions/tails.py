@@ -16,20 +16,40 @@ from pyspark.sql import functions as F
 _TINY = 1e-300
 
 
-def _beta_tail(a: float, b: float, x: float) -> float:
-    """Regularised incomplete beta I_x(a, b) by its continued fraction."""
-    if not (a > 0 and b > 0) or math.isnan(x):
+def _stirling_rest(z: float) -> float:
+    """lgamma(z) less (z - 1/2) ln z - z + ln(2 pi) / 2, for z of 10 or more."""
+    w = 1.0 / (z * z)
+    return (1 / 12 - w * (1 / 360 - w * (1 / 1260 - w * (1 / 1680 - w / 1188)))) / z
+
+
+def _log_gamma_ratio(a: float, b: float) -> float:
+    """lgamma(a + b) - lgamma(a) without the cancellation of two large values."""
+    if a < 10.0:
+        return math.lgamma(a + b) - math.lgamma(a)
+    grown = (a - 0.5) * math.log1p(b / a) + b * math.log(a + b) - b
+    return grown + _stirling_rest(a + b) - _stirling_rest(a)
+
+
+def _beta_tail(a: float, b: float, x: float, y: float) -> float:
+    """Regularised incomplete beta I_x(a, b) by its continued fraction; y is 1 - x, given
+    apart because it may be too small to tell from x. NaN if the fraction does not settle."""
+    if not (a > 0 and b > 0) or math.isnan(x) or math.isnan(y):
         return math.nan
     if x <= 0.0:
         return 0.0
-    if x >= 1.0:
+    if y <= 0.0:
         return 1.0
-    if x > (a + 1.0) / (a + b + 2.0):
-        return 1.0 - _beta_tail(b, a, 1.0 - x)
-    front = math.exp(
-        math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)
-        + a * math.log(x) + b * math.log1p(-x)
-    ) / a
+    # near x = 1 the fraction's own terms cancel, so the other end serves there, too
+    if x > (a + 1.0) / (a + b + 2.0) or x > 0.9 and y * (a + b + 2.0) < 40.0 and b < a:
+        return 1.0 - _beta_fraction(b, a, y, x)
+    return _beta_fraction(a, b, x, y)
+
+
+def _beta_fraction(a: float, b: float, x: float, y: float) -> float:
+    log_x = math.log(x) if x < 0.5 else math.log1p(-y)
+    log_y = math.log(y) if y < 0.5 else math.log1p(-x)
+    large, small = max(a, b), min(a, b)
+    front = math.exp(_log_gamma_ratio(large, small) - math.lgamma(small) + a * log_x + b * log_y) / a
     c, d = 1.0, 1.0 - (a + b) * x / (a + 1.0)
     d = 1.0 / (d if abs(d) > _TINY else _TINY)
     h = d
@@ -44,8 +64,8 @@ def _beta_tail(a: float, b: float, x: float) -> float:
             c = c if abs(c) > _TINY else _TINY
             h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return front * h
+            return front * h
+    return math.nan
 
 
 def _gamma_upper(a: float, x: float) -> float:
@@ -73,19 +93,19 @@ def _gamma_upper(a: float, x: float) -> float:
         c = b + num / c
         h *= d * c
         if abs(d * c - 1.0) < 1e-15:
-            break
-    return scale * h
+            return scale * h
+    return math.nan
 
 
 def f_tail(f: float, d1: float, d2: float) -> float:
     if math.isnan(f) or f < 0:
         return math.nan
-    return _beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f))
+    return _beta_tail(d2 / 2.0, d1 / 2.0, d2 / (d2 + d1 * f), d1 * f / (d2 + d1 * f))
 
 
 def t_tail(t: float, dof: float) -> float:
     """Two-sided Student t tail."""
-    return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t))
+    return _beta_tail(dof / 2.0, 0.5, dof / (dof + t * t), t * t / (dof + t * t))
 
 
 def chi2_tail(x: float, dof: float) -> float:

@@ -7,39 +7,112 @@ column replaces seventeen flag columns in every shuffle. Masks combine with
 
 from __future__ import annotations
 
-import re
-from itertools import product
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.constants import CCI_NAMES, CCI_WEIGHTS, PROBLEM_LIST_TYPE
 from ..functions.local import small_table
 
-# Code prefixes per group in test order, after removing dots.
-# [..] lists alternatives of one character; "=" marks a whole code.
+# Code prefixes per group and prefix length, dots removed; length 0: whole codes.
 GROUP_CODES = {
-    1: "410 412 I2[12] I252",
-    2: "39891 402[019]1 404[019][13] 428 I43 I50 I099 I110 I13[02] I255 I42[05-9] P290",
-    3: "0930 4373 443[1-9] 4471 5571 5579 V434 440 441 I7[01] =36234",
-    4: "43[0-8] =36234 G4[56] I6[0-9] H340",
-    5: "2901[01] 290 F051 G31[12] F0[0-3] G30",
-    6: "49[0-6] 50[0-5] 416[89] 5064 5081 5088 348 34[1-7] 36[0-7] I27 I270 I279 "
-       "J684 J70[13] I28 J4[0-7] J6[0-7]",
-    7: "4465 710[0-4] 714[0-2] 7148 725 M315 M35[13] M360 M05 M3[2-4] M06",
-    8: "53[1-4] K2[5-8]",
-    9: "070[23][23] 070[45]4 57[01] K70[0-39] K71[3-57] K76[02-489] Z944 070[69] "
-       "573[3489] V427 B18 K7[34]",
-    10: "250[0-389] E1[0-4][01689]",
-    11: "250[4-7] E1[0-4][2-57]",
-    12: "3341 344[0-69] 34[23] G041 G114 G80[12] G83[0-49] G8[12]",
-    13: "403[019]1 404[019][23] 582 58[56] V56 N1[89] N05[2-7] N250 I120 I131 "
-        "N03[2-7] Z49[0-2] Z940 Z992 583[0-2467] 5880 V420 V451",
-    14: "1[45][0-9] 16[0-5] 17[0-24-69] 18[0-9] 19[0-5] 20[0-8] 2386 C[01][0-9] C2[0-6] "
-        "C3[0-47-9] C4[0135-9] C5[0-8] C6[0-9] C7[0-6] C8[1-58] C9[0-7]",
-    15: "456[0-2] 572[2-48] K704 K711 K72[19] K76[5-7] I85[09] I864 I982",
-    16: "19[6-9] C7[7-9] C80",
-    17: "04[2-4] B2[0-24]",
+    1: {
+        3: "410 412 I21 I22",
+        4: "I252",
+    },
+    2: {
+        3: "428 I43 I50",
+        4: "I099 I110 I130 I132 I255 I420 I425 I426 I427 I428 I429 P290",
+        5: "39891 40201 40211 40291 40401 40403 40411 40413 40491 40493",
+    },
+    3: {
+        0: "36234",
+        3: "440 441 I70 I71",
+        4: "0930 4373 4431 4432 4433 4434 4435 4436 4437 4438 4439 4471 5571 5579 V434",
+    },
+    4: {
+        0: "36234",
+        3: "430 431 432 433 434 435 436 437 438 G45 G46 I60 I61 I62 I63 I64 I65 I66 I67 I68 I69",
+        4: "H340",
+    },
+    5: {
+        3: "290 F00 F01 F02 F03 G30",
+        4: "F051 G311 G312",
+        5: "29010 29011",
+    },
+    6: {
+        3: (
+            "341 342 343 344 345 346 347 348 360 361 362 363 364 365 366 367 490 491 492 493 494 495 "
+            "496 500 501 502 503 504 505 I27 I28 J40 J41 J42 J43 J44 J45 J46 J47 J60 J61 J62 J63 J64 "
+            "J65 J66 J67"
+        ),
+        4: "4168 4169 5064 5081 5088 I270 I279 J684 J701 J703",
+    },
+    7: {
+        3: "725 M05 M06 M32 M33 M34",
+        4: "4465 7100 7101 7102 7103 7104 7140 7141 7142 7148 M315 M351 M353 M360",
+    },
+    8: {
+        3: "531 532 533 534 K25 K26 K27 K28",
+    },
+    9: {
+        3: "570 571 B18 K73 K74",
+        4: (
+            "0706 0709 5733 5734 5738 5739 K700 K701 K702 K703 K709 K713 K714 K715 K717 K760 K762 "
+            "K763 K764 K768 K769 V427 Z944"
+        ),
+        5: "07022 07023 07032 07033 07044 07054",
+    },
+    10: {
+        4: (
+            "2500 2501 2502 2503 2508 2509 E100 E101 E106 E108 E109 E110 E111 E116 E118 E119 E120 "
+            "E121 E126 E128 E129 E130 E131 E136 E138 E139 E140 E141 E146 E148 E149"
+        ),
+    },
+    11: {
+        4: (
+            "2504 2505 2506 2507 E102 E103 E104 E105 E107 E112 E113 E114 E115 E117 E122 E123 E124 "
+            "E125 E127 E132 E133 E134 E135 E137 E142 E143 E144 E145 E147"
+        ),
+    },
+    12: {
+        3: "342 343 G81 G82",
+        4: (
+            "3341 3440 3441 3442 3443 3444 3445 3446 3449 G041 G114 G801 G802 G830 G831 G832 G833 "
+            "G834 G839"
+        ),
+    },
+    13: {
+        3: "582 585 586 N18 N19 V56",
+        4: (
+            "5830 5831 5832 5834 5836 5837 5880 I120 I131 N032 N033 N034 N035 N036 N037 N052 N053 "
+            "N054 N055 N056 N057 N250 V420 V451 Z490 Z491 Z492 Z940 Z992"
+        ),
+        5: "40301 40311 40391 40402 40403 40412 40413 40492 40493",
+    },
+    14: {
+        3: (
+            "140 141 142 143 144 145 146 147 148 149 150 151 152 153 154 155 156 157 158 159 160 161 "
+            "162 163 164 165 170 171 172 174 175 176 179 180 181 182 183 184 185 186 187 188 189 190 "
+            "191 192 193 194 195 200 201 202 203 204 205 206 207 208 C00 C01 C02 C03 C04 C05 C06 C07 "
+            "C08 C09 C10 C11 C12 C13 C14 C15 C16 C17 C18 C19 C20 C21 C22 C23 C24 C25 C26 C30 C31 C32 "
+            "C33 C34 C37 C38 C39 C40 C41 C43 C45 C46 C47 C48 C49 C50 C51 C52 C53 C54 C55 C56 C57 C58 "
+            "C60 C61 C62 C63 C64 C65 C66 C67 C68 C69 C70 C71 C72 C73 C74 C75 C76 C81 C82 C83 C84 C85 "
+            "C88 C90 C91 C92 C93 C94 C95 C96 C97"
+        ),
+        4: "2386",
+    },
+    15: {
+        4: (
+            "4560 4561 4562 5722 5723 5724 5728 I850 I859 I864 I982 K704 K711 K721 K729 K765 K766 "
+            "K767"
+        ),
+    },
+    16: {
+        3: "196 197 198 199 C77 C78 C79 C80",
+    },
+    17: {
+        3: "042 043 044 B20 B21 B22 B24",
+    },
 }
 # Codes that additionally count in a second group (fixed values).
 SECOND_GROUP = {13: "40403 40413 40493", 4: "4573"}
@@ -49,37 +122,16 @@ V_CODE_PATTERNS = ("V434%", "V4276%", "V420%", "V451%", "V56%")
 VALIDATION_EXCLUDES = {"C34"}
 
 
-def _alternatives(body: str) -> list[str]:
-    out, i = [], 0
-    while i < len(body):
-        if body[i + 1 : i + 2] == "-":
-            out += [chr(c) for c in range(ord(body[i]), ord(body[i + 2]) + 1)]
-            i += 3
-        else:
-            out.append(body[i])
-            i += 1
-    return out
-
-
-def expand_codes(text: str) -> list[str]:
-    """All prefixes a pattern list stands for."""
-    codes = []
-    for token in text.split():
-        parts = re.findall(r"\[([^\]]+)\]|([^\[\]])", token)
-        choices = [_alternatives(cls) if cls else [ch] for cls, ch in parts]
-        codes += ["".join(c) for c in product(*choices)]
-    return codes
-
-
 def code_rows(variant: str = "main") -> list[tuple[int, str, int]]:
     """(prefix length, prefix, group); length 0 stands for a whole-code match."""
-    rows = []
-    for group, text in GROUP_CODES.items():
-        for code in expand_codes(text):
-            if variant == "validation" and code in VALIDATION_EXCLUDES:
-                continue
-            rows.append((0, code[1:], group) if code[0] == "=" else (len(code), code, group))
-    return rows
+    excluded = VALIDATION_EXCLUDES if variant == "validation" else set()
+    return [
+        (length, code, group)
+        for group, by_length in GROUP_CODES.items()
+        for length, codes in by_length.items()
+        for code in codes.split()
+        if code not in excluded
+    ]
 
 
 def clean_code(col: Column) -> Column:

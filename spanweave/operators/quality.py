@@ -6,11 +6,8 @@ row per cluster, which is what the broadcasts below carry.
 
 from __future__ import annotations
 
-import math
 from collections.abc import Sequence
 
-import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -242,61 +239,6 @@ def _mean_silhouette(scored: DataFrame) -> DataFrame:
     )
 
 
-def silhouette_euclidean(df: DataFrame, cluster: str, features: Sequence[str],
-                         block_rows: int = 4096) -> DataFrame:
-    """Exact Euclidean silhouette per cluster over weighted distinct vectors.
-
-    Distinct vectors are hashed into blocks of about ``block_rows``. Each task
-    compares two blocks as matrices and returns one distance sum per vector and
-    cluster, so neither a pair nor a whole cluster is ever materialised. The
-    work is quadratic in distinct vectors; :func:`silhouette_squared` is the
-    linear form.
-    """
-    vectors = _weighted_vectors(df, cluster, features)
-    blocks = max(1, math.ceil(vectors.count() / block_rows))
-    placed = vectors.withColumn("block", F.pmod(F.xxhash64("cluster", "vector"), F.lit(blocks)).cast("int"))
-    all_blocks = F.sequence(F.lit(0), F.lit(blocks - 1))
-    left = placed.select(F.col("block").alias("i"), F.explode(all_blocks).alias("j"), "cluster", "vector")
-    right = placed.select(
-        F.explode(all_blocks).alias("i"), F.col("block").alias("j"),
-        F.col("cluster").alias("to_cluster"), F.col("vector").alias("to_vector"), "n",
-    )
-
-    def compare(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"cluster": [], "vector": [], "to_cluster": [], "distance": []})
-        x, y = np.stack(a["vector"].to_list()), np.stack(b["to_vector"].to_list())
-        square = (x * x).sum(1)[:, None] + (y * y).sum(1)[None, :] - 2.0 * (x @ y.T)
-        distance = np.sqrt(np.maximum(square, 0.0)) * b["n"].to_numpy()[None, :]
-        parts = []
-        for name in b["to_cluster"].unique():
-            part = a[["cluster", "vector"]].copy()
-            part["to_cluster"] = name
-            part["distance"] = distance[:, (b["to_cluster"] == name).to_numpy()].sum(1)
-            parts.append(part)
-        return pd.concat(parts)
-
-    output = "cluster string, vector array<double>, to_cluster string, distance double"
-    sums = (
-        left.groupBy("i", "j")
-        .cogroup(right.groupBy("i", "j"))
-        .applyInPandas(compare, output)
-        .groupBy("cluster", "vector", "to_cluster")
-        .agg(F.sum("distance").alias("distance"))
-    )
-    sizes = vectors.groupBy("cluster").agg(F.sum("n").alias("size"))
-    means = sums.join(
-        F.broadcast(sizes.withColumnRenamed("cluster", "to_cluster")), "to_cluster"
-    )
-    same = F.col("cluster") == F.col("to_cluster")
-    per_vector = means.groupBy("cluster", "vector").agg(
-        F.max(F.when(same, F.try_divide(F.col("distance"), F.col("size") - 1))).alias("own"),
-        F.min(F.when(~same, F.col("distance") / F.col("size"))).alias("other"),
-        F.max(F.when(same, F.col("size"))).alias("own_size"),
-    )
-    return _mean_silhouette(per_vector.join(vectors, ["cluster", "vector"]))
-
-
 def analyse(df: DataFrame, cluster: str, method: str, features: Sequence[str],
             label: str | None = None) -> dict[str, DataFrame]:
     """Profiles, medoids, separation and importance of one labelling."""

@@ -16,16 +16,14 @@ from ..functions.scalar import age_on, birth_date
 from . import comorbidity
 
 
-def visit_days(visits: DataFrame, max_span_days: int | None = None) -> DataFrame:
+def visit_days(visits: DataFrame) -> DataFrame:
     """One row per visit and day of its span.
 
-    A missing or reversed end counts as the start day. ``max_span_days`` guards
-    against absurd spans (see :func:`span_audit`); by default spans are whole.
+    A missing or reversed end counts as the start day. Spans are never cut;
+    :func:`span_audit` reports absurd ones.
     """
     start, end = F.to_date("visit_start_date"), F.to_date("visit_end_date")
     last = F.when(end.isNull() | (end < start), start).otherwise(end)
-    if max_span_days:
-        last = F.least(last, F.date_add(start, max_span_days - 1))
     return (
         visits.select(
             "person_id",

@@ -103,16 +103,15 @@ def widest_plateau(flags: list[bool]) -> tuple[int, int]:
 
 
 def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
-                   low: float = 0.0, high: float = 1.0, use_sample: bool = True) -> dict:
+                   low: float = 0.0, high: float = 1.0) -> dict:
     """Threshold at the centre of the most stable stretch of the grid.
 
-    The search runs on one year per person (optional), then the class shares at
-    the chosen threshold are compared with those of the full table.
+    The search runs on all rows. The class shares of one year per person at the chosen
+    threshold are only compared with those of all rows.
     """
     score = f"irregularity_{penalty.lower()}"
-    searched = one_year_per_person(features) if use_sample else features
     bounds = (
-        searched.filter((F.col("inpatient_visit_count") == 0) & (F.col("visit_count") >= 2))
+        features.filter((F.col("inpatient_visit_count") == 0) & (F.col("visit_count") >= 2))
         .agg(F.percentile_approx(score, [0.01, 0.99], 10000).alias("q"))
         .first()["q"]
     )
@@ -121,7 +120,7 @@ def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
         if q_low < q_high:
             low, high = q_low, q_high
     points = grid(low, high, step)
-    curve = threshold_curve(searched, score, points)
+    curve = threshold_curve(features, score, points)
     rows = stability_curve(curve, len(points)).orderBy("threshold").collect()
     smooth = np.array([r["smoothed_derivative"] for r in rows])
     flags = smooth <= smooth.min() + max(0.05, float(np.quantile(smooth, 0.1)))
@@ -130,9 +129,8 @@ def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
     chosen = plateau[len(plateau) // 2]
 
     full = rules.classify(features, penalty, chosen)
-    jsd = 0.0
-    if use_sample:
-        jsd = js_divergence(rules.classify(searched, penalty, chosen), full, "archetype").first()[0]
+    one_year = rules.classify(one_year_per_person(features), penalty, chosen)
+    jsd = js_divergence(one_year, full, "archetype").first()[0]
     shares = full.agg(
         (F.avg(F.col("archetype").startswith("Regular").cast("int")) * 100).alias("r"),
         (F.avg(F.col("archetype").startswith("Irregular").cast("int")) * 100).alias("i"),

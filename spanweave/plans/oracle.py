@@ -20,7 +20,7 @@ def group_case(code: str) -> str:
     """First-match CASE over regular expressions."""
     whens = []
     for group, text in GROUP_CODES.items():
-        parts = [t[1:] + "$" if t[0] == "=" else t for t in text.split()]
+        parts = [code + "$" * (length == 0) for length, codes in text.items() for code in codes.split()]
         whens.append(f"WHEN regexp_matches({code}, '^({'|'.join(parts)})') THEN {group}")
     return "CASE " + " ".join(whens) + " ELSE 0 END"
 

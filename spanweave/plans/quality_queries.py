@@ -116,13 +116,12 @@ def davies_bouldin(lab: Lab) -> DataFrame:
     return quality.davies_bouldin(lab.stored_labels, "archetype", _CORE)
 
 
-def _silhouette_sql(distance: str) -> str:
-    return compose("labelled", f"""
+_SILHOUETTE = compose("labelled", """
 , v AS (SELECT archetype AS k, visit_count AS x0, inpatient_visit_count AS x1, hospitalized_days AS x2, count(*) AS n
         FROM labelled GROUP BY 1, 2, 3, 4),
 z AS (SELECT k, sum(n) AS size FROM v GROUP BY 1),
 e AS (SELECT a.k, a.x0, a.x1, a.x2, a.n, b.k AS kb,
-             sum(b.n * {distance}(power(a.x0 - b.x0, 2) + power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2))) AS s
+             sum(b.n * (power(a.x0 - b.x0, 2) + power(a.x1 - b.x1, 2) + power(a.x2 - b.x2, 2))) AS s
       FROM v a, v b GROUP BY 1, 2, 3, 4, 5, 6),
 f AS (SELECT e.k, x0, x1, x2, n, max(CASE WHEN e.k = kb THEN s / (size - 1) END) AS own,
              min(CASE WHEN e.k <> kb THEN s / size END) AS other
@@ -131,12 +130,7 @@ SELECT k AS cluster, round(sum(n * (other - own) / greatest(own, other)) / sum(n
        CAST(sum(n) AS BIGINT) AS cluster_size FROM f GROUP BY 1""")
 
 
-@query("silhouette_euclidean", _silhouette_sql("sqrt"))
-def silhouette_euclidean(lab: Lab) -> DataFrame:
-    return quality.silhouette_euclidean(lab.stored_labels, "archetype", _CORE)
-
-
-@query("silhouette_squared", _silhouette_sql(""))
+@query("silhouette_squared", _SILHOUETTE)
 def silhouette_squared(lab: Lab) -> DataFrame:
     return quality.silhouette_squared(lab.stored_labels, "archetype", _CORE)
 

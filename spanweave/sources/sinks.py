@@ -7,6 +7,7 @@ from collections.abc import Iterable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .schemas import SCHEMAS
 
@@ -22,9 +23,19 @@ SUPPRESSION_THRESHOLD = 10
 
 
 def read_csv(spark: SparkSession, path: str, schema: str | None = None) -> DataFrame:
-    """CSV scan with header; a declared schema avoids the extra inference scan."""
+    """CSV scan with header. Declared columns are taken by their names in the header, in any
+    order, and cast; a missing one is an error, others are left out. Values that do not fit
+    the declared type become null. Without a schema the types are inferred."""
     reader = spark.read.option("header", True)
-    return reader.schema(schema).csv(path) if schema else reader.option("inferSchema", True).csv(path)
+    if schema is None:
+        return reader.option("inferSchema", True).csv(path)
+    text = reader.csv(path)
+    declared = StructType.fromDDL(schema).fields
+    found = {c.strip().lower(): c for c in text.columns}
+    missing = [f.name for f in declared if f.name.lower() not in found]
+    if missing:
+        raise ValueError(f"{path} lacks the columns {', '.join(missing)}")
+    return text.select(*[F.col(f"`{found[f.name.lower()]}`").try_cast(f.dataType).alias(f.name) for f in declared])
 
 
 def ingest_csv(spark: SparkSession, root: str, names: Iterable[str], database: str) -> list[str]:
@@ -139,12 +150,6 @@ def suppress_small_cells(df: DataFrame, threshold: int = SUPPRESSION_THRESHOLD)
     return df.withColumns(cols) if cols else df
 
 
-def sampled(df: DataFrame, max_rows: int = 1_000_000, seed: int = 42) -> DataFrame:
-    """Random sample of about ``max_rows`` rows when the table is larger; stays distributed."""
-    n = df.count()
-    return df.sample(False, max_rows / n, seed) if n > max_rows else df
-
-
 def label_rows(df: DataFrame, model_id: str, cluster: str, run_timestamp: str,
                confidence: str | None = None, entropy: str | None = None,
                outlier: str | None = None, label: str | None = None) -> DataFrame:
