@@ -20,7 +20,9 @@ from .hashing import mix
 #: each of its merges.
 LONG = 512
 #: Distinct words and pieces whose ids a worker remembers; when full it starts anew.
-REMEMBERED = 600_000
+REMEMBERED = 300_000
+#: Rows and characters that are worked on at once.
+ROWS, CHARS = 500, 1_500_000
 #: Widths of the matrices, in bytes.
 WIDTHS = (4, 6, 8, 10, 12, 16, 24, 32, 64, 128, 256, LONG)
 _NO_RANK = np.int32(2**31 - 1)
@@ -214,7 +216,7 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(path, pattern)
 
 
-def _runs(texts: list, chars: int = 3_000_000) -> Iterator[list[str]]:
+def _runs(texts: list, chars: int = CHARS) -> Iterator[list[str]]:
     run, size = [], 0
     for text in texts:
         run.append(text or "")
@@ -233,8 +235,10 @@ def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, each) ->
 
     def run(chunks):
         for chunk in chunks:
-            made = pa.array(each(chunk.column(source).to_pylist()), kind)
-            yield pa.RecordBatch.from_arrays([*[chunk.column(n) for n in names], made], names=[*names, target])
+            for at in range(0, chunk.num_rows, ROWS):
+                part = chunk.slice(at, ROWS)
+                made = pa.array(each(part.column(source).to_pylist()), kind)
+                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], made], names=[*names, target])
 
     schema = df.select(*names).schema.add(target, "binary")
     return df.mapInArrow(run, schema)

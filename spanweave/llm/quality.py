@@ -182,13 +182,12 @@ def rate(docs: DataFrame, model: OrdinalModel, least: float | None = None) -> Da
 
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
-            expected, chance = [], []
-            for _, raw in batches(chunk.column("text").to_pylist()):
+            for first, raw in batches(chunk.column("text").to_pylist()):
                 row, column, value = features(raw)
                 tails = model.tails(np.bincount(row, model.weights[column] * value, len(raw)))
-                expected.append(model.expected(tails))
-                chance.append(np.ones(len(raw)) if at == 0 else tails[:, at - 1] if at <= tails.shape[1] else np.zeros(len(raw)))
-            made = [pa.array(np.concatenate([np.zeros(0), *x])) for x in (expected, chance)]
-            yield pa.RecordBatch.from_arrays([*chunk.columns, *made], names=[*chunk.schema.names, "expected_grade", "p_least"])
+                p = np.ones(len(raw)) if at == 0 else tails[:, at - 1] if at <= tails.shape[1] else np.zeros(len(raw))
+                part = chunk.slice(first, len(raw))
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(model.expected(tails)), pa.array(p)],
+                                                 names=[*part.schema.names, "expected_grade", "p_least"])
 
     return docs.mapInArrow(run, StructType(list(docs.schema.fields)).add("expected_grade", "double").add("p_least", "double"))
