@@ -228,20 +228,42 @@ def _runs(texts: list, chars: int = CHARS) -> Iterator[list[str]]:
         yield run
 
 
-def _mapped(df: DataFrame, source: str, target: str, kind: pa.DataType, each) -> DataFrame:
-    """``df`` with the column ``target`` made from ``source`` by ``each(list) -> list``."""
-    kept = [f for f in df.schema.fields if f.name != target]
-    names = [f.name for f in kept]
+def _mapped(df: DataFrame, steps: list, without: str | None = None) -> DataFrame:
+    """``df`` with binary columns added by steps (source, target, each(list) -> list), all in
+    one Python worker, and without the column ``without``."""
+    targets = [target for _, target, _ in steps]
+    given = [f for f in df.schema.fields if f.name not in targets]
+    kept = [f.name for f in given if f.name != without]
 
     def run(chunks):
         for chunk in chunks:
             for at in range(0, chunk.num_rows, ROWS):
                 part = chunk.slice(at, ROWS)
-                made = pa.array(each(part.column(source).to_pylist()), kind)
-                yield pa.RecordBatch.from_arrays([*[part.column(n) for n in names], made], names=[*names, target])
+                held = {f.name: part.column(f.name) for f in given}
+                for source, target, each in steps:
+                    held[target] = pa.array(each(held[source].to_pylist()), pa.binary())
+                yield pa.RecordBatch.from_pydict({name: held[name] for name in [*kept, *targets]})
 
-    schema = df.select(*names).schema.add(target, "binary")
-    return df.mapInArrow(run, schema)
+    schema = df.select(*kept).schema
+    for target in targets:
+        schema = schema.add(target, "binary")
+    return df.select(*[f.name for f in given]).mapInArrow(run, schema)
+
+
+def _encoder(path: str, pattern: str):
+    def each(texts):
+        words = vocabulary(path, pattern)
+        return [ids for run in _runs(texts) for ids in words.encode(run)]
+
+    return each
+
+
+def _decoder(path: str, pattern: str):
+    def each(rows):
+        words = vocabulary(path, pattern)
+        return [words.decode(row or b"") for row in rows]
+
+    return each
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -253,18 +275,16 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     columns and all rows, repeated ones too, pass unchanged; an empty table stays empty.
     Each worker remembers the ids of up to REMEMBERED distinct pieces.
     """
-    def each(texts):
-        words = vocabulary(path, pattern)
-        return [ids for run in _runs(texts) for ids in words.encode(run)]
-
-    return _mapped(df, text, ids, pa.binary(), each)
+    return _mapped(df, [(text, ids, _encoder(path, pattern))])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:
     """``df`` with a binary column ``raw``: the bytes that ``ids`` stand for; null ids give
     no bytes. An id outside the vocabulary is an error."""
-    def each(rows):
-        words = vocabulary(path, pattern)
-        return [words.decode(row or b"") for row in rows]
+    return _mapped(df, [(ids, raw, _decoder(path, pattern))])
+
 
-    return _mapped(df, ids, raw, pa.binary(), each)
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
+    """``df`` with columns ids and decoded in place of ``text``: ``encode`` and ``decode`` in
+    one pass, so that a task needs one Python worker and one vocabulary."""
+    return _mapped(df, [(text, "ids", _encoder(path, pattern)), ("ids", "decoded", _decoder(path, pattern))], without=text)

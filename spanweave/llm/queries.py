@@ -30,8 +30,7 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def tokens_and_back(docs: DataFrame) -> DataFrame:
     """``docs`` without its text, with n_tokens and the sha256 of ids and of decoded bytes."""
-    ids = bpe.encode(docs, BYTE_RANKS, public_tokenizers.PATTERN).drop("text")
-    back = bpe.decode(ids, BYTE_RANKS, public_tokenizers.PATTERN)
+    back = bpe.encode_and_decode(docs, BYTE_RANKS, public_tokenizers.PATTERN)
     return back.select(*[c for c in docs.columns if c != "text"], (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
                        F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
 
