@@ -225,7 +225,7 @@ def test_plateau_rules():
 
 
 def test_threshold_search_against_brute_force(lab):
-    pdf = sampling.one_year_per_person(lab.features).toPandas()
+    pdf = lab.features.toPandas()
     found = tuning.find_threshold(lab.features, "L1")
     points = tuning.grid(found["threshold_grid_min"], found["threshold_grid_max"], 0.05)
     assert found["optimal_threshold"] in points
