@@ -10,6 +10,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .scratch import settle
+
 #: N-grams in a profile.
 RANKS = 400
 #: Documents of each language that a profile is made from, on average.
@@ -82,7 +84,7 @@ def learn(docs: DataFrame, per_language: int = PER_LANGUAGE, ranks: int = RANKS)
     language come to the driver. Rows with null lang or text teach nothing.
     """
     docs = docs.select("doc_id", "text", "lang").where("lang IS NOT NULL AND text IS NOT NULL")
-    sizes = docs.groupBy("lang").agg(F.count("*").alias("n"))
+    sizes = settle(docs.groupBy("lang").agg(F.count("*").alias("n")), "language-sizes")  # so its size is known to the join
     draw = F.pmod(F.xxhash64("doc_id"), F.lit(1_000_003)) / F.lit(1_000_003.0)
     sample = docs.join(sizes, "lang").where(draw * F.col("n") < per_language).select("text", "lang")
 
