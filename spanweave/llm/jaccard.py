@@ -32,6 +32,8 @@ FINE = 16
 BINS = 256
 #: Sets of one signature that are compared with each other at once.
 BLOCK = 1000
+#: Shingles of the documents that are compared by their texts in one place, about.
+SHINGLES = 500_000
 
 
 @dataclass(frozen=True)
@@ -211,34 +213,52 @@ def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
 
 def _comparer(words: int, percent: int):
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: dict[int, np.ndarray] = {}
-        for chunk in chunks:
-            a, b = chunk.column("a").to_pylist(), chunk.column("b").to_pylist()
-            texts = dict(zip(a, chunk.column("text_a").to_pylist()))
-            texts |= dict(zip(b, chunk.column("text_b").to_pylist()))
-            kept = {i: s for i, s in kept.items() if i in texts}
-            fresh = [i for i in texts if i not in kept]
-            for at, raw in batches([texts[i] for i in fresh]):
-                kept |= zip(fresh[at : at + len(raw)], shingle_sets(raw, words))
+        for rows in _runs(chunks, ["clump", "i", "j"]):
+            texts = rows.filter(rows.column("b").is_null())
+            ids, kept = texts.column("a").to_pylist(), {}
+            for at, raw in batches(texts.column("text").to_pylist()):
+                for key, found in zip(ids[at : at + len(raw)], shingle_sets(raw, words)):
+                    kept.setdefault(key, []).append(found)
+            pairs = rows.filter(rows.column("b").is_valid()).select(["a", "b"])
             near = []
-            for x, y in zip(a, b):
-                s, t = kept[x], kept[y]
-                shared = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
-                near.append(100 * shared >= percent * (len(s) + len(t) - shared))
-            yield chunk.select(["a", "b"]).filter(pa.array(near, pa.bool_()))
+            for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
+                near.append(any(_near(s, t, percent) for s in kept[x] for t in kept[y]))
+            yield from pairs.filter(pa.array(near, pa.bool_())).to_batches()
 
     return run
 
 
-def _links(pairs: DataFrame, docs: DataFrame, words: int, percent: int) -> DataFrame:
-    """The pairs (a, b) whose sets are similar enough, compared by their whole texts."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    texts = settle(docs.join(wanted, "doc_id", "left_semi"), "texts")
-    a = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    b = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    both = pairs.join(b, "b").join(a, "a").select("a", "b", "text_a", "text_b")
-    links = settle(both.mapInArrow(_comparer(words, percent), "a bigint, b bigint"), "links")
-    discard(texts)
+def _near(s: np.ndarray, t: np.ndarray, percent: int) -> bool:
+    if not len(s) or not len(t):
+        return False
+    shared = int((s[np.minimum(np.searchsorted(s, t), len(s) - 1)] == t).sum())
+    return 100 * shared >= percent * (len(s) + len(t) - shared)
+
+
+def _links(pairs: DataFrame, docs: DataFrame, sketches: DataFrame, words: int, percent: int) -> DataFrame:
+    """The pairs (a, b) whose sets are similar enough, compared by their whole texts.
+
+    The documents that pairs connect are one clump, dealt to blocks of about SHINGLES
+    shingles. The pairs between two blocks are compared in one place, so a text travels
+    once for each block that it has pairs with and not once for each pair.
+    """
+    keys = ["clump", "i", "j"]
+    sizes = sketches.select(F.col("doc_id").alias("node"), "n_shingles")
+    nodes = settle(components(pairs).join(sizes, "node"), "clumps")
+    blocks = nodes.groupBy("component").agg(F.ceil(F.sum("n_shingles") / SHINGLES).alias("blocks"))
+    placed = settle(nodes.join(blocks, "component").select(
+        "node", F.col("component").alias("clump"), F.pmod(F.xxhash64("node"), F.col("blocks")).alias("block")), "placed-nodes")
+    a = placed.select(F.col("node").alias("a"), "clump", F.col("block").alias("at_a"))
+    b = placed.select(F.col("node").alias("b"), F.col("block").alias("at_b"))
+    dealt = settle(pairs.join(a, "a").join(b, "b").select(
+        "clump", F.least("at_a", "at_b").alias("i"), F.greatest("at_a", "at_b").alias("j"), "a", "b"), "dealt-pairs")
+    texts = settle(docs.join(placed.select(F.col("node").alias("doc_id")), "doc_id", "left_semi"), "texts")
+    needed = dealt.select(*keys, F.explode(F.array("a", "b")).alias("doc_id")).distinct()
+    rows = texts.join(needed, "doc_id").select(*keys, F.col("doc_id").alias("a"), F.lit(None).cast("bigint").alias("b"), "text")
+    rows = rows.unionByName(dealt.withColumn("text", F.lit(None).cast("string")))
+    links = settle(rows.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(
+        _comparer(words, percent), "a bigint, b bigint"), "links")
+    discard(nodes, placed, dealt, texts)
     return links
 
 
@@ -275,11 +295,11 @@ def jaccard_groups(docs: DataFrame, words: int = 5, percent: int = 80) -> DataFr
     stars = members.where("head <> low").select(F.col("low").alias("a"), F.col("head").alias("b"))
     pairs = shared.where("n = 2").select(F.col("low").alias("a"), F.col("high").alias("b")).unionByName(stars).distinct()
     pairs = settle(_plausible(pairs, sketches, percent), "pairs")
-    links = _links(pairs, docs, words, percent)
+    links = _links(pairs, docs, sketches, words, percent)
     found = components(links)
     more = settle(_across(members, found, sketches, percent).join(pairs, ["a", "b"], "left_anti"), "more-pairs")
     if not more.isEmpty():
-        found = components(links.unionByName(_links(more, docs, words, percent)))
+        found = components(links.unionByName(_links(more, docs, sketches, words, percent)))
 
     home = classes.join(found.withColumnRenamed("node", "head"), "head", "left").where("size > 1 OR component IS NOT NULL")
     home = settle(home.select(*same, F.coalesce("component", "head").alias("component")), "homes")
