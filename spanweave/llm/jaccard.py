@@ -33,7 +33,7 @@ BINS = 256
 #: Sets of one signature that are compared with each other at once.
 BLOCK = 1000
 #: Shingles of the documents that are compared by their texts in one place, about.
-SHINGLES = 500_000
+SHINGLES = 100_000
 
 
 @dataclass(frozen=True)
@@ -224,6 +224,8 @@ def _comparer(words: int, percent: int):
             for x, y in zip(pairs.column("a").to_pylist(), pairs.column("b").to_pylist()):
                 near.append(any(_near(s, t, percent) for s in kept[x] for t in kept[y]))
             yield from pairs.filter(pa.array(near, pa.bool_())).to_batches()
+            del rows, texts, kept, pairs
+        pa.default_memory_pool().release_unused()  # the worker idles on while others work
 
     return run
 

@@ -55,7 +55,7 @@ def poisson_mix(docs: DataFrame, weights: dict[str, float] | None = None, epochs
     doc_id), so it is the same under any partitioning; rows that repeat a doc_id get the
     same number. A rate above 16 is split into equal parts with a hash each, which keeps
     the table of the function short; their sum has the same distribution. ``place`` is a
-    hash of (seed, doc_id, copy): rows are ranged by it over all partitions and sorted, so
+    hash of (seed, doc_id, copy): rows are dealt by it over all partitions and sorted there, so
     reading the stored files in order gives a random order. Null or missing source: see
     ``target_rates``. An empty table stays empty. All columns are kept; if docs has
     columns named copy or place they are replaced.
