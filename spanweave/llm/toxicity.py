@@ -40,8 +40,8 @@ class Vocab:
     def __init__(self, texts: list[bytes]):
         found = Words(texts)
         self.first = found.first
-        hashed, place, self.number = np.unique(found.hashes(), return_index=True, return_inverse=True)
-        self.bucket = (hashed % np.uint64(WORD_BUCKETS)).astype(np.int64)
+        self.hashed, place, self.number = np.unique(found.hashes(), return_index=True, return_inverse=True)
+        self.bucket = (self.hashed % np.uint64(WORD_BUCKETS)).astype(np.int64)
         low = _LOWER[found.data]
         before, after = np.concatenate([[np.uint64(32)], low[:-1]]), np.concatenate([low[1:], [np.uint64(32)]])
         code = before << np.uint64(16) | low << np.uint64(8) | after
@@ -167,8 +167,7 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int =
         net["out"][:] = 0
         net["bias"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
         return net
-    all_words = Vocab(texts)
-    text, ids = all_words.windows()
+    all_words, text, ids = _all_windows(texts)
     slot = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.items()}
     t = 0
     for turn in range(rounds):
@@ -195,15 +194,46 @@ def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int =
     return net
 
 
-def _subset(vocab: Vocab, ids: np.ndarray) -> tuple[Vocab, np.ndarray]:
-    """The words of some windows alone, and the windows in their numbers."""
-    words = np.unique(ids[ids >= 0])
+def _all_windows(texts: list[bytes], size: int = 400_000) -> tuple[Vocab, np.ndarray, np.ndarray]:
+    """The words of all texts, and the text and word numbers of all windows. Texts are taken
+    about ``size`` bytes at a time, as hashing them needs many times their own memory."""
+    parts, text, ids, words, at = [], [], [], 0, 0
+    while at < len(texts):
+        end, held = at, 0
+        while end < len(texts) and (end == at or held + len(texts[end]) <= size):
+            held += len(texts[end])
+            end += 1
+        part = Vocab(texts[at:end])
+        nth, local = part.windows()
+        text.append(nth + at)
+        ids.append(np.where(local >= 0, local + words, -1).astype(np.int32))
+        words += len(part.bucket)
+        del part.number
+        parts.append(part)
+        at = end
+    every = object.__new__(Vocab)
+    every.bucket, every.length = (np.concatenate([getattr(p, k) for p in parts]) for k in ("bucket", "length"))
+    every.trigram = np.concatenate([p.trigram for p in parts])
+    every.cut = np.concatenate([[0], np.cumsum(np.concatenate([np.diff(p.cut) for p in parts]))])
+    _, place, number = np.unique(np.concatenate([p.hashed for p in parts]), return_index=True, return_inverse=True)
+    ids = np.concatenate(ids)
+    ids = np.where(ids >= 0, np.append(number, -1)[ids], -1).astype(np.int32)
+    return _words(every, place), np.concatenate(text), ids
+
+
+def _words(vocab: Vocab, words: np.ndarray) -> Vocab:
     some = object.__new__(Vocab)
     some.bucket, some.length = vocab.bucket[words], vocab.length[words]
     size = np.diff(vocab.cut)[words]
     some.cut = np.concatenate([[0], np.cumsum(size)])
     some.trigram = vocab.trigram[np.repeat(vocab.cut[:-1][words] - some.cut[:-1], size) + np.arange(some.cut[-1])]
-    return some, np.where(ids >= 0, np.searchsorted(words, ids), -1)
+    return some
+
+
+def _subset(vocab: Vocab, ids: np.ndarray) -> tuple[Vocab, np.ndarray]:
+    """The words of some windows alone, and the windows in their numbers."""
+    words = np.unique(ids[ids >= 0])
+    return _words(vocab, words), np.where(ids >= 0, np.searchsorted(words, ids), -1)
 
 
 def _in_blocks(net: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, rows: int = 4096) -> np.ndarray:
