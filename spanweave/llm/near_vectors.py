@@ -14,13 +14,15 @@ from .hashing import mix
 from .scratch import discard, settle
 
 #: Vectors in a shard, about; shards are never fewer than MIN_SHARDS.
-SHARD, MIN_SHARDS = 100_000, 6
-#: Vectors in a block of queries, about.
-BLOCK = 50_000
+SHARD, MIN_SHARDS = 100_000, 2
+#: Vectors in a block of queries, about; blocks are never fewer than MIN_BLOCKS.
+BLOCK, MIN_BLOCKS = 50_000, 3
 #: Links of a node and beam while building; in the lowest layer a node keeps twice as many.
-LINKS, BUILD_BEAM = 12, 32
+LINKS, BUILD_BEAM = 8, 16
 #: First beam of a search; it doubles until the audits pass.
-BEAM = 24
+BEAM = 8
+#: Cells of a table of cosines that is compared at once.
+CELLS = 4_000_000
 #: Queries of a block that an audit compares with the whole shard, and the share of their
 #: true links that a search must find.
 AUDIT, RECALL = 256, 0.99
@@ -76,7 +78,7 @@ class Layer:
         candidate taken before, ``most`` at most, filled up with the best others."""
         valid = nodes >= 0
         vectors = self.vectors[np.where(valid, nodes, 0)]
-        mutual = np.einsum("bcd,bed->bce", vectors, vectors)
+        mutual = vectors @ vectors.transpose(0, 2, 1)
         taken = np.zeros(nodes.shape, bool)
         for c in range(nodes.shape[1]):
             rival = np.where(taken, mutual[:, c, :], -2).max(1)
@@ -133,84 +135,178 @@ class Hierarchy:
     """Layers over unit vectors; each holds a drawn share 1 / LINKS of the one below, and its
     nodes come first there. Searches go down from the top, where one node is the start."""
 
-    def __init__(self, vectors: np.ndarray):
-        n = len(vectors)
-        draw = (mix(np.arange(n, dtype=np.uint64), 41) >> np.uint64(11)).astype(float) / 2.0**53
-        level = np.minimum(np.floor(-np.log(draw + 2.0**-54) / np.log(LINKS)), 12).astype(int)
-        self.order = np.argsort(-level, kind="stable")
-        self.vectors = np.ascontiguousarray(vectors[self.order], np.float32)
-        sizes = [int((level >= k).sum()) for k in range(level.max() + 1)] if n else []
-        self.upper: list[Layer] = []
-        for k in range(len(sizes) - 1, -1, -1):
-            layer = Layer(self.vectors[: sizes[k]], 2 * LINKS if k == 0 else LINKS)
-            layer.build(lambda queries, known: np.minimum(self.entries(queries), known - 1))
-            if k:
-                self.upper.append(layer)
-            self.lowest = layer
-
-    def entries(self, queries: np.ndarray) -> np.ndarray:
-        """The node where each query enters below the layers that are complete."""
+    def __init__(self, vectors: np.ndarray, level: np.ndarray, links: list[bytes] | None = None):
+        """A graph over ``vectors``, sorted by falling ``level``: built, or of stored links."""
+        self.vectors, self.level = np.ascontiguousarray(vectors, np.float32), level
+        self.layers: list[Layer] = []
+        stored = None if links is None else [np.frombuffer(b, np.int32) for b in links]
+        for k in range(int(level.max()), -1, -1):
+            size = int((level >= k).sum())
+            layer = Layer(self.vectors[:size], 2 * LINKS if k == 0 else LINKS)
+            if stored is None:
+                layer.build(lambda queries, known: np.minimum(self.entries(queries, self.layers), known - 1))
+            else:
+                lo = 0 if k == 0 else (k + 1) * LINKS
+                layer.links = np.array([row[lo : lo + layer.degree] for row in stored[:size]])
+            self.layers.append(layer)
+        source, column = np.nonzero(self.layers[-1].links >= 0)
+        target = self.layers[-1].links[source, column]
+        order = np.argsort(target, kind="stable")
+        self.back, self.back_from = source[order], np.searchsorted(target[order], np.arange(len(self.vectors) + 1))
+
+    def _around(self, nodes: np.ndarray) -> np.ndarray:
+        """Nodes of the lowest layer that have a link from or to one of ``nodes``."""
+        out = self.layers[-1].links[nodes].ravel()
+        first, count = self.back_from[nodes], self.back_from[nodes + 1] - self.back_from[nodes]
+        place = np.repeat(first - np.cumsum(count) + count, count) + np.arange(count.sum())
+        return np.unique(np.concatenate([out[out >= 0], self.back[place]]))
+
+    def stored_links(self) -> list[bytes]:
+        """The links of each node, those of the lowest layer first."""
+        parts = self.layers[::-1]
+        return [b"".join(layer.links[i].tobytes() for layer in parts[: self.level[i] + 1]) for i in range(len(self.vectors))]
+
+    @staticmethod
+    def entries(queries: np.ndarray, layers: list[Layer]) -> np.ndarray:
+        """The node where each query enters below ``layers``."""
         at = np.zeros(len(queries), np.int64)
-        for layer in self.upper:
+        for layer in layers:
             at = layer.search(queries, at, 1)[0][:, 0]
         return at
 
-    def search(self, queries: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        return self.lowest.search(queries, self.entries(queries), min(beam, len(self.vectors)))
+    def search(self, queries: np.ndarray, own: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
+        """As Layer.search; a query that is node ``own`` itself (-1: none) starts there."""
+        at, far = own.copy(), own < 0
+        at[far] = self.entries(queries[far], self.layers[:-1])
+        return self.layers[-1].search(queries, at, min(beam, len(self.vectors)))
+
+    def flood(self, centre: np.ndarray, start: np.ndarray, floor: float) -> np.ndarray:
+        """All nodes with a cosine of ``floor`` or more with ``centre`` that links of such
+        nodes, followed both ways, reach from ``start``."""
+        seen = np.zeros(len(self.vectors), bool)
+        seen[start] = True
+        inside, edge = [], start
+        while len(edge):
+            edge = edge[self.vectors[edge] @ centre >= floor]
+            inside.append(edge)
+            around = self._around(edge)
+            edge = around[~seen[around]]
+            seen[edge] = True
+        return np.concatenate([np.zeros(0, np.int64), *inside])
+
+
+def _levels(n: int) -> np.ndarray:
+    draw = (mix(np.arange(n, dtype=np.uint64), 41) >> np.uint64(11)).astype(float) / 2.0**53
+    return np.minimum(np.floor(-np.log(draw + 2.0**-54) / np.log(LINKS)), 12).astype(int)
 
 
 def _unit(rows) -> np.ndarray:
-    exact = np.array([np.asarray(r, np.float64) for r in rows])
+    exact = np.stack([np.asarray(r, np.float64) for r in rows])
+    exact = np.ldexp(exact, -np.frexp(np.abs(exact).max(1))[1][:, None])  # squares stay in range
     return exact / np.linalg.norm(exact, axis=1, keepdims=True)
 
 
-def _links_in(shard: np.ndarray, queries: np.ndarray, threshold: float, beam: int, recall: float) -> tuple[np.ndarray, np.ndarray, int]:
-    """(query, node) of all pairs found with a cosine of ``threshold`` or more, verified in
-    double precision, and the beam that the audits accepted."""
-    index = Hierarchy(shard)
+class _Found:
+    """Links of a block of queries with a shard: for each query the rows it is linked with,
+    and links that join the same vectors as all of them."""
+
+    def __init__(self, ids: np.ndarray, heads: np.ndarray, sizes: np.ndarray):
+        self.ids, self.heads, self.sizes = ids, heads, sizes
+        self.count = np.zeros(len(ids), np.int64)
+        self.a, self.b = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+
+    def add_pairs(self, row: np.ndarray, node: np.ndarray) -> None:
+        other = self.ids[row] != self.heads[node]
+        row, node = row[other], node[other]
+        self.count += np.bincount(row, self.sizes[node], len(self.ids)).astype(np.int64)
+        self.a.append(self.ids[row])
+        self.b.append(self.heads[node])
+
+    def add_table(self, rows: np.ndarray, nodes: np.ndarray, linked: np.ndarray) -> None:
+        """``linked``[i, j]: query rows[i] and nodes[j] are linked, or the same vector."""
+        mine = np.where(linked & (self.ids[rows][:, None] == self.heads[nodes]), self.sizes[nodes], 0).sum(1)
+        self.count[rows] += linked @ self.sizes[nodes] - mine
+        none = len(nodes)
+        low = np.arange(none, dtype=np.int32)
+        while True:
+            of_row = np.where(linked, low, none).min(1, initial=none)
+            new = np.minimum(low, np.where(linked, of_row[:, None], none).min(0, initial=none))
+            if (new == low).all():
+                break
+            low = new
+        some = np.flatnonzero(of_row < none)
+        self.a += [self.ids[rows[some]], self.heads[nodes]]
+        self.b += [self.heads[nodes[of_row[some]]], self.heads[nodes[low]]]
+
+
+def _links_in(index: Hierarchy, shard: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, first_beam: int, recall: float,
+              found: _Found) -> int:
+    """Tell ``found`` all links found between ``queries`` and the shard's vectors, verified in
+    double precision. Queries that are nodes of the shard (``own``, else -1) and others have
+    audits and beams of their own. Gives the widest beam that the audits accepted."""
     single = queries.astype(np.float32)
     margin = np.float32(threshold - 1e-4)
-    audit = np.argsort(mix(np.arange(len(queries), dtype=np.uint64), 42))[:AUDIT]
-    truth = single[audit] @ index.vectors.T >= threshold
-    todo, found = np.arange(len(queries)), []
-
-    def look(some: np.ndarray, beam: int) -> tuple[np.ndarray, np.ndarray]:
-        """The hits of some queries; of those whose beam is full of hits, with wider beams."""
-        rows, cols = [], []
-        while len(some):
-            full = []
-            size = max(1, min(512, 60_000_000 // max(1, len(shard))))
-            for i in range(0, len(some), size):
-                part = some[i : i + size]
-                nodes, near = index.search(single[part], beam)
-                hit = (near >= margin) & (nodes >= 0)
-                crowded = hit[:, -1] & (beam < len(shard))
-                full.append(part[crowded])
-                r, c = np.nonzero(hit & ~crowded[:, None])
-                rows.append(part[r])
-                cols.append(nodes[r, c])
-            some, beam = np.concatenate(full), 4 * beam
-        return np.concatenate([np.zeros(0, np.int64), *rows]), np.concatenate([np.zeros(0, np.int64), *cols])
+    # what is near a vector that is near the centre is within twice the angle of it
+    floor = np.float32(2 * threshold**2 - 1 - 1e-4) if threshold > 0 else np.float32(-2)
 
-    while True:
-        row, col = look(audit, beam)
-        got = np.zeros(truth.shape, bool)
-        got[_places(audit, row), col] = True
-        if (got & truth).sum() >= recall * truth.sum() or beam >= len(shard):
-            break
-        beam *= 2
-    row, col = look(todo, beam)
-    node = index.order[col]
-    exact = np.zeros(len(row), bool)
-    for i in range(0, len(row), 200_000):
-        part = slice(i, i + 200_000)
-        exact[part] = np.einsum("kd,kd->k", queries[row[part]], shard[node[part]]) >= threshold
-    return row[exact], node[exact], beam
+    def look(some: np.ndarray, beam: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray | None]]:
+        """(queries, nodes, None) of hits as pairs, or (queries, nodes, linked) as a table.
 
-
-def _places(keys: np.ndarray, values: np.ndarray) -> np.ndarray:
-    order = np.argsort(keys)
-    return order[np.searchsorted(keys[order], values)]
+        Queries whose beam is full of hits widen together: those near one of them are
+        compared with all that lies within twice the angle around that one.
+        """
+        size = max(1, min(2048, 60_000_000 // len(shard)))
+        full, hits = [], []
+        for i in range(0, len(some), size):
+            part = some[i : i + size]
+            nodes, near = index.search(single[part], own[part], beam)
+            hit = (near >= margin) & (nodes >= 0)
+            crowded = hit[:, -1] & (beam < len(shard))
+            full.append(part[crowded])
+            hits.append(nodes[crowded])
+            r, c = np.nonzero(hit & ~crowded[:, None])
+            row, node = part[r], nodes[r, c]
+            exact = np.einsum("kd,kd->k", queries[row], shard[node]) >= threshold
+            yield row[exact], node[exact], None
+        left, hits = np.concatenate(full), np.concatenate(hits)
+        while len(left):
+            centre = single[left[0]]
+            group = single[left] @ centre >= margin
+            group[0] = True
+            near, start = left[group], np.unique(hits[group])
+            left, hits = left[~group], hits[~group]
+            ball = np.sort(index.flood(centre, start, floor))
+            size = max(1, CELLS // len(ball))
+            for i in range(0, len(near), size):
+                part = near[i : i + size]
+                yield part, ball, queries[part] @ shard[ball].T >= threshold
+
+    widest = 0
+    for some in (np.flatnonzero(own >= 0), np.flatnonzero(own < 0)):
+        if not len(some):
+            continue
+        audit = some[np.argsort(mix(some.astype(np.uint64), 42))[:AUDIT]]
+        truth = queries[audit] @ shard.T >= threshold
+        place = np.full(len(queries), -1)
+        place[audit] = np.arange(len(audit))
+        beam = first_beam
+        while True:
+            got = np.zeros(truth.shape, bool)
+            for rows, nodes, linked in look(audit, beam):
+                if linked is None:
+                    got[place[rows], nodes] = True
+                else:
+                    got[np.ix_(place[rows], nodes)] |= linked
+            if (got & truth).sum() >= recall * truth.sum() or beam >= len(shard):
+                break
+            beam *= 2
+        for rows, nodes, linked in look(some, beam):
+            if linked is None:
+                found.add_pairs(rows, nodes)
+            else:
+                found.add_table(rows, nodes, linked)
+        widest = max(widest, beam)
+    return widest
 
 
 def _forest(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -245,8 +341,8 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
     vector per distinct embedding. An empty table gives an empty result.
 
     Equal embeddings are one class of rows, linked among themselves. Classes are dealt to
-    shards by hash; a task builds the graphs of a shard and searches them for a block of all
-    classes, so all blocks meet all shards. A task returns counts for each query and a
+    shards by hash; a task builds the graphs of a shard, which are stored as rows. Each block
+    of all classes then searches every shard. A task returns counts for each query and a
     spanning forest of what it linked, not the pairs.
     """
     x = F.col("embedding")
@@ -256,28 +352,43 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
     good = rows.where(sound)
     classes = settle(good.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("size")), "vector-classes")
     n = classes.count()
-    shards, blocks = max(MIN_SHARDS, -(-n // shard)), max(1, -(-n // block))
+    shards, blocks = max(MIN_SHARDS, -(-n // shard)), max(MIN_BLOCKS, -(-n // block))
     hashed = F.xxhash64("head")
-    mine = classes.withColumns({"shard": F.pmod(hashed, F.lit(shards)).cast("int"),
-                                "block": F.explode(F.sequence(F.lit(0), F.lit(blocks - 1)))})
+
+    def grow(part: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        part = part.sort_values("head")
+        for _, some in part.groupby(part["embedding"].map(len)):
+            level = _levels(len(some))
+            order = np.argsort(-level, kind="stable")
+            some = some.iloc[order]
+            index = Hierarchy(_unit(some["embedding"]), level[order])
+            out.append(some.assign(place=np.arange(len(some)), level=level[order], links=index.stored_links()))
+        return pd.concat(out)
+
+    graphs = settle(
+        classes.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(
+            grow, "embedding array<double>, head bigint, size bigint, shard int, place int, level int, links binary"),
+        "vector-graphs")
+    mine = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = classes.withColumns({"block": F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int"),
                                  "shard": F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))})
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        left, right = left.sort_values("head"), right.sort_values("head")
+        left, right = left.sort_values("place"), right.sort_values("head")
         for width, part in left.groupby(left["embedding"].map(len)):
             query = right[right["embedding"].map(len) == width]
             if not len(query):
                 continue
-            heads, ids = part["head"].to_numpy(), query["head"].to_numpy()
-            row, node, used = _links_in(_unit(part["embedding"]), _unit(query["embedding"]), threshold, beam, recall)
-            other = ids[row] != heads[node]
-            row, node = row[other], node[other]
-            count = np.bincount(row, part["size"].to_numpy()[node], len(ids)).astype(np.int64)
-            some = np.flatnonzero(count)
-            out.append(pd.DataFrame({"a": ids[some], "b": ids[some], "n": count[some], "beam": used}))
-            a, b = _forest(ids[row], heads[node])
+            ids, heads, exact = query["head"].to_numpy(), part["head"].to_numpy(), _unit(part["embedding"])
+            own = pd.Series(np.arange(len(heads)), heads).reindex(ids, fill_value=-1).to_numpy()
+            found = _Found(ids, heads, part["size"].to_numpy())
+            index = Hierarchy(exact, part["level"].to_numpy(), list(part["links"]))
+            used = _links_in(index, exact, _unit(query["embedding"]), own, threshold, beam, recall, found)
+            some = np.flatnonzero(found.count)
+            out.append(pd.DataFrame({"a": ids[some], "b": ids[some], "n": found.count[some], "beam": used}))
+            a, b = _forest(np.concatenate(found.a), np.concatenate(found.b))
             out.append(pd.DataFrame({"a": a, "b": b, "n": 0, "beam": used}))
         return pd.concat(out) if out else pd.DataFrame({"a": [], "b": [], "n": [], "beam": []})
 
@@ -291,5 +402,5 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
     out = rows.join(home, "embedding", "left").select(
         "vec_id", F.coalesce("n_links", F.lit(0)).alias("n_links"),
         F.when(F.col("vec_id").isNotNull(), F.coalesce("component", "vec_id")).alias("component_id"))
-    discard(met)
+    discard(met, graphs)
     return out.withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

@@ -92,10 +92,34 @@ def test_graph_search_finds_what_brute_force_finds():
     centres = draw.normal(size=(40, 16))
     x = np.concatenate([draw.normal(size=(600, 16)), (centres[:, None] + 0.05 * draw.normal(size=(40, 12, 16))).reshape(-1, 16)])
     x /= np.linalg.norm(x, axis=1, keepdims=True)
-    row, node, _ = near_vectors._links_in(x[:700], x, 0.95, near_vectors.BEAM, near_vectors.RECALL)
-    truth = set(zip(*np.nonzero(x @ x[:700].T >= 0.95)))
-    found = set(zip(row.tolist(), node.tolist()))
-    assert found <= truth and len(found) >= 0.98 * len(truth)
+    level = near_vectors._levels(700)
+    order = np.argsort(-level, kind="stable")
+    shard, level = x[:700][order], level[order]
+    built = near_vectors.Hierarchy(shard, level)
+    stored = near_vectors.Hierarchy(shard, level, built.stored_links())
+    assert all((a.links == b.links).all() for a, b in zip(built.layers, stored.layers))
+    own = np.full(len(x), -1)
+    own[order] = np.arange(700)
+    found = near_vectors._Found(np.arange(len(x)), order, np.ones(700, np.int64))
+    near_vectors._links_in(stored, shard, x, own, 0.95, near_vectors.BEAM, near_vectors.RECALL, found)
+    truth = (x @ shard.T >= 0.95) & (np.arange(len(x))[:, None] != order)
+    count = truth.sum(1)
+    assert (found.count <= count).all() and found.count.sum() >= 0.98 * count.sum()
+
+
+def test_crowds_of_vectors_are_counted_whole():
+    draw = np.random.default_rng(6)
+    x = np.concatenate([draw.normal(size=(200, 16)), draw.normal(size=16) + 0.1 * draw.normal(size=(600, 16))])
+    x = near_vectors._unit(x[draw.permutation(800)] * 1e200)
+    level = near_vectors._levels(800)
+    order = np.argsort(-level, kind="stable")
+    own = np.argsort(order)
+    found = near_vectors._Found(np.arange(800), order, np.ones(800, np.int64))
+    near_vectors._links_in(near_vectors.Hierarchy(x[order], level[order]), x[order], x, own, 0.95, near_vectors.BEAM, 1.0, found)
+    near = x @ x.T >= 0.95
+    assert (found.count == near.sum(1) - 1).mean() > 0.999
+    child, top = near_vectors._forest(np.concatenate(found.a), np.concatenate(found.b))
+    assert set(child) | set(top) == set(np.flatnonzero(near.sum(1) > 1))
 
 
 def test_forest_joins_the_same_nodes():
