@@ -14,18 +14,20 @@ from .hashing import mix
 from .scratch import discard, settle
 
 #: Vectors in a shard, about; shards are never fewer than MIN_SHARDS.
-SHARD, MIN_SHARDS = 100_000, 2
+SHARD, MIN_SHARDS = 100_000, 6
 #: Vectors in a block of queries, about; blocks are never fewer than MIN_BLOCKS.
 BLOCK, MIN_BLOCKS = 50_000, 3
 #: Links of a node and beam while building; in the lowest layer a node keeps twice as many.
-LINKS, BUILD_BEAM = 8, 16
+LINKS, BUILD_BEAM = 12, 32
 #: First beam of a search; it doubles until the audits pass.
-BEAM = 8
+BEAM = 24
 #: Cells of a table of cosines that is compared at once.
 CELLS = 4_000_000
-#: Queries of a block that an audit compares with the whole shard, and the share of their
-#: true links that a search must find.
+#: Queries of a block that an audit compares with the whole shard at least, and the share of
+#: a linked query's true links that a search must find on average.
 AUDIT, RECALL = 256, 0.99
+#: An audit goes on until it has so many linked queries, or has compared DRAWN queries.
+ENOUGH, DRAWN = 64, 4096
 
 
 class Layer:
@@ -239,11 +241,49 @@ class _Found:
         self.b += [self.heads[nodes[of_row[some]]], self.heads[nodes[low]]]
 
 
+class _Audit:
+    """Queries of ``some``, drawn by hash, that are linked with other vectors of the shard, and
+    their true links. Crowded queries, with as many links as the first beam has places, and
+    the others are drawn and judged apart, as neither tells how well the other is searched."""
+
+    def __init__(self, shard: np.ndarray, queries: np.ndarray, own: np.ndarray, some: np.ndarray, threshold: float, first_beam: int):
+        order = some[np.argsort(mix(some.astype(np.uint64), 42))]
+        kept, truth, met, drawn = [[], []], [[], []], [0, 0], 0
+        size = max(1, min(AUDIT, CELLS // len(shard)))
+        while drawn < min(len(order), DRAWN):
+            part = order[drawn : drawn + size]
+            drawn += len(part)
+            near = queries[part] @ shard.T >= threshold
+            inside = np.flatnonzero(own[part] >= 0)
+            near[inside, own[part[inside]]] = False
+            links = near.sum(1)
+            for k, kind in enumerate(((links > 0) & (links < first_beam), links >= first_beam)):
+                new = np.flatnonzero(kind)
+                met[k] += len(new)
+                new = new[: AUDIT - sum(map(len, kept[k]))]
+                kept[k].append(part[new])
+                truth[k].append(near[new])
+            if drawn >= AUDIT and met[0] >= ENOUGH and (met[1] >= ENOUGH or not met[1]):
+                break
+        #: Whether enough linked queries were met, or all queries were compared.
+        self.enough = drawn == len(order) or met[0] >= ENOUGH and (met[1] >= ENOUGH or not met[1])
+        self.kinds = [len(np.concatenate(k)) for k in kept]
+        self.rows = np.concatenate([*kept[0], *kept[1]])
+        self.truth = np.concatenate([*truth[0], *truth[1]])
+
+    def recalls(self, got: np.ndarray) -> list[float]:
+        """The mean share of true links in ``got`` of uncrowded and of crowded queries."""
+        share = (got & self.truth).sum(1) / self.truth.sum(1)
+        a = self.kinds[0]
+        return [part.mean() if len(part) else 1.0 for part in (share[:a], share[a:])]
+
+
 def _links_in(index: Hierarchy, shard: np.ndarray, queries: np.ndarray, own: np.ndarray, threshold: float, first_beam: int, recall: float,
               found: _Found) -> int:
     """Tell ``found`` all links found between ``queries`` and the shard's vectors, verified in
     double precision. Queries that are nodes of the shard (``own``, else -1) and others have
-    audits and beams of their own. Gives the widest beam that the audits accepted."""
+    audits and beams of their own. Where an audit met too few linked queries to judge by, the
+    beam doubles until that changes no query's count either. Gives the widest beam used."""
     single = queries.astype(np.float32)
     margin = np.float32(threshold - 1e-4)
     # what is near a vector that is near the centre is within twice the angle of it
@@ -285,26 +325,31 @@ def _links_in(index: Hierarchy, shard: np.ndarray, queries: np.ndarray, own: np.
     for some in (np.flatnonzero(own >= 0), np.flatnonzero(own < 0)):
         if not len(some):
             continue
-        audit = some[np.argsort(mix(some.astype(np.uint64), 42))[:AUDIT]]
-        truth = queries[audit] @ shard.T >= threshold
+        audit = _Audit(shard, queries, own, some, threshold, first_beam)
         place = np.full(len(queries), -1)
-        place[audit] = np.arange(len(audit))
-        beam = first_beam
+        place[audit.rows] = np.arange(len(audit.rows))
+        beam, past = first_beam, None
         while True:
-            got = np.zeros(truth.shape, bool)
-            for rows, nodes, linked in look(audit, beam):
+            got = np.zeros(audit.truth.shape, bool)
+            for rows, nodes, linked in look(audit.rows, beam) if len(audit.rows) else ():
                 if linked is None:
                     got[place[rows], nodes] = True
                 else:
                     got[np.ix_(place[rows], nodes)] |= linked
-            if (got & truth).sum() >= recall * truth.sum() or beam >= len(shard):
-                break
+            if min(audit.recalls(got)) >= recall or beam >= len(shard):
+                made = _Found(found.ids, found.heads, found.sizes)
+                for rows, nodes, linked in look(some, beam):
+                    if linked is None:
+                        made.add_pairs(rows, nodes)
+                    else:
+                        made.add_table(rows, nodes, linked)
+                if audit.enough or beam >= len(shard) or past is not None and (made.count == past).all():
+                    break
+                past = made.count
             beam *= 2
-        for rows, nodes, linked in look(some, beam):
-            if linked is None:
-                found.add_pairs(rows, nodes)
-            else:
-                found.add_table(rows, nodes, linked)
+        found.count += made.count
+        found.a += made.a
+        found.b += made.b
         widest = max(widest, beam)
     return widest
 

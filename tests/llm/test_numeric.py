@@ -122,6 +122,58 @@ def test_crowds_of_vectors_are_counted_whole():
     assert set(child) | set(top) == set(np.flatnonzero(near.sum(1) > 1))
 
 
+def _near_counts(x, shard_size, beam):
+    """(found, true) counts of other vectors linked with each of x, of which the first are the shard."""
+    level = near_vectors._levels(shard_size)
+    order = np.argsort(-level, kind="stable")
+    own = np.full(len(x), -1)
+    own[order] = np.arange(shard_size)
+    found = near_vectors._Found(np.arange(len(x)), order, np.ones(shard_size, np.int64))
+    index = near_vectors.Hierarchy(x[:shard_size][order], level[order])
+    near_vectors._links_in(index, x[:shard_size][order], x, own, 0.95, beam, near_vectors.RECALL, found)
+    return found.count, (x @ x[:shard_size].T >= 0.95).sum(1) - (own >= 0)
+
+
+def _tight(draw, groups, size, width):
+    centres = draw.normal(size=(groups, 1, width))
+    return (centres + 0.05 * draw.normal(size=(groups, size, width))).reshape(-1, width)
+
+
+def test_small_groups_beside_a_crowd_are_found():
+    draw = np.random.default_rng(9)
+    crowd = draw.normal(size=24) + 0.05 * draw.normal(size=(700, 24))
+    pairs = _tight(draw, 400, 2, 24)
+    x = near_vectors._unit(np.concatenate([crowd, pairs, draw.normal(size=(500, 24))]))[draw.permutation(2000)]
+    found, true = _near_counts(x, 1200, 1)
+    few = (true > 0) & (true < 24)
+    assert few.sum() > 300 and (found <= true).all()
+    assert (found[few] / true[few]).mean() >= 0.97 and found[true >= 24].sum() >= 0.97 * true[true >= 24].sum()
+
+
+def test_rare_links_are_found():
+    draw = np.random.default_rng(10)
+    x = near_vectors._unit(np.concatenate([draw.normal(size=(2964, 24)), _tight(draw, 18, 2, 24)]))[draw.permutation(3000)]
+    found, true = _near_counts(x, 2000, 1)
+    assert true.sum() and found.sum() >= 0.95 * true.sum() and (found <= true).all()
+
+
+def test_an_audit_draws_until_enough_queries_are_linked(monkeypatch):
+    draw = np.random.default_rng(11)
+    crowd = draw.normal(size=24) + 0.05 * draw.normal(size=(700, 24))
+    x = near_vectors._unit(np.concatenate([crowd, _tight(draw, 100, 2, 24), draw.normal(size=(1100, 24))]))[draw.permutation(2000)]
+    own = np.arange(2000)
+    audit = near_vectors._Audit(x, x, own, own, 0.95, 24)
+    true = (x @ x.T >= 0.95).sum(1) - 1
+    assert audit.enough and audit.kinds[0] >= near_vectors.ENOUGH and audit.kinds[1] >= near_vectors.ENOUGH
+    assert (audit.truth.sum(1) == true[audit.rows]).all()
+    lost = audit.truth.copy()
+    lost[: audit.kinds[0]] = False
+    assert audit.recalls(audit.truth) == [1.0, 1.0] and audit.recalls(lost) == [0.0, 1.0]
+    assert (lost & audit.truth).sum() >= 0.99 * audit.truth.sum()
+    monkeypatch.setattr(near_vectors, "DRAWN", 300)
+    assert not near_vectors._Audit(x, x, own, own, 0.95, 24).enough
+
+
 def test_forest_joins_the_same_nodes():
     draw = np.random.default_rng(2)
     a, b = draw.integers(0, 60, 50), draw.integers(0, 60, 50)
