@@ -395,14 +395,16 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
         x, lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf"))) & F.exists(x, lambda v: v != 0), F.lit(False))
     rows = vectors.select("vec_id", F.col("embedding").cast("array<double>").alias("embedding"))
     good = rows.where(sound)
-    classes = settle(good.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("size")), "vector-classes")
+    # a vec_id with several embeddings heads several classes, so each class has a key of its own
+    classes = settle(good.groupBy("embedding").agg(F.min("vec_id").alias("head"), F.count("*").alias("size")).withColumn(
+        "key", F.monotonically_increasing_id()), "vector-classes")
     n = classes.count()
     shards, blocks = max(MIN_SHARDS, -(-n // shard)), max(MIN_BLOCKS, -(-n // block))
-    hashed = F.xxhash64("head")
+    hashed = F.xxhash64("head", "embedding")
 
     def grow(part: pd.DataFrame) -> pd.DataFrame:
         out = []
-        part = part.sort_values("head")
+        part = part.sort_values(["head", "key"])
         for _, some in part.groupby(part["embedding"].map(len)):
             level = _levels(len(some))
             order = np.argsort(-level, kind="stable")
@@ -413,7 +415,7 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
 
     graphs = settle(
         classes.withColumn("shard", F.pmod(hashed, F.lit(shards)).cast("int")).groupBy("shard").applyInPandas(
-            grow, "embedding array<double>, head bigint, size bigint, shard int, place int, level int, links binary"),
+            grow, "embedding array<double>, head bigint, size bigint, key bigint, shard int, place int, level int, links binary"),
         "vector-graphs")
     mine = graphs.withColumn("block", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
     asked = classes.withColumns({"block": F.pmod(F.shiftright(hashed, 20), F.lit(blocks)).cast("int"),
@@ -421,12 +423,12 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
 
     def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         out = []
-        left, right = left.sort_values("place"), right.sort_values("head")
+        left, right = left.sort_values("place"), right.sort_values(["head", "key"])
         for width, part in left.groupby(left["embedding"].map(len)):
             query = right[right["embedding"].map(len) == width]
             if not len(query):
                 continue
-            ids, heads, exact = query["head"].to_numpy(), part["head"].to_numpy(), _unit(part["embedding"])
+            ids, heads, exact = query["key"].to_numpy(), part["key"].to_numpy(), _unit(part["embedding"])
             own = pd.Series(np.arange(len(heads)), heads).reindex(ids, fill_value=-1).to_numpy()
             found = _Found(ids, heads, part["size"].to_numpy())
             index = Hierarchy(exact, part["level"].to_numpy(), list(part["links"]))
@@ -439,9 +441,11 @@ def near_vectors(vectors: DataFrame, threshold: float = 0.95, shard: int = SHARD
 
     keys = ["shard", "block"]
     met = settle(mine.groupBy(*keys).cogroup(asked.groupBy(*keys)).applyInPandas(meet, "a bigint, b bigint, n bigint, beam bigint"), "met")
-    counts = met.where("a = b").groupBy(F.col("a").alias("head")).agg(F.sum("n").alias("n"))
+    counts = met.where("a = b").groupBy(F.col("a").alias("key")).agg(F.sum("n").alias("n"))
     found = components(met.where("a <> b").select("a", "b"))
-    home = classes.join(counts, "head", "left").join(found.withColumnRenamed("node", "head"), "head", "left").select(
+    group = classes.join(found.withColumnRenamed("node", "key"), "key").select("key", "head", F.col("component").alias("group"))
+    first = group.groupBy("group").agg(F.min("head").alias("component"))
+    home = classes.join(counts, "key", "left").join(group.join(first, "group").select("key", "component"), "key", "left").select(
         "embedding", (F.coalesce("n", F.lit(0)) + F.col("size") - 1).alias("n_links"), F.coalesce("component", "head").alias("component"))
     home = settle(home.where("n_links > 0"), "vector-homes")
     out = rows.join(home, "embedding", "left").select(

@@ -136,6 +136,21 @@ def test_near_vectors(spark):
     assert near_vectors.near_vectors(df.limit(0)).count() == 0
 
 
+def test_near_vectors_with_repeated_ids(spark):
+    draw = np.random.default_rng(12)
+    x = draw.normal(size=(60, 16))
+    rows = [(i + 10, v.tolist()) for i, v in enumerate(x)]
+    # 20 again, far from its first embedding and near that of 40; 30 again, near its first one
+    rows += [(20, (x[30] + 0.02 * draw.normal(size=16)).tolist()), (30, (x[20] + 0.02 * draw.normal(size=16)).tolist())]
+    rows += [(5, (x[45] + 0.02 * draw.normal(size=16)).tolist()), (55, x[0].tolist())]
+    df = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = sorted((r["vec_id"], r["n_links"], r["component_id"], r["kept"]) for r in near_vectors.near_vectors(df).collect())
+    linked = [(20, 0, 20, True), (20, 1, 20, True), (40, 1, 20, False), (30, 1, 30, True), (30, 1, 30, True),
+              (5, 1, 5, True), (55, 1, 5, False), (55, 1, 10, False), (10, 1, 10, True)]
+    plain = [(i, 0, i, True) for i in range(10, 70) if i not in (10, 20, 30, 40, 55)]
+    assert found == sorted(linked + plain)
+
+
 def test_bpe_round_trip(docs, none):
     import public_tokenizers
 
