@@ -86,7 +86,7 @@ def shingle_sets(texts: list[bytes], words: int) -> list[np.ndarray]:
     scale = mix(np.arange(words, dtype=np.uint64), 2) | np.uint64(1)
     whole = np.zeros(max(0, len(each) - words + 1), np.uint64)
     for j in range(words):
-        whole += each[j : len(each) - words + 1 + j] * scale[j]
+        whole += each[j : j + len(whole)] * scale[j]
     whole = mix(whole, words)
     out = []
     for a, b in zip(found.first[:-1], found.first[1:]):

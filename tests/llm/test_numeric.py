@@ -72,6 +72,17 @@ def test_shingles_follow_their_definition():
     assert sets[5][0] in sets[4]
 
 
+@pytest.mark.parametrize("words", [3, 5])
+@pytest.mark.parametrize("n", range(7))
+def test_shingles_of_runs_of_few_words(n, words):
+    text = [b"w%d" % i for i in range(n)]
+    each = max(0, n - words + 1) or min(n, 1)
+    assert [len(s) for s in hashing.shingle_sets([b" ".join(text)], words)] == [each]
+    assert [len(s) for s in hashing.shingle_sets([b"", *text, b" "], words)] == [0, *[1] * n, 0]
+    assert [s.tolist() for s in hashing.shingle_sets([b" ".join(text)], words)] == [
+        s.tolist() for s in hashing.shingle_sets([b" ".join(text), b"more words after these " * 3], words)[:1]]
+
+
 @pytest.mark.parametrize("percent", [50, 80, 90, 100])
 def test_similar_sets_share_a_signature(percent):
     draw = np.random.default_rng(percent)
