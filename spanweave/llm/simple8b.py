@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 from .scratch import settle
 
 #: A comma or full stop between a letter and a blank.
-_STOP = re.compile(rb"(?<=[a-z])([.,])[ \n]")
+_STOP = re.compile(rb"(?<=[A-Za-z])([.,])[ \n]")
 MAGIC = b"S8BTOK01"
 # Fixed values of the coding: values per word and bits per value, by selector.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -260,13 +260,18 @@ class WordTokens:
     the library works between blanks and line breaks independently, and on a comma or full
     stop between a letter and a blank apart from that letter. So each worker asks it once
     for each distinct word, and its model alone where a word is plain small letters, which
-    the steps before the model leave as they are. It remembers up to REMEMBERED words.
+    the steps before the model leave as they are. Words of ASCII are lower-cased before;
+    others are asked as they are, as the file may compose letters before it lower-cases them.
+    It remembers up to REMEMBERED words.
+
+    ``special``: the file's special tokens in a text count as such, as by the library's
+    default; else they are text like any other.
     """
 
     REMEMBERED = 1_000_000
 
-    def __init__(self, path: str, end: int | None):
-        self.path, self.end = path, end
+    def __init__(self, path: str, end: int | None, special: bool = False):
+        self.path, self.end, self.special = path, end, special
         self.known: dict[bytes, bytes] | None = None
 
     def _ask(self, words: list[bytes]) -> None:
@@ -288,18 +293,41 @@ class WordTokens:
 
             self.known = {}
             self.library = Tokenizer.from_file(self.path)
-            self.library.encode_special_tokens = True
+            added = self.library.get_added_tokens_decoder()
+            if self.special and any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
+                raise ValueError("only special tokens that stand for themselves can be cut out of a text")
+            self.marks = {t.content: i.to_bytes(4, "little") for i, t in added.items()} if self.special else {}
+            self.mark = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))))
+            self.library.encode_special_tokens = True  # texts are cut at them before; lower-cased words may look like one
             self.model = self.library.model
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
-        cut = [_STOP.sub(rb" \1 ", text.encode("utf-8", "replace").lower()).replace(b"\n", b" ").split(b" ") for text in texts]
-        self._ask([word for word in set().union(*cut) if word not in self.known])
+        cut = [self._parts(text) for text in texts]
+        self._ask([word for word in set().union(*(words for parts in cut for words, _ in parts)) if word not in self.known])
         end = b"" if self.end is None else self.end.to_bytes(4, "little")
         known = self.known.__getitem__
-        return [np.frombuffer(b"".join([*map(known, words), end]), "<u4") for words in cut]
+        return [np.frombuffer(b"".join([b"".join([*map(known, words), mark]) for words, mark in parts] + [end]), "<u4") for parts in cut]
+
+    def _parts(self, text: str) -> list[tuple[list[bytes], bytes]]:
+        """(words, id of the special token after them or nothing) of a text, part by part."""
+        if not any(mark in text for mark in self.marks):
+            return [(_words(text), b"")]
+        out, at = [], 0
+        for hit in self.mark.finditer(text):
+            out.append((_words(text[at : hit.start()]), self.marks[hit.group()]))
+            at = hit.end()
+        return [*out, (_words(text[at:]), b"")]
+
+
+def _words(text: str) -> list[bytes]:
+    raw = text.encode("utf-8", "replace")
+    if raw.isascii():
+        return _STOP.sub(rb" \1 ", raw.lower()).replace(b"\n", b" ").split(b" ")
+    words = _STOP.sub(rb" \1 ", raw).replace(b"\n", b" ").split(b" ")
+    return [word.lower() if word.isascii() else word for word in words]
 
 
 @cache
 def word_tokens(path: str, end: int | None) -> WordTokens:
     """One per worker process."""
-    return WordTokens(path, end)
+    return WordTokens(path, end, special=True)

@@ -65,6 +65,18 @@ def test_word_tokens_equal_the_library():
     assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
 
 
+def test_word_tokens_of_the_query_equal_the_untouched_library():
+    library = Tokenizer.from_file(WORD_FILE)
+    draw = random.Random(4)
+    bits = ["a page ", "Stop. ", "<|endoftext|>", "<|startoftext|>", "<|ENDOFTEXT|>", "<|endof", "text|>", "H\u0331", "h\u0331 ", "E\u0301, ", "\u0338 ", "=", "<",
+            "\u212a", "\u037e ", "\n", " ", "'s", "W\u030a.", ". ", ",", "12", "İ", "ΣΑΣ ", "é. ", "日本", "\x1c", "\u00a0", "\u0301", "don't ", "|>"]
+    texts = ["a page <|endoftext|> more", "<|startoftext|><|endoftext|>", "<|ENDOFTEXT|>", "x<|endoftext|>y. <|startoftext|>, z", "H\u0331 AH\u0331, Up"]
+    texts += ["".join(draw.choice(bits) for _ in range(draw.randrange(12))) for _ in range(3000)]
+    got = simple8b.word_tokens(WORD_FILE, 2)(texts)
+    assert [g.tolist() for g in got] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+    assert got[0].tolist().count(49407) == 1 and got[1].tolist() == [49406, 49407, 2]
+
+
 def test_shingles_follow_their_definition():
     texts = [b"", b" \n", b"One", b"one two", b"a b c a b c a", b"A  b\tC"]
     sets = hashing.shingle_sets(texts, 3)
