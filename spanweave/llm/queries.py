@@ -4,16 +4,21 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from functools import partial
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, exact, jaccard, language, mixing, near_vectors, quality, simple8b, toxicity, url_rules
+from . import alignment, bpe, chat, exact, jaccard, language, mixing, near_vectors, quality, simple8b, spelling, toxicity, url_rules
 from .scratch import shared_folder, table
 
 BYTE_RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 WORD_FILE = public_tokenizers.path("word_bpe_49k.json")
+LEVEL_FILE = public_tokenizers.path("byte_bpe_50k.json")
+PIECE_FILE = public_tokenizers.path("piece_bpe_32k.model")
+#: Ids of LEVEL_FILE (without its special token) and PIECE_FILE.
+ALIGNED_IDS = (50_256, 32_000)
 #: (host, path, verdict)
 URL_RULES = [("org", "/", "allow"), ("example.org", "/es/", "block"), ("example.org", "/en/1", "block"),
              ("com", "/fr/", "allow"), ("com", "/de/", "block")]
@@ -87,9 +92,34 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simple8b.read_files(files, folder).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
+def op11_spelling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    words = spelling.word_counts(table(spark, sf_dir, "documents"), letters=6, least=5, damage=199)
+    return spelling.spelling_groups(words, factor=5)
+
+
+def aligned_digests(docs: DataFrame) -> DataFrame:
+    """The alignment of ``docs`` (doc_id, text), its groups as a digest (none: empty)."""
+    aligned = alignment.align(docs, partial(alignment.byte_level, LEVEL_FILE, public_tokenizers.PATTERN),
+                              partial(alignment.piece_model, PIECE_FILE), ALIGNED_IDS)
+    digest = F.when(F.col("n_a") > 0, F.sha2("groups", 256)).when(F.col("n_a") == 0, "")
+    return alignment.link_counts(aligned.withColumn("groups_sha256", digest).drop("groups"), ALIGNED_IDS)
+
+
+def op12_token_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return aligned_digests(table(spark, sf_dir, "documents").select("doc_id", "text"))
+
+
+def op13_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    says = "</s>[INST] ok [/INST]"
+    marked = spark.createDataFrame([(-1, 0, "user", says), (-1, 1, "assistant", says)], "conv_id bigint, turn bigint, role string, text string")
+    return chat.read_chats(chat.format_chats(turns.unionByName(marked)))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f for f in (op1_near_vectors, op2_byte_bpe, op3_exact_dedup, op4_language_id, op5_mixing, op6_url_rules,
-                            op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files)
+                            op7_jaccard_join, op8_toxicity, op9_quality, op10_token_files,
+                            op11_spelling, op12_token_alignment, op13_chat_format)
 }
 
 ORACLES: dict[str, str] = {
@@ -116,4 +146,54 @@ ORACLES: dict[str, str] = {
                    GROUP BY doc_id, d.source),
         each AS (SELECT doc_id, source, text, unnest(range(1, n + 1))::INT AS copy FROM copies WHERE n > 0)
         SELECT doc_id, source, copy, md5('mix place:' || doc_id || ':' || copy) AS place, md5(text) AS text_md5 FROM each""",
+    "op11_spelling": r"""
+        WITH RECURSIVE steps AS (
+            SELECT i, 0 AS k, i AS c FROM range(256) r(i)
+            UNION ALL
+            SELECT i, k + 1, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END FROM steps WHERE k < 8),
+        crc AS (SELECT list(c ORDER BY i) AS codes FROM steps WHERE k = 8),
+        runs AS (
+            SELECT doc_id, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                                     '[a-z\x{00C0}-\x{00FF}]+')) AS run FROM documents),
+        found AS (SELECT doc_id, run, count(*) AS n FROM runs GROUP BY doc_id, run),
+        coded AS (
+            SELECT run, n, hex(encode(coalesce(doc_id::VARCHAR, '') || ':' || run)) AS digits FROM found WHERE length(run) >= 6),
+        hashed AS (
+            SELECT run, n, xor(4294967295, list_reduce(list_prepend(4294967295::BIGINT, list_transform(
+                       range(1, length(digits), 2), lambda i: ('0x' || substr(digits, i, 2))::BIGINT)),
+                       lambda c, b: xor(c // 256, codes[xor(c, b) % 256 + 1]))) AS h FROM coded, crc),
+        kept AS (
+            SELECT CASE WHEN h % 199 = 0 THEN left(run, (h % length(run))::BIGINT) || substr(run, (h % length(run))::BIGINT + 2) ELSE run END AS word, n FROM hashed),
+        words AS (SELECT word, sum(n)::BIGINT AS n FROM kept WHERE length(word) >= 6 GROUP BY word HAVING sum(n) >= 5),
+        places AS (SELECT word, n, unnest(range(1, length(word) + 1)) AS i FROM words),
+        cut AS (SELECT word, n, left(word, i - 1) || '*' || substr(word, i + 1) AS masked, left(word, i - 1) || substr(word, i + 1) AS shorter FROM places),
+        near AS (
+            SELECT a.word, b.word AS other, b.n FROM cut a JOIN cut b ON a.masked = b.masked AND a.word <> b.word
+            UNION SELECT a.word, b.word, b.n FROM cut a JOIN words b ON a.shorter = b.word
+            UNION SELECT b.word, a.word, a.n FROM cut a JOIN words b ON a.shorter = b.word),
+        firsts AS (
+            SELECT word, count(*) AS n_near, first(other ORDER BY n DESC, other) AS form, max(n) AS form_n FROM near GROUP BY word),
+        judged AS (
+            SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN form_n >= 5 * w.n THEN form END AS form,
+                   CASE WHEN form_n >= 5 * w.n THEN form_n END AS form_n FROM words w LEFT JOIN firsts USING (word)),
+        chain AS (
+            SELECT word, word AS root, form AS next FROM judged
+            UNION ALL
+            SELECT c.word, j.word, j.form FROM chain c JOIN judged j ON c.next = j.word)
+        SELECT word, form, root, n, n_near, form_n FROM judged JOIN chain USING (word) WHERE next IS NULL""",
+    "op13_chat_format": r"""
+        WITH turns AS (
+            SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+            UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]'
+            UNION ALL SELECT -1, 1, 'assistant', '</s>[INST] ok [/INST]'),
+        sized AS (
+            SELECT *, length(regexp_replace(text, '([\[<])(\\*)((?:/?(?:SYS|INST|TURN)|ANSWER|/ROLE)\]|/?s>)', '\1\\\2\3', 'g'))
+                      + CASE role WHEN 'system' THEN 13 WHEN 'user' THEN 15 WHEN 'assistant' THEN 13
+                        ELSE 22 + length(regexp_replace(role, '([\[<])(\\*)((?:/?(?:SYS|INST|TURN)|ANSWER|/ROLE)\]|/?s>)', '\1\\\2\3', 'g')) END AS chars
+            FROM turns)
+        SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+               coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::BIGINT AS loss_chars,
+               sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (role = 'assistant'), '')) AS loss_sha256,
+               sum(chars)::BIGINT AS formatted_chars
+        FROM sized GROUP BY conv_id""",
 }
