@@ -187,6 +187,11 @@ def flag_columns(mask: str = "cci_mask") -> dict[str, Column]:
     return {f"cci_{name}": flag(mask, g) for g, name in enumerate(CCI_NAMES, start=1)}
 
 
+def mask_of_flags() -> Column:
+    """The mask of a table that has the flag columns instead."""
+    return F.expr(" | ".join(f"shiftleft(CAST(cci_{name} AS BIGINT), {g})" for g, name in enumerate(CCI_NAMES, start=1)))
+
+
 def score(mask: str) -> Column:
     """Weighted sum of the groups present; no hierarchy between related groups."""
     terms = [f"{w} * {_flag_text(mask, g)}" for g, w in enumerate(CCI_WEIGHTS, start=1)]

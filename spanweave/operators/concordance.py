@@ -13,6 +13,7 @@ from itertools import combinations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import quality, rules
 from .quality import valid_clusters
 
 
@@ -374,3 +375,22 @@ def run_comparison(agreement: DataFrame, transitions: DataFrame, separation: Dat
         .unionByName(card(transitions, "Stability (Transition Rate, lower=better)", "low"))
         .unionByName(card(separation, "Separation (Mean |Cohen d|, higher=better)", "high"))
     )
+
+
+def compare_runs(vanilla: DataFrame, adaptive: DataFrame, features: Sequence[str], label: str = "archetype") -> DataFrame:
+    """Scorecard of two tracked rule runs over the same person-years: their agreement, the
+    share of changes from year to year, and the mean effect size of the features."""
+    frames = {"vanilla": vanilla, "adaptive": adaptive}
+    both = vanilla.select("person_id", "year", F.col(label).alias("a")).join(
+        adaptive.select("person_id", "year", F.col(label).alias("b")), ["person_id", "year"])
+    same = F.avg((F.col("a") == F.col("b")).cast("int")) * 100
+    agreement = both.agg(same.alias("vanilla"), same.alias("adaptive"))
+
+    def one_row(values: dict[str, DataFrame]) -> DataFrame:
+        first, second = [df.toDF("v").select(F.lit(run).alias("run"), "v") for run, df in values.items()]
+        return first.unionByName(second).agg(*[F.max(F.when(F.col("run") == run, F.col("v"))).alias(run) for run in values])
+
+    moves = {run: rules.transition_rate(df).select("pct_changed") for run, df in frames.items()}
+    gaps = {run: quality.importance(df, label, features, run).groupBy("feature").agg(F.avg("cohens_d").alias("d")).agg(F.avg("d"))
+            for run, df in frames.items()}
+    return run_comparison(agreement, one_row(moves), one_row(gaps))

@@ -265,6 +265,18 @@ def require_monotone_cci(features: DataFrame) -> None:
         raise ValueError(f"max_cci must be cumulative; {n} person-years decrease")
 
 
+def null_audit(features: DataFrame) -> DataFrame:
+    """Nulls left in the counts that the rules rest on."""
+    return features.agg(F.count_if(F.col("visit_count").isNull()).alias("null_visits"),
+                        F.count_if(F.col("inpatient_visit_count").isNull()).alias("null_inpatient_visits"))
+
+
+def require_complete(features: DataFrame) -> None:
+    row = null_audit(features).first()
+    if any(row):
+        raise ValueError(f"nulls in critical features: {row.asDict()}")
+
+
 def with_irregularity_score(
     features: DataFrame, penalty: str = "L1", threshold: float | None = None
 ) -> DataFrame:

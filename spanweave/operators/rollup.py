@@ -1,4 +1,9 @@
-"""Week, month and year roll-ups of the person-date spine."""
+"""Week, month and year roll-ups of the person-date spine.
+
+A roll-up reads days, or the rows of a finer roll-up: months merge into years. Sums add,
+maxima and masks combine, date lists join, and the run-length lists merge; their
+merged runs also give the distinct concepts, so no period goes back to the events.
+"""
 
 from __future__ import annotations
 
@@ -7,67 +12,68 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DOMAINS
 from ..functions.scalar import age_on, period_label
-from . import comorbidity, spine
+from . import comorbidity, runs, spine
 
 _SUMMED = [f"{d}_{s}" for d in DOMAINS for s in ("count", "nomatch_ct")]
+_DATES = ["dates_with_visits", "dates_with_clinical_concepts"]
+_DAYS = ["days_in_period", "active_days", "unique_dates_with_data", "days_with_visits", "days_with_clinical_concepts",
+         "visit_count", "hospitalized_days"]
+
+
+def as_periods(daily_df: DataFrame) -> DataFrame:
+    """Days as periods of one day. ``daily_df`` needs its lists."""
+    active, clinical = F.col("visit_count") > 0, F.col("has_clinical_concepts") == 1
+    dated = F.when(F.col("date").isNotNull(), 1).otherwise(0)
+    no_date = F.array().cast("array<date>")
+    return daily_df.select(
+        "person_id", F.col("date").alias("period_start_date"), F.col("date").alias("period_end_date"),
+        dated.alias("days_in_period"), active.cast("int").alias("active_days"), dated.alias("unique_dates_with_data"),
+        active.cast("int").alias("days_with_visits"), F.col("has_clinical_concepts").alias("days_with_clinical_concepts"),
+        "visit_count", F.col("hospitalized_flag").alias("hospitalized_days"),
+        F.when(active, F.array("date")).otherwise(no_date).alias("dates_with_visits"),
+        F.when(clinical, F.array("date")).otherwise(no_date).alias("dates_with_clinical_concepts"),
+        *_SUMMED, "cci_total", "cci_mask", *runs.LISTS,
+    )
 
 
-def rollup_period(daily_df: DataFrame, events: DataFrame, unit: str, dates: bool = True) -> DataFrame:
-    """Roll the daily table up to ``week``, ``month`` or ``year``.
+def rollup_period(rows: DataFrame, unit: str, dates: bool = True, lists: bool = True) -> DataFrame:
+    """Roll days, or periods that lie within one of ``unit``, up to ``week``, ``month`` or ``year``.
 
-    Sums and maxima come from the daily rows. Distinct concepts come from
-    (person, period, domain, concept) keys, counted per period before they join
-    the daily rows in one ``groupBy``. Date lists hold at most the days of the
-    period; leave them out with ``dates=False`` for an all-numeric aggregation.
+    ``rows`` is the daily table with its lists or a roll-up, finalized or not; it is read
+    twice, with the numbers and with the lists, so it should be a stored table. Date
+    lists hold at most the days of the period; leave them or the other lists out with
+    ``dates=False`` or ``lists=False`` for an all-numeric last aggregation.
     """
-    days = daily_df.select(
-        "person_id",
-        period_label("date", unit).alias("period"),
-        "date",
-        "visit_count",
-        "hospitalized_flag",
-        "has_clinical_concepts",
-        *_SUMMED,
-        "cci_total",
-        "cci_mask",
-    )
-    concepts = (
-        events.filter(F.col("concept_id").isNotNull() & F.col("person_id").isNotNull())
-        .select("person_id", period_label("date", unit).alias("period"), "domain", "concept_id")
-        .distinct()
-        .groupBy("person_id", "period")
-        .agg(*[F.count_if(F.col("domain") == d).alias(f"{d}_unique_ct") for d in DOMAINS])
-    )
-    active, clinical = F.col("visit_count") > 0, F.col("has_clinical_concepts") == 1
-    lists = [
-        F.sort_array(F.collect_list(F.when(active, F.col("date")))).alias("dates_with_visits"),
-        F.sort_array(F.collect_list(F.when(clinical, F.col("date")))).alias("dates_with_clinical_concepts"),
-    ] if dates else []
+    if "period_start_date" not in rows.columns:
+        rows = as_periods(rows)
+    elif "cci_mask" not in rows.columns:
+        rows = rows.withColumn("cci_mask", comorbidity.mask_of_flags())
+    period = period_label("period_start_date", unit).alias("period")
+    numbers = rows.select("person_id", period, "period_start_date", "period_end_date", *_DAYS, *_SUMMED, "cci_total", "cci_mask",
+                          *(_DATES if dates else []))
+    values = runs.merge(runs.unpack(rows, ["person_id", period]), ["person_id", "period"])
+    counted = F.col("key").isNotNull()
     return (
-        days.unionByName(concepts, allowMissingColumns=True)
+        numbers.unionByName(values, allowMissingColumns=True)
         .groupBy("person_id", "period")
         .agg(
-            F.min("date").alias("period_start_date"),
-            F.max("date").alias("period_end_date"),
-            F.count("date").alias("days_in_period"),
-            F.count_if(active).alias("active_days"),
-            F.count("date").alias("unique_dates_with_data"),
-            F.count_if(active).alias("days_with_visits"),
-            F.sum("has_clinical_concepts").alias("days_with_clinical_concepts"),
-            F.sum("visit_count").alias("visit_count"),
-            F.sum("hospitalized_flag").alias("hospitalized_days"),
-            *lists,
+            F.min("period_start_date").alias("period_start_date"),
+            F.max("period_end_date").alias("period_end_date"),
+            *[F.sum(c).alias(c) for c in _DAYS],
+            *([F.sort_array(F.flatten(F.collect_list(c))).alias(c) for c in _DATES] if dates else []),
             F.max("cci_total").alias("cci_total"),
             F.bit_or("cci_mask").alias("cci_mask"),
             *[F.sum(c).alias(c) for c in _SUMMED],
-            *[F.expr(f"coalesce(sum({d}_unique_ct), 0) AS {d}_unique_ct") for d in DOMAINS],
+            *[F.count_if((F.col("tag") == d) & counted).alias(f"{d}_unique_ct") for d in DOMAINS],
+            *(runs.pack() if lists else []),
         )
         .withColumns(spine.totals())
     )
 
 
 def finalize(rolled: DataFrame, people: DataFrame) -> DataFrame:
-    """Attach person columns and fix the published column order.
+    """Attach person columns and fix the published column order; the visit ids, with the
+    number of days that each covers, come after it.
 
     Age is non-decreasing in the date, so the age at the period's first date is
     the minimum daily age; the person table is joined to periods, not to days.
@@ -78,18 +84,10 @@ def finalize(rolled: DataFrame, people: DataFrame) -> DataFrame:
     order = ["person_id", "period", "period_start_date", "period_end_date", "birth_date", "age",
              "gender", "race", "ethnicity", "days_in_period", "active_days",
              "unique_dates_with_data", "days_with_visits", "days_with_clinical_concepts",
-             "dates_with_visits", "dates_with_clinical_concepts", "visit_count",
+             *_DATES, "visit_count",
              "hospitalized_days", "total_data_points", "total_unique_concepts",
              "total_nomatch_concepts", "cci_total", *comorbidity.flag_columns()]
-    order += [f"{d}_{s}" for d in DOMAINS for s in ("count", "unique_ct", "nomatch_ct")]
-    return full.select(*order)
-
-
-def with_lists(finalized: DataFrame, events: DataFrame, unit: str) -> DataFrame:
-    """Add the period's run-length concept and code lists."""
-    dated = events.withColumn("period", period_label("date", unit))
-    keys = ("person_id", "period")
-    lists = spine.wide_lists(spine.concept_lists(dated, keys), keys)
-    return finalized.join(lists, list(keys), "left").join(
-        spine.code_lists(dated, keys), list(keys), "left"
-    )
+    for d in DOMAINS:
+        order += [c for c in runs.LISTS if c.startswith(f"{d}_")]
+        order += [f"{d}_{s}" for s in ("count", "unique_ct", "nomatch_ct")]
+    return full.select(*order, "visit_occurrence_ids")

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import DOMAINS, INPATIENT_VISIT_CONCEPTS
 from ..functions.scalar import age_on, birth_date
-from . import comorbidity
+from . import comorbidity, runs
 
 
 def visit_days(visits: DataFrame) -> DataFrame:
@@ -64,20 +64,38 @@ def person_dates(events: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def keyed_counts(events: DataFrame, days: DataFrame) -> DataFrame:
+def _event_entries(events: DataFrame, known: Column) -> DataFrame:
+    """Concept, code and vocabulary of each event as rows, from one reading."""
+    def entry(tag: Column, key: Column, text: Column) -> Column:
+        return F.struct(tag.alias("tag"), key.cast("bigint").alias("key"), text.cast("string").alias("text"))
+
+    nothing = F.lit(None)
+    concept = entry(F.col("domain"), F.when(known, F.col("concept_id")), nothing)
+    coded = [F.when(known & (F.col("domain") == "condition") & F.col(c).isNotNull(), entry(F.lit(tag), nothing, F.col(c)))
+             for tag, c in (("code", "source_code"), ("vocab", "vocab_id"))]
+    entries = F.array_compact(F.array(concept, *coded))
+    return events.select("person_id", "date", F.explode(entries).alias("entry"), F.lit(0).alias("in_hospital")).select(
+        "person_id", "date", "entry.*", "in_hospital")
+
+
+def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> DataFrame:
     """Row counts per (person, date, tag, key): key is a concept or a visit id.
 
+    ``lists`` adds rows of the tags code and vocab, whose value is in ``text``.
     Without a person there is nothing to attach a row to, so it keeps its place
     on the spine but contributes no counts.
     """
     known = F.col("person_id").isNotNull()
-    concept_rows = events.select(
-        "person_id",
-        "date",
-        F.col("domain").alias("tag"),
-        F.when(known, F.col("concept_id").cast("bigint")).alias("key"),
-        F.lit(0).alias("in_hospital"),
-    )
+    if lists:
+        concept_rows = _event_entries(events, known)
+    else:
+        concept_rows = events.select(
+            "person_id",
+            "date",
+            F.col("domain").alias("tag"),
+            F.when(known, F.col("concept_id").cast("bigint")).alias("key"),
+            F.lit(0).alias("in_hospital"),
+        )
     visit_rows = days.select(
         "person_id",
         "date",
@@ -86,8 +104,8 @@ def keyed_counts(events: DataFrame, days: DataFrame) -> DataFrame:
         F.when(known, F.col("is_hospitalized")).otherwise(0).alias("in_hospital"),
     )
     return (
-        concept_rows.unionByName(visit_rows)
-        .groupBy("person_id", "date", "tag", "key")
+        concept_rows.unionByName(visit_rows, allowMissingColumns=True)
+        .groupBy("person_id", "date", "tag", "key", *["text"] * lists)
         .agg(F.count(F.lit(1)).alias("n"), F.max("in_hospital").alias("in_hospital"))
     )
 
@@ -112,12 +130,14 @@ def totals() -> dict[str, Column]:
     }
 
 
-def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None) -> DataFrame:
+def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None, lists: bool = False) -> DataFrame:
     """The person-date table: visits, per-domain counts, totals and comorbidity.
 
-    ``cci_mask`` holds the comorbidity groups; :func:`with_cci_flags` expands it.
+    ``cci_mask`` holds the comorbidity groups; :func:`with_cci_flags` expands it. ``lists``
+    adds the run-length lists of :mod:`runs`, packed from the same counted rows; a
+    day without values has empty lists. A visit counts once a day in its list.
     """
-    keyed = keyed_counts(events, days)
+    keyed = keyed_counts(events, days, lists)
     rows = keyed.withColumns(
         {"cci_total": F.lit(0), "cci_mask": F.lit(0).cast("bigint")}
     )
@@ -132,7 +152,8 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
                 F.lit(0).alias("in_hospital"),
                 "cci_total",
                 "cci_mask",
-            )
+            ),
+            allowMissingColumns=True,
         )
     is_visit = (F.col("tag") == "visit") & F.col("key").isNotNull()
     counted = rows.groupBy("person_id", "date").agg(
@@ -141,6 +162,7 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
         *[c for d in DOMAINS for c in _domain_aggregates(d)],
         F.max("cci_total").alias("cci_total"),
         F.bit_or("cci_mask").alias("cci_mask"),
+        *(runs.pack(F.when(F.col("tag") == "visit", 1).otherwise(F.col("n"))) if lists else []),
     )
     out = counted.withColumns(totals())
     return out.withColumn(
@@ -195,15 +217,6 @@ def expand_list(entries: Column, value: str = "concept_id") -> Column:
     return F.flatten(F.transform(entries, lambda e: F.array_repeat(e[value], e["n"].cast("int"))))
 
 
-def wide_lists(lists: DataFrame, keys: tuple[str, ...] = ("person_id", "date")) -> DataFrame:
-    """One ``<domain>_concepts`` column per domain."""
-    cols = [
-        F.max(F.when(F.col("domain") == d, F.col("concepts"))).alias(f"{d}_concepts")
-        for d in DOMAINS
-    ]
-    return lists.groupBy(*keys).agg(*cols)
-
-
 def demographics(person: DataFrame, concepts: DataFrame,
                  asian_pattern: str = "%asians%") -> DataFrame:
     """Decode gender, ethnicity and race, and complete the birth date, per person.
@@ -258,10 +271,11 @@ def with_demographics(daily_df: DataFrame, people: DataFrame) -> DataFrame:
 
 
 def unified_daily(daily_df: DataFrame, people: DataFrame) -> DataFrame:
-    """Person-date table in its published column order."""
+    """Person-date table in its published column order. ``daily_df`` needs its lists."""
     full = with_cci_flags(with_demographics(daily_df, people))
     order = ["person_id", "birth_date", "age_at_day", "gender", "ethnicity", "race", "date",
-             "visit_count", "hospitalized_flag", "has_clinical_concepts"]
+             "visit_count", "visit_occurrence_ids", "hospitalized_flag", "has_clinical_concepts"]
+    order += [c for c in runs.LISTS if c not in order]
     order += [f"{d}_count" for d in DOMAINS]
     order += [f"{d}_unique_ct" for d in DOMAINS]
     order += [f"{d}_nomatch_ct" for d in DOMAINS]

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.constants import GMM4_LABELS, GMM7_LABELS
 from ..functions.stability import settle
-from ..operators import comorbidity, concordance, features, mixture, rules, spine
+from ..operators import comorbidity, concordance, features, mixture, rollup, rules, runs, spine
 from ..sources import lens
 from . import fixed_models
 
@@ -40,6 +40,22 @@ class Lab:
         self.daily = settle(self.daily)
         return self.daily
 
+    @cached_property
+    def listed_daily(self) -> DataFrame:
+        """Daily rows with their run-length lists."""
+        return spine.daily(self.clinical.events, self.days, self.visit_cci, lists=True)
+
+    @cached_property
+    def stored_listed_daily(self) -> DataFrame:
+        stored = settle(self.listed_daily)
+        self.daily = stored.drop(*runs.LISTS)
+        return stored
+
+    @cached_property
+    def stored_months(self) -> DataFrame:
+        """Month roll-up, from which years follow."""
+        return settle(rollup.rollup_period(self.stored_listed_daily, "month"))
+
     @cached_property
     def people(self) -> DataFrame:
         return spine.demographics(self.clinical.person, self.clinical.concepts)

@@ -135,6 +135,14 @@ for d in DOMAINS:
 SELECT person_id, date, list(concept_id) AS ids FROM event
 WHERE domain = '{d}' AND concept_id IS NOT NULL GROUP BY 1, 2""")
 
+block("listed", "event visit_day", " UNION ALL ".join(
+    [f"SELECT person_id, date, '{d}_concept_ids' AS list, CAST(concept_id AS BIGINT) AS key, CAST(NULL AS VARCHAR) AS text "
+     f"FROM event WHERE domain = '{d}' AND concept_id IS NOT NULL" for d in DOMAINS]
+    + [f"SELECT person_id, date, '{name}', NULL, {c} FROM event WHERE domain = 'condition' AND {c} IS NOT NULL"
+       for name, c in (("condition_source_codes", "source_code"), ("condition_vocab_ids", "vocab_id"))]
+    + ["SELECT DISTINCT person_id, date, 'visit_occurrence_ids', visit_occurrence_id, NULL FROM visit_day "
+       "WHERE visit_occurrence_id IS NOT NULL"]))
+
 block("spine", "event visit_day", """
 SELECT person_id, date FROM visit_day UNION SELECT person_id, date FROM event""")
 

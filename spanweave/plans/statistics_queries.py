@@ -244,7 +244,7 @@ block("metric", "charac", " UNION ALL ".join(
 
 
 def _characterised(lab: Lab) -> DataFrame:
-    yearly = rollup.rollup_period(lab.stored_daily, lab.clinical.events, "year", dates=False)
+    yearly = rollup.rollup_period(lab.stored_months, "year", dates=False, lists=False)
     full = cohorts.assemble(features.with_prior_year(lab.labelled), yearly, _YEARLY)
     return full.withColumn("gmm_4_named", F.col("gmm_4_cluster_label"))
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.constants import ARCHETYPES, CCI_NAMES, DOMAINS, LANGUAGE_CONCEPTS
 from ..functions.scalar import order_by_list, position_in
-from ..operators import comorbidity, features, rollup, spine, timelines
+from ..operators import comorbidity, features, rollup, runs, spine, timelines
 from ..sources import sinks
 from .lab import Lab
 from .oracle import AGE, SECOND_CASE, compose, group_case
@@ -93,13 +93,31 @@ def demographics(lab: Lab) -> DataFrame:
     return lab.people
 
 
-@query("unified_daily", compose("daily people", f"""
+def _lists_sql(keys: str) -> str:
+    """One text column per list from rows (keys, list, key, text)."""
+    columns = ", ".join(
+        f"string_agg(coalesce(CAST(key AS VARCHAR), text) || 'x' || n, ',' ORDER BY key, text) FILTER (list = '{name}') AS {name}"
+        for name in runs.LISTS)
+    return f"""SELECT {keys}, {columns} FROM (SELECT {keys}, list, key, text, count(*) AS n FROM listed
+    GROUP BY {keys}, list, key, text) AS r GROUP BY {keys}"""
+
+
+_LIST_NAMES = ", ".join(f"coalesce({name}, '') AS {name}" for name in runs.LISTS)
+
+
+def _lists_as_text(df: DataFrame) -> DataFrame:
+    return df.withColumns({name: runs.as_text(name) for name in runs.LISTS})
+
+
+@query("unified_daily", compose("daily people listed", f"""
+, lists AS ({_lists_sql("person_id, date")})
 SELECT d.person_id, birth_date, {AGE.format(d='d.date', b='birth_date')} AS age_at_day, gender,
-       ethnicity, race, date, visit_count, hospitalized_flag, has_clinical_concepts, {_COUNTS},
-       total_data_points, total_unique_concepts, total_nomatch_concepts, cci_total, {_FLAGS}
-FROM daily d LEFT JOIN people p ON d.person_id = p.person_id"""))
+       ethnicity, race, d.date, visit_count, hospitalized_flag, has_clinical_concepts, {_COUNTS},
+       total_data_points, total_unique_concepts, total_nomatch_concepts, cci_total, {_FLAGS}, {_LIST_NAMES}
+FROM daily d LEFT JOIN people p ON d.person_id = p.person_id
+LEFT JOIN lists l ON d.person_id = l.person_id AND d.date = l.date"""))
 def unified_daily(lab: Lab) -> DataFrame:
-    return spine.unified_daily(lab.daily, lab.people)
+    return _lists_as_text(spine.unified_daily(lab.listed_daily, lab.people))
 
 
 @query("icd_groups", compose("event", f"""
@@ -138,8 +156,9 @@ def _rollup_sql(period: str, unique_period: str) -> str:
     uc = ", ".join(f"coalesce({d}_unique_ct, 0) AS {d}_unique_ct" for d in DOMAINS)
     total_u = " + ".join(f"coalesce({d}_unique_ct, 0)" for d in DOMAINS)
     total_n = " + ".join(f"{d}_nomatch_ct" for d in DOMAINS)
-    return compose("daily people", f"""
-, u AS (SELECT person_id, {unique_period} AS period, {uniques} FROM event GROUP BY 1, 2),
+    return compose("daily people listed", f"""
+, lists AS ({_lists_sql("person_id, period").replace("FROM listed", f"FROM (SELECT *, {period} AS period FROM listed) AS p")}),
+u AS (SELECT person_id, {unique_period} AS period, {uniques} FROM event GROUP BY 1, 2),
 t AS (SELECT person_id, {period} AS period, min(date) AS period_start_date,
   max(date) AS period_end_date, count(date) AS days_in_period,
   count(*) FILTER (WHERE visit_count > 0) AS active_days,
@@ -154,13 +173,14 @@ t AS (SELECT person_id, {period} AS period, min(date) AS period_start_date,
   max(cci_total) AS cci_total, {flags}, {sums} FROM daily GROUP BY 1, 2)
 SELECT t.* REPLACE (t.person_id AS person_id), birth_date,
   {AGE.format(d='period_start_date', b='birth_date')} AS age, gender, race, ethnicity,
-  {uc}, {total_u} AS total_unique_concepts, {total_n} AS total_nomatch_concepts
+  {uc}, {total_u} AS total_unique_concepts, {total_n} AS total_nomatch_concepts, {_LIST_NAMES}
 FROM t LEFT JOIN u ON t.person_id = u.person_id AND t.period = u.period
+LEFT JOIN lists l ON t.person_id = l.person_id AND t.period = l.period
 LEFT JOIN people p ON t.person_id = p.person_id""")
 
 
-def _rollup(lab: Lab, unit: str) -> DataFrame:
-    df = rollup.finalize(rollup.rollup_period(lab.daily, lab.clinical.events, unit), lab.people)
+def _published(lab: Lab, rolled: DataFrame) -> DataFrame:
+    df = _lists_as_text(rollup.finalize(rolled, lab.people))
     return df.withColumns(
         {
             c: F.array_join(F.col(c).cast("array<string>"), ",")
@@ -174,17 +194,17 @@ _WEEK = "strftime(date_trunc('week', date), '%Y-%m-%d')"
 
 @query("rollup_week", _rollup_sql(_WEEK, _WEEK))
 def rollup_week(lab: Lab) -> DataFrame:
-    return _rollup(lab, "week")
+    return _published(lab, rollup.rollup_period(lab.stored_listed_daily, "week"))
 
 
 @query("rollup_month", _rollup_sql("strftime(date, '%Y-%m')", "strftime(date, '%Y-%m')"))
 def rollup_month(lab: Lab) -> DataFrame:
-    return _rollup(lab, "month")
+    return _published(lab, rollup.rollup_period(lab.stored_listed_daily, "month"))
 
 
 @query("rollup_year", _rollup_sql("CAST(year(date) AS INTEGER)", "CAST(year(date) AS INTEGER)"))
 def rollup_year(lab: Lab) -> DataFrame:
-    return _rollup(lab, "year")
+    return _published(lab, rollup.rollup_period(lab.stored_months, "year"))
 
 
 @query("rollup_lists", compose("event", """

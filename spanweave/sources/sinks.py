@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import re
-from collections.abc import Iterable
+from collections.abc import Iterable, Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
@@ -59,15 +59,54 @@ def rename_table(spark: SparkSession, old: str, new: str) -> bool:
 
 
 def overwrite(df: DataFrame, table: str, partition_by: str | None = None) -> None:
+    clear_leftovers(df.sparkSession, table)
     writer = df.write.mode("overwrite").format("parquet")
     if partition_by:
         writer = writer.partitionBy(partition_by)
     writer.saveAsTable(table)
 
 
-def overwrite_clustered(df: DataFrame, table: str, key: str = "person_id") -> None:
-    """Range-partition and sort by a key, so file min/max statistics can skip reads."""
-    overwrite(df.repartitionByRange(key).sortWithinPartitions(key), table)
+def clear_leftovers(spark: SparkSession, table: str) -> None:
+    """Delete the files that a broken write has left in the folder of a table that is not there."""
+    if spark.catalog.tableExists(table):
+        return
+    database, name = table.rsplit(".", 1) if "." in table else (spark.catalog.currentDatabase(), table)
+    folder = f"{spark.catalog.getDatabase(database).locationUri}/{name.lower()}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def interleaved(df: DataFrame, keys: Sequence[str], bits: int = 10) -> Column:
+    """The bits of two or more numeric keys, each scaled to its range in ``df``, in turn: rows
+    that are near in all keys are near in this one. Nulls count as the smallest value."""
+    ends = df.agg(*[f(c).cast("double").alias(f"{n}{i}") for i, c in enumerate(keys) for n, f in (("low", F.min), ("high", F.max))]).first()
+    scaled = []
+    for i, c in enumerate(keys):
+        low, high = ends[f"low{i}"] or 0.0, ends[f"high{i}"] or 0.0
+        place = (F.col(c).cast("double") - low) / ((high - low) or 1.0) * ((1 << bits) - 1)
+        scaled.append(F.coalesce(place, F.lit(0.0)).cast("bigint"))
+    code = F.lit(0).cast("bigint")
+    for bit in range(bits):
+        for i, place in enumerate(scaled):
+            code = code + F.shiftleft(F.shiftright(place, bit).bitwiseAND(F.lit(1)), len(keys) * bit + len(keys) - 1 - i)
+    return code
+
+
+def overwrite_clustered(df: DataFrame, table: str, keys: Sequence[str] = ("person_id",)) -> None:
+    """Range-partition and sort by a key, or by the interleaved bits of several, so that file
+    statistics let a filter on any of them skip files. The rows are read twice with several keys."""
+    if len(keys) == 1:
+        overwrite(df.repartitionByRange(*keys).sortWithinPartitions(*keys), table)
+        return
+    coded = df.withColumn("_code", interleaved(df, keys))
+    overwrite(coded.repartitionByRange("_code").sortWithinPartitions("_code", *keys).drop("_code"), table)
+
+
+def overwrite_bucketed(df: DataFrame, table: str, keys: Sequence[str], buckets: int) -> None:
+    """Hash buckets of the keys, one file each: tables with the same buckets join without
+    moving rows."""
+    dealt = df.repartition(buckets, *keys)
+    dealt.write.mode("overwrite").format("parquet").bucketBy(buckets, *keys).sortBy(*keys).saveAsTable(table)
 
 
 def append(df: DataFrame, path: str) -> None:
@@ -108,14 +147,6 @@ def tables_exist(spark: SparkSession, names: Iterable[str]) -> bool:
     return all(spark.catalog.tableExists(n) for n in names)
 
 
-def reuse_or_compute(spark: SparkSession, table: str, compute, recompute: bool = False,
-                     partition_by: str | None = None) -> DataFrame:
-    """Load a stage's table when present, otherwise compute and store it."""
-    if recompute or not spark.catalog.tableExists(table):
-        overwrite(compute(), table, partition_by)
-    return spark.table(table)
-
-
 def clear_downstream(spark: SparkSession, database: str, keep: Iterable[str],
                      enabled: bool = False) -> list[str]:
     """Drop every table outside the keep-list; does nothing unless enabled."""
@@ -129,9 +160,20 @@ def clear_downstream(spark: SparkSession, database: str, keep: Iterable[str],
     return doomed
 
 
-def export_csv(df: DataFrame, path: str) -> None:
-    """Write a small result table as one CSV file."""
-    df.coalesce(1).write.mode("overwrite").option("header", True).csv(path)
+def plain_names(df: DataFrame) -> DataFrame:
+    """Column names that every table format and CSV reader takes: words joined by underscores."""
+    return df.toDF(*[re.sub(r"[^0-9A-Za-z]+", "_", c).strip("_") for c in df.columns])
+
+
+def flat(df: DataFrame) -> DataFrame:
+    """Arrays, maps and structs as JSON text, for formats without them."""
+    nested = [f.name for f in df.schema.fields if f.dataType.typeName() in ("array", "map", "struct")]
+    return df.withColumns({c: F.to_json(c) for c in nested}) if nested else df
+
+
+def export_csv(df: DataFrame, path: str, one_file: bool = True) -> None:
+    """Write a result table as CSV with header; only small tables as one file."""
+    (df.coalesce(1) if one_file else df).write.mode("overwrite").option("header", True).csv(path)
 
 
 def is_count_column(name: str) -> bool:

@@ -3,7 +3,7 @@ from datetime import date
 from pyspark.sql import functions as F
 
 from spanweave.functions.scalar import age_on, birth_date
-from spanweave.operators import comorbidity, features, rollup, rules, spine, timelines
+from spanweave.operators import comorbidity, features, rollup, rules, runs, spine, timelines
 from helpers import EVENTS, conditions, d, no_events, visits
 
 
@@ -22,7 +22,7 @@ def test_spans_null_reversed_and_year_crossing(spark):
     assert {r[0]: (r[1], r[2]) for r in rows} == {1: (1, 1), 2: (1, 1), 3: (4, 2)}
 
 
-def test_span_guard_only_when_asked(spark):
+def test_spans_are_not_cut_and_long_ones_are_reported(spark):
     v = visits(spark, [(1, 1, 9201, "2000-01-01", "2019-12-31")])
     assert spine.visit_days(v).count() == 7305
     assert spine.span_audit(v).first()["n_over_limit"] == 1
@@ -141,16 +141,51 @@ def test_concept_lists_keep_repeats(spark):
 
 
 def test_daily_sums_match_yearly_rollup(lab):
-    daily, events = lab.daily, lab.clinical.events
-    year = rollup.rollup_period(daily, events, "year").agg(F.sum("visit_count"), F.sum("total_data_points"),
-                                                           F.sum("days_in_period")).first()
+    daily = lab.stored_listed_daily
+    year = rollup.rollup_period(daily, "year").agg(F.sum("visit_count"), F.sum("total_data_points"), F.sum("days_in_period")).first()
     day = daily.agg(F.sum("visit_count"), F.sum("total_data_points"), F.count("*")).first()
     assert tuple(year) == tuple(day)
-    week = rollup.rollup_period(daily, events, "week")
+    week = rollup.rollup_period(daily, "week")
     assert week.agg(F.sum("visit_count")).first()[0] == day[0]
     assert week.filter(F.dayofweek(F.to_date("period")) != 2).count() == 0
 
 
+def test_years_from_months_equal_years_from_days(lab):
+    days = rollup.finalize(rollup.rollup_period(lab.stored_listed_daily, "year"), lab.people)
+    months = rollup.finalize(rollup.rollup_period(lab.stored_months, "year"), lab.people)
+    published = rollup.finalize(rollup.rollup_period(rollup.finalize(lab.stored_months, lab.people), "year"), lab.people)
+    assert days.exceptAll(months).isEmpty() and months.exceptAll(days).isEmpty()
+    assert days.exceptAll(published).isEmpty() and days.count() == published.count()
+
+
+def test_lists_are_counted_sorted_and_empty_rather_than_null(spark):
+    rows = [(1, d("2020-01-01"), "drug", c, None, None, None, 5) for c in (7, 3, 7)]
+    rows += [(1, d("2020-01-01"), "condition", 4, code, vocab, 1, 5) for code, vocab in (("B", "V"), ("A", "V"), ("B", None), (None, "W"))]
+    rows += [(1, d("2020-01-31"), "condition", 9, "B", "V", 1, None), (None, d("2020-01-01"), "drug", 8, None, None, None, None)]
+    e = spark.createDataFrame(rows, EVENTS)
+    days = spine.visit_days(visits(spark, [(5, 1, 9201, "2020-01-01", "2020-01-02"), (6, 1, 9202, "2020-01-01", None)]))
+    daily = spine.daily(e, days, lists=True)
+    by_day = {(r["person_id"], r["date"].day): r for r in daily.collect()}
+    one = by_day[1, 1]
+    assert [tuple(x) for x in one["drug_concept_ids"]] == [(3, 1), (7, 2)] and one["drug_count"] == 3 and one["drug_unique_ct"] == 2
+    assert [tuple(x) for x in one["condition_source_codes"]] == [("A", 1), ("B", 2)]
+    assert [tuple(x) for x in one["condition_vocab_ids"]] == [("V", 2), ("W", 1)]
+    assert [tuple(x) for x in one["visit_occurrence_ids"]] == [(5, 1), (6, 1)] and one["visit_count"] == 2
+    assert by_day[1, 2]["drug_concept_ids"] == [] and by_day[1, 2]["condition_source_codes"] == []
+    assert by_day[None, 1]["drug_concept_ids"] == []
+    month = rollup.rollup_period(daily, "month").filter("person_id = 1").first()
+    assert [tuple(x) for x in month["condition_source_codes"]] == [("A", 1), ("B", 3)] and month["condition_unique_ct"] == 2
+    assert [tuple(x) for x in month["visit_occurrence_ids"]] == [(5, 2), (6, 1)] and month["procedure_concept_ids"] == []
+    plain = rollup.rollup_period(daily, "year").filter("person_id = 1").select(runs.expand(F.col("condition_source_codes")).alias("codes")).first()
+    assert plain["codes"] == ["A", "B", "B", "B"]
+    assert spine.daily(e, days).drop("x").exceptAll(daily.drop(*runs.LISTS)).isEmpty()
+
+
+def test_lists_of_an_empty_table(spark):
+    daily = spine.daily(no_events(spark), spine.visit_days(visits(spark, [])), lists=True)
+    assert daily.count() == 0 and rollup.rollup_period(daily, "week").count() == 0
+
+
 def test_features_ignore_input_partitioning(lab):
     one = features.person_year_features(lab.daily.coalesce(1), lab.days)
     many = features.person_year_features(lab.daily.repartition(13), lab.days.repartition(5))

@@ -86,23 +86,6 @@ def test_events_from_separate_tables_match_the_lens(spark, lab):
     assert rebuilt.count() == base.events.count()
 
 
-def test_pipeline_stores_stages_and_reuses_them(spark):
-    inputs = lens.load(spark, "/root/testdata/sf0.001")
-    names = pipeline.run(spark, inputs, "cohort_t", run_timestamp="t0")
-    for table in ("unified_daily", "unified_yearly", "archetype_features_yearly", "rules_yearly",
-                  "rules_adaptive_yearly", "gmm_4_yearly", "cluster_labels_yearly", "rules_parameters",
-                  "gmm_4_medoids", "cluster_separation_metrics", "feature_importance"):
-        assert table in names and spark.catalog.tableExists(f"cohort_t.{table}"), table
-    labels = spark.table("cohort_t.cluster_labels_yearly")
-    assert {r[0] for r in labels.select("model_id").distinct().collect()} == {"rules", "rules_adaptive", "gmm_4"}
-    files = spark.table("cohort_t.archetype_features_yearly").inputFiles()
-    pipeline.run(spark, inputs, "cohort_t", run_timestamp="t1")
-    assert sorted(spark.table("cohort_t.archetype_features_yearly").inputFiles()) == sorted(files)
-    validated = pipeline.validate(spark, inputs, "cohort_v", "cohort_t")
-    assert spark.table("cohort_v.gmm_4_yearly").filter("gmm_4_cluster is null").count() == 0
-    assert "rules_yearly" in validated
-
-
 @pytest.mark.parametrize("name", ["features_core", "spine_daily_counts"])
 def test_plans_have_no_python_and_only_small_broadcasts(spark, lab, name):
     from spanweave.plans.all_queries import QUERIES
