@@ -6,12 +6,18 @@ with ``k`` fixed by the band. The shingle domain is cut into ``n1`` parts of ``n
 some part then holds at most ``k // n1`` of the differences, and leaving out that many of
 its cells leaves equal content. So two similar sets agree on one (part, subset of cells).
 A hash of the content of each such subset is a signature; sets that share a signature are
-candidates. A candidate pair is dropped if the counts of its sets in 256 hash bins differ by
+candidates. A candidate pair is dropped if the counts of its sets in hash bins differ by
 more than similar sets may, and else compared exactly.
+
+A subset without shingles says nothing, yet all sets of a band that have none there would
+share its signature. So there are a few more parts than the differences call for. Similar
+sets then agree on several subsets, and a set with fewer empty ones than these leaves the empty
+ones out: it still shares one that has shingles. Only a set with more keeps all.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -28,7 +34,9 @@ from .scratch import discard, settle
 #: Up to this many differences, cells are enumerated in pairs out of three, which tells
 #: small sets better apart; beyond it, singly, which needs the fewest signatures.
 FINE = 16
-#: Bins of a sketch.
+#: Parts, as a multiple of those that the differences call for.
+SPARE = 1.15
+#: Bins of the sketch of a set of up to 1024 shingles; they double with the size beyond.
 BINS = 256
 #: Sets of one signature that are compared with each other at once.
 BLOCK = 1000
@@ -45,15 +53,27 @@ class Scheme:
 
     @property
     def n1(self) -> int:
-        return max(1, (self.k + 1) // 2 + (self.k + 1) % 2)
+        return math.ceil(SPARE * (self.k + 1) / 2) if self.k else 1
 
     @property
     def n2(self) -> int:
         return 1 if self.k == 0 else 3 if self.k < FINE else 2
 
     def subsets(self) -> list[tuple[int, ...]]:
-        left_out = self.k // self.n1
-        return list(combinations(range(self.n2), self.n2 - left_out))
+        """All cells of a part but one: n1 is more than k / 2, so some part holds one
+        difference at most."""
+        return list(combinations(range(self.n2), self.n2 - (self.k > 0)))
+
+    def _may_drop(self, empty: np.ndarray) -> bool:
+        """Whether a similar set must share a subset with shingles; ``empty``: which subsets
+        of which part have none.
+
+        Cells taken singly: at most k differ, so all but k agree. Pairs out of three: at
+        most k // 2 parts hold two differences or more, the others agree on a pair.
+        """
+        if self.n2 == 2:
+            return int(empty.sum()) < 2 * self.n1 - self.k
+        return int(empty.any(0).sum()) < self.n1 - self.k // 2
 
     def signatures(self, shingles: np.ndarray) -> np.ndarray:
         cells = self.n1 * self.n2
@@ -62,11 +82,14 @@ class Scheme:
         low = np.bincount(at, (value & np.uint64(0xFFFFFFFF)).astype(float), cells).astype(np.uint64)
         high = np.bincount(at, (value >> np.uint64(32)).astype(float), cells).astype(np.uint64)
         content = ((high << np.uint64(32)) + low).reshape(self.n1, self.n2)
+        held = np.bincount(at, minlength=cells).reshape(self.n1, self.n2)
         part = np.arange(self.n1, dtype=np.uint64)
-        return np.concatenate([
+        every = np.stack([
             mix(content[:, list(s)].sum(1, dtype=np.uint64) + mix(part, 1000 * self.salt + j))
             for j, s in enumerate(self.subsets())
         ])
+        empty = np.stack([held[:, list(s)].sum(1) == 0 for s in self.subsets()])
+        return every[~empty] if self._may_drop(empty) else every.ravel()
 
 
 class Bands:
@@ -106,6 +129,13 @@ class Bands:
         return np.concatenate([s.signatures(shingles) for s in self.schemes(len(shingles))])
 
 
+def _sketch(shingles: np.ndarray) -> bytes:
+    """Counts of a set in its bins, at most 255 each: a bound from below on how far sets differ."""
+    bits = 8 + max(0, math.ceil(math.log2(max(1, len(shingles)) / 1024)))
+    found = np.bincount((mix(shingles, 13) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
+    return np.minimum(found, 255).astype(np.uint8).tobytes()
+
+
 def _sketches(words: int, percent: int):
     fields = [("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("h1", pa.int64()), ("h2", pa.int64()),
               ("sketch", pa.binary()), ("signatures", pa.list_(pa.int64()))]
@@ -119,21 +149,42 @@ def _sketches(words: int, percent: int):
                 h1 = [int(mix(s, 21).sum(dtype=np.uint64)) for s in sets]
                 h2 = [int(mix(s, 22).sum(dtype=np.uint64)) for s in sets]
                 found = [bands.signatures(s) if len(s) else s for s in sets]
-                bins = [np.minimum(np.bincount((mix(s, 13) >> np.uint64(56)).astype(int), minlength=BINS), 255) for s in sets]
                 offsets = np.concatenate([[0], np.cumsum([len(f) for f in found])]).astype(np.int32)
                 flat = np.concatenate(found).view(np.int64)
                 yield pa.RecordBatch.from_arrays([
                     ids.slice(at, len(raw)), pa.array([len(s) for s in sets], pa.int64()),
                     pa.array(np.array(h1, np.uint64).view(np.int64)), pa.array(np.array(h2, np.uint64).view(np.int64)),
-                    pa.array([b.astype(np.uint8).tobytes() for b in bins], pa.binary()),
+                    pa.array([_sketch(s) for s in sets], pa.binary()),
                     pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat)),
                 ], schema=pa.schema(fields))
 
     return run
 
 
-def _counts(sketches: pa.Array) -> np.ndarray:
-    return np.frombuffer(b"".join(sketches.to_pylist()), np.uint8).reshape(-1, BINS).astype(np.int16)
+def _counts(sketches: list[bytes]) -> np.ndarray:
+    """The counts of all in the bins of the shortest: bins are leading bits of a hash, so those
+    of a longer sketch add up to those of a shorter one."""
+    width = min(map(len, sketches))
+    out = np.empty((len(sketches), width), np.int32)
+    lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
+    for length in np.unique(lengths):
+        rows = np.flatnonzero(lengths == length)
+        own = np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint8).reshape(len(rows), width, length // width)
+        out[rows] = own.sum(2, dtype=np.int32)
+    return out
+
+
+def _apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
+    """For pairs of sketches a number of shingles in which their sets differ at least."""
+    out = np.zeros(len(left), np.int64)
+    shorter = np.fromiter((min(len(a), len(b)) for a, b in zip(left, right)), np.int64, len(left))
+    for width in np.unique(shorter):
+        rows = np.flatnonzero(shorter == width)
+        for i in range(0, len(rows), max(1, 2_000_000 // int(width))):
+            part = rows[i : i + max(1, 2_000_000 // int(width))]
+            both = _counts([left[r] for r in part] + [right[r] for r in part])
+            out[part] = np.abs(both[: len(part)] - both[len(part) :]).sum(1, dtype=np.int64)
+    return out
 
 
 def _may_link(apart: np.ndarray, a: np.ndarray, b: np.ndarray, percent: int) -> np.ndarray:
@@ -145,7 +196,7 @@ def _plausible(pairs: DataFrame, sketches: DataFrame, percent: int) -> DataFrame
     """The pairs (a, b) whose sketches leave a link possible."""
     def run(chunks: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for chunk in chunks:
-            apart = np.abs(_counts(chunk.column("sa")) - _counts(chunk.column("sb"))).sum(1, dtype=np.int64)
+            apart = _apart(chunk.column("sa").to_pylist(), chunk.column("sb").to_pylist())
             ok = _may_link(apart, chunk.column("na").to_numpy(), chunk.column("nb").to_numpy(), percent)
             yield chunk.select(["a", "b"]).filter(pa.array(ok, pa.bool_()))
 
@@ -188,7 +239,7 @@ def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
             within = rows.column("i")[0].as_py() == rows.column("j")[0].as_py()
             if (part == part[0]).all():
                 continue
-            counts = _counts(rows.column("sketch"))
+            counts = _counts(rows.column("sketch").to_pylist())
             left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
             for x in range(len(head)):
                 y = np.flatnonzero((head > head[x]) & (part != part[x]) & (within | (block != block[x])))

@@ -110,6 +110,35 @@ def test_similar_sets_share_a_signature(percent):
             assert np.intersect1d(bands.signatures(a), bands.signatures(b)).size
 
 
+@pytest.mark.parametrize("percent", [80, 90])
+def test_pairs_inside_signatures_of_unlike_sets_grow_with_the_rows(percent):
+    draw = np.random.default_rng(percent)
+    bands, pairs, seen = jaccard.Bands(percent), {}, {}
+    for n in range(10_000):
+        signatures = bands.signatures(draw.integers(0, 2**64, int(draw.integers(60, 600)), dtype=np.uint64))
+        for s in signatures.tolist():
+            seen[s] = seen.get(s, 0) + 1
+        if n + 1 in (1000, 10_000):
+            pairs[n + 1] = sum(k * (k - 1) // 2 for k in seen.values())
+    assert pairs[10_000] <= 10_000 and pairs[10_000] <= 10 * max(pairs[1000], 100)
+
+
+def test_sets_with_many_empty_cells_keep_their_empty_signatures():
+    few = jaccard.Scheme(3, 60)
+    a, b = np.arange(5, dtype=np.uint64), np.arange(100, 105, dtype=np.uint64)
+    assert np.intersect1d(few.signatures(a), few.signatures(b)).size  # they differ in 10 <= 60
+
+
+def test_sketches_of_all_sizes_bound_the_difference_from_below():
+    draw = np.random.default_rng(2)
+    sets = [np.unique(draw.integers(0, 2**64, n, dtype=np.uint64)) for n in (3, 900, 1100, 5000, 30_000)]
+    sets += [np.concatenate([s[len(s) // 9 :], draw.integers(0, 2**64, len(s) // 9 + 1, dtype=np.uint64)]) for s in sets]
+    left, right = zip(*[(a, b) for a in sets for b in sets])
+    apart = jaccard._apart([jaccard._sketch(a) for a in left], [jaccard._sketch(b) for b in right])
+    true = np.array([len(np.setxor1d(a, b)) for a, b in zip(left, right)])
+    assert (apart <= true).all() and apart[4 * len(sets) + 3] > 15_000
+
+
 def test_graph_search_finds_what_brute_force_finds():
     draw = np.random.default_rng(5)
     centres = draw.normal(size=(40, 16))
