@@ -33,11 +33,24 @@ def op1_near_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("vec_id", "n_links", "component_id", "kept")
 
 
+def set_aside(docs: DataFrame, *needed: str) -> tuple[DataFrame, Callable[..., DataFrame]]:
+    """``docs`` with all columns but the ``needed`` ones under other names, which no operator
+    uses, and a function that selects the columns of ``docs`` that a result still has, and new ones."""
+    names = {c: c if c in needed else f"given_{i}" for i, c in enumerate(docs.columns)}
+    aside = docs.select(*[F.col(f"`{c}`").alias(name) for c, name in names.items()])
+
+    def back(df: DataFrame, **new: F.Column) -> DataFrame:
+        return df.select(*[F.col(name).alias(c) for c, name in names.items() if name in df.columns], *[e.alias(c) for c, e in new.items()])
+
+    return aside, back
+
+
 def tokens_and_back(docs: DataFrame) -> DataFrame:
-    """``docs`` without its text, with n_tokens and the sha256 of ids and of decoded bytes."""
-    back = bpe.encode_and_decode(docs, BYTE_RANKS, public_tokenizers.PATTERN)
-    return back.select(*[c for c in docs.columns if c != "text"], (F.octet_length("ids") / 4).cast("bigint").alias("n_tokens"),
-                       F.sha2("ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    """``docs`` without its text, with n_tokens and the sha256 of ids and of decoded bytes;
+    given columns of these names are replaced."""
+    made = {"n_tokens": (F.octet_length("ids") / 4).cast("bigint"), "ids_sha256": F.sha2("ids", 256), "decoded_sha256": F.sha2("decoded", 256)}
+    aside, back = set_aside(docs.drop(*made), "text")
+    return back(bpe.encode_and_decode(aside, BYTE_RANKS, public_tokenizers.PATTERN), **made)
 
 
 def op2_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

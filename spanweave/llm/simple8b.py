@@ -249,7 +249,8 @@ def read_files(files: DataFrame, folder: str) -> DataFrame:
                     if rows:
                         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, (_, t) in zip(zip(*rows), fields)], schema=pa.schema(fields))
 
-    dealt = files.select("file", "start").repartition("file")  # one file or a few a task
+    # a task for each file; without a number Spark would take so few rows for one partition
+    dealt = files.select("file", "start").repartition(max(1, files.count()), "file")
     return dealt.mapInArrow(run, "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint, ids binary")
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.ml.fpm import FPGrowth
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -51,14 +53,15 @@ def url_tokens(url: Column, host: Column, path: Column) -> Column:
     return F.array_distinct(F.concat(scheme, names, suffixes, places, parameters))
 
 
-def mine(labelled: DataFrame, min_support: float, min_confidence: float, longest: int) -> DataFrame:
+def mine(labelled: DataFrame, min_support: float, min_confidence: float) -> DataFrame:
     """Rules (rule_id, tokens, verdict, confidence, support) from ``labelled`` (tokens, verdict).
 
     A rule says that urls with all of ``tokens`` have ``verdict`` in at least
     ``min_confidence`` of cases; tokens and verdict occur together in at least
-    ``min_support`` of the rows. Rules of more than ``longest`` tokens are left out, as are
-    those to which a rule on a part of their tokens gives the same verdict with no less
-    confidence. No labelled rows give no rules.
+    ``min_support`` of the rows. Rules to which a rule on a part of their tokens gives the
+    same verdict with no less confidence are left out: what beats them is carried from
+    rules of one token upwards, as every part of a frequent set is frequent itself. No labelled rows
+    give no rules.
     """
     spark = labelled.sparkSession
     out = "rule_id bigint, tokens array<string>, verdict string, confidence double, support double"
@@ -72,25 +75,34 @@ def mine(labelled: DataFrame, min_support: float, min_confidence: float, longest
     found = sets.where(F.exists("items", is_label)).select(
         F.filter("items", lambda x: ~is_label(x)).alias("tokens"),
         F.substring(F.filter("items", is_label)[0], len(_LABEL) + 1, 1000).alias("verdict"), F.col("freq").alias("both"))
-    found = found.where(F.size("tokens").between(1, longest))
+    found = found.where(F.size("tokens") > 0)
     rules = found.join(sets.select(F.col("items").alias("tokens"), "freq"), "tokens").select(
         "tokens", "verdict", (F.col("both") / F.col("freq")).alias("confidence"), (F.col("both") / total).alias("support"))
-    rules = settle(rules.where(F.col("confidence") >= min_confidence), "rules")
-    # each rule without one of its tokens, again and again: all its parts
-    part = rules.select(F.col("tokens").alias("whole"), "verdict", F.col("confidence").alias("own"),
-                        F.explode(_parts(F.col("tokens"))).alias("tokens"))
-    beaten = part.join(rules.select("tokens", "verdict", "confidence"), ["tokens", "verdict"]).where(
-        "confidence >= own").select(F.col("whole").alias("tokens"), "verdict").distinct()
-    kept = rules.join(beaten, ["tokens", "verdict"], "left_anti")
+    # all sets, also those that are no rule: a weak set passes on what its parts have
+    rules = settle(rules.withColumn("size", F.size("tokens")), "rules")
     key = F.xxhash64("tokens", "verdict")
-    return settle(kept.select(key.alias("rule_id"), "tokens", "verdict", "confidence", "support"), "kept-rules")
+    levels = rules.agg(F.max("size")).first()[0] or 0
+    past, kept = None, []
+    for size in range(1, levels + 1):
+        level = rules.where(F.col("size") == size)
+        if past is None:
+            judged = level.withColumn("beaten_by", F.lit(-1.0))
+        else:
+            parts = level.select(F.col("tokens").alias("whole"), "verdict", F.explode(_one_fewer(F.col("tokens"))).alias("tokens"))
+            best = parts.join(past, ["tokens", "verdict"]).groupBy(F.col("whole").alias("tokens"), "verdict").agg(F.max("best").alias("beaten_by"))
+            judged = level.join(best, ["tokens", "verdict"], "left").fillna(-1.0, ["beaten_by"])
+        judged = settle(judged, "judged-rules")
+        kept.append(judged.where((F.col("confidence") >= min_confidence) & (F.col("confidence") > F.col("beaten_by"))))
+        past = judged.select("tokens", "verdict", F.greatest("confidence", "beaten_by").alias("best"))
+    if not kept:
+        return spark.createDataFrame([], out)
+    every = reduce(DataFrame.unionByName, kept)
+    return settle(every.select(key.alias("rule_id"), "tokens", "verdict", "confidence", "support"), "kept-rules")
 
 
-def _parts(tokens: Column) -> Column:
-    """All true, non-empty subsets of a sorted array."""
-    numbers = F.when(F.size(tokens) > 1, F.sequence(F.lit(1), F.pow(F.lit(2.0), F.size(tokens)).cast("int") - 2)).otherwise(
-        F.array().cast("array<int>"))
-    return F.transform(numbers, lambda m: F.filter(tokens, lambda t, i: F.floor(m / F.pow(F.lit(2.0), i)) % 2 == 1))
+def _one_fewer(tokens: Column) -> Column:
+    """All arrays that lack one of the tokens."""
+    return F.transform(tokens, lambda t: F.array_remove(tokens, t))
 
 
 def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
@@ -112,7 +124,7 @@ def match(urls: DataFrame, rules: DataFrame) -> DataFrame:
 
 
 def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], min_support: float = 0.002,
-               min_confidence: float = 0.8, longest: int = 4, otherwise: str = "allow") -> DataFrame:
+               min_confidence: float = 0.8, otherwise: str = "allow") -> DataFrame:
     """For each row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, confidence.
 
     Where a written rule (host, path, ``allow`` or ``block``) fits, it decides; these urls
@@ -122,8 +134,9 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], min_support:
     repeat a page_id or url are judged alike; an empty table gives an empty result; other
     columns are ignored.
 
-    Mining and matching see each combination of tokens once, with pages of one combination
-    counted, so that a host with a third of all pages is no hot key.
+    Matching sees each combination of tokens once, so a host with a third of all pages is no
+    hot key there. Mining reads every labelled page; an item of very many pages is
+    counted in all tasks, and its conditional trees are grouped by token, not by page.
     """
     host, path = url_parts(F.col("url"))
     parted = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
@@ -131,7 +144,7 @@ def judge_urls(pages: DataFrame, rules: list[tuple[str, str, str]], min_support:
     tokens = url_tokens(F.col("url"), F.col("host"), F.col("path"))
     rows = settle(parted.select("page_id", "host", "path", rule.alias("rule"), verdict.alias("written"), tokens.alias("tokens")), "urls")
     labelled = rows.where("written IS NOT NULL").select("tokens", F.col("written").alias("verdict"))
-    mined = mine(labelled, min_support, min_confidence, longest)
+    mined = mine(labelled, min_support, min_confidence)
     open_ = rows.where("written IS NULL").select("tokens").distinct()
     found = settle(match(open_, mined), "verdicts")
     out = rows.join(found.withColumnRenamed("verdict", "mined"), "tokens", "left")

@@ -203,11 +203,11 @@ def test_mined_rules_against_counting(spark):
     data = [([t for t in "abcde" if draw.random() < 0.5], "block" if draw.random() < 0.4 else "allow") for _ in range(200)]
     data = [(t, "block" if {"a", "b"} <= set(t) else v) for t, v in data]
     found = {(tuple(r["tokens"]), r["verdict"]): r for r in url_rules.mine(
-        spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.05, 0.7, 3).collect()}
+        spark.createDataFrame(data, "tokens array<string>, verdict string"), 0.05, 0.7).collect()}
     from itertools import combinations
 
     rules = {}
-    for n in (1, 2, 3):
+    for n in range(1, 6):
         for c in combinations("abcde", n):
             hit = [v for t, v in data if set(c) <= set(t)]
             for verdict in ("block", "allow"):
@@ -218,6 +218,35 @@ def test_mined_rules_against_counting(spark):
     assert set(found) == kept and all(found[r]["confidence"] == pytest.approx(rules[r]) for r in kept)
 
 
+def test_a_rule_may_need_many_tokens(spark):
+    rows = [(list("abcdef"), "block")] * 10 + [([t for t in "abcdef" if t != gone], "allow") for gone in "abcdef"] * 10
+    found = url_rules.mine(spark.createDataFrame(rows, "tokens array<string>, verdict string"), 0.05, 0.9).collect()
+    assert [r["tokens"] for r in found if r["verdict"] == "block"] == [list("abcdef")]
+
+
+def test_verdicts_against_all_rules(spark):
+    draw = np.random.default_rng(9)
+    words = ["de", "fr", "es", "en", "a1", "b2", "x" * 5000]
+    urls = [f"{draw.choice(['http', 'https'])}://{draw.choice(['www', 'm'])}.{draw.choice(['one', 'two', 'three'])}.{draw.choice(['com', 'net', 'org'])}"
+            f"/{draw.choice(words)}/{draw.choice(words)}?{draw.choice(['q', 'r'])}=1" for _ in range(300)]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id bigint, url string")
+    host, path = url_rules.url_parts(F.col("url"))
+    parted = pages.select("page_id", "url", host.alias("host"), path.alias("path"))
+    tokens = {r["page_id"]: set(r["t"]) for r in parted.select("page_id", url_rules.url_tokens(F.col("url"), F.col("host"), F.col("path")).alias("t")).collect()}
+    found = {r["page_id"]: r for r in url_rules.judge_urls(pages, URL_RULES, min_support=0.05, min_confidence=0.6).collect()}
+    written = {i: r["verdict"] for i, r in found.items() if r["rule"]}
+    for i, r in found.items():
+        rule = max((w for w in URL_RULES if ("." + r["host"]).endswith("." + w[0]) and r["path"].startswith(w[1])), key=lambda w: len(w[0] + w[1]), default=None)
+        assert (r["rule"], written.get(i)) == ((rule[0] + rule[1], rule[2]) if rule else (None, None))
+    labelled = spark.createDataFrame([(sorted(tokens[i]), v) for i, v in written.items()], "tokens array<string>, verdict string")
+    rules = [(set(r["tokens"]), r["confidence"], r["support"], r["verdict"] == "block") for r in url_rules.mine(labelled, 0.05, 0.6).collect()]
+    assert rules and len(found) == 300
+    for i in set(found) - set(written):
+        best = max((r[1:] for r in rules if r[0] <= tokens[i]), default=None)
+        assert found[i]["verdict"] == ("allow" if best is None else "block" if best[2] else "allow")
+        assert found[i]["confidence"] == (best and pytest.approx(best[0]))
+
+
 def test_quality_and_toxicity_on_odd_rows(spark, docs, none):
     labels = spark.createDataFrame([(4, 2, 0), (7, 0, 1), (8, 1, 0), (99, 1, 1), (6, None, None)], "doc_id bigint, quality int, toxic int")
     model = quality.learn(docs, labels)
@@ -239,7 +268,8 @@ def test_token_files(spark, docs, none):
     def tokens(texts):
         return simple8b.word_tokens(WORD_FILE, 2)(texts)
 
-    rows = simple8b.read_files(simple8b.write_files(named, folder, tokens), folder).orderBy("start").collect()
+    read = simple8b.read_files(simple8b.write_files(named, folder, tokens), folder)
+    rows = read.orderBy("start").collect()
     assert [r["doc_id"] for r in rows] == [1, 2, 3, 4, 5, 5, 6, 7, 8]
     assert [r["start"] for r in rows] == np.cumsum([0, *[r["n_tokens"] for r in rows]])[:-1].tolist()
     assert [r["n_tokens"] for r in rows[:3]] == [1, 1, 1] and bytes(rows[0]["ids"]) == b"\x02\0\0\0"
@@ -269,3 +299,60 @@ def test_pipeline_against_its_parts(spark):
             assert sorted(left) == sorted(set(groups.values()))
         if name == "byte_bpe":
             assert len(left) == docs.count() and docs.where("n_tokens = 0").count() == 0
+
+
+def test_token_files_are_read_in_as_many_tasks_as_there_are_files(spark, docs):
+    folder = scratch.shared_folder(spark) + "/files-of-tasks"
+    named = docs.where("doc_id IS NOT NULL")
+    parts = [simple8b.write_files(some, folder, lambda texts: [np.zeros(3, "<u4") for _ in texts]) for some in (named, named.limit(2), named.limit(1))]
+    read = simple8b.read_files(parts[0].union(parts[1]).union(parts[2]), folder)
+    assert read.rdd.getNumPartitions() == 3 and read.count() == named.count() + 3
+
+
+GIVEN = ("doc_id bigint, text string, lang string, source string, n_chars bigint, n_tokens string, p_least double, expected_grade string, "
+         "copy string, place string, ids string, digest string, row string, gone string, again string, given_0 string, kept string")
+LONG_RUN = " ".join(f"word{i}" for i in range(80))
+
+
+def given(*rows):
+    return [(i, t, lang, "s", None, "t", 9.5, "e", "c", "p", "i", "d", "r", "g", "a", "0", "k") for i, t, lang in rows]
+
+
+@pytest.mark.skipif(importlib.util.find_spec("corpus_pipeline") is None, reason="the pipeline is not here")
+class TestStages:
+    def run(self, spark, name, *rows):
+        import corpus_pipeline
+
+        docs = scratch.settle(spark.createDataFrame(given(*rows), GIVEN), "test-given")
+        out = dict(corpus_pipeline.STAGES)[name](spark, docs, SF)
+        assert name == "byte_bpe" or out.columns == docs.columns
+        return out.collect()
+
+    def test_copies_are_rows_not_ids(self, spark):
+        rows = self.run(spark, "exact_dedup", (0, "a", None), (1, "a", None), (1, "b", None), (None, "c", "y"), (None, "c", "x"), (5, "z", "e"), (5, "z", "e"),
+                        (6, None, None), (7, "", None), (None, "a", None), (8, "q", "u"), (8, "r", "u"))
+        assert sorted((-1 if r["doc_id"] is None else r["doc_id"], r["text"] or "", r["lang"] or "") for r in rows) == [
+            (-1, "c", "x"), (0, "a", ""), (1, "b", ""), (5, "z", "e"), (6, "", ""), (8, "q", "u"), (8, "r", "u")]
+        assert all(r["digest"] == "d" and r["again"] == "a" for r in rows)
+
+    def test_near_copies_are_rows_not_ids(self, spark):
+        rows = self.run(spark, "jaccard_dedup", (0, LONG_RUN, None), (1, LONG_RUN + " more", None), (1, "all alone", None), (None, LONG_RUN + " other", None),
+                        (None, "no id", "b"), (None, "no id", "a"), (4, None, None), (4, None, None), (5, "", None))
+        assert sorted((r["doc_id"] if r["doc_id"] is not None else -1, r["text"] or "", r["lang"] or "") for r in rows) == [
+            (-1, "no id", "a"), (0, LONG_RUN, ""), (1, "all alone", ""), (4, "", ""), (4, "", ""), (5, "", "")]
+        assert all(r["row"] == "r" and r["kept"] == "k" for r in rows)
+        plain = self.run(spark, "jaccard_dedup", (3, LONG_RUN, None), (2, LONG_RUN + " more", None), (4, None, None))
+        assert sorted(r["doc_id"] for r in plain) == [2, 4]
+
+    def test_given_columns_of_any_name_pass(self, spark):
+        text = spark.read.parquet(f"{SF}/documents.parquet").join(spark.read.parquet(f"{SF}/labels.parquet").where("quality = 1"), "doc_id").first()["text"]
+        (rated,) = self.run(spark, "quality", (1, text, None))
+        assert (rated["p_least"], rated["expected_grade"], rated["given_0"]) == (9.5, "e", "0")
+        mixed = self.run(spark, "mixing", *[(i, "x", None) for i in range(30)])
+        assert mixed and all((r["copy"], r["place"]) == ("c", "p") for r in mixed)
+        (coded,) = self.run(spark, "byte_bpe", (1, "two words", None))
+        assert coded["n_tokens"] == 2 and coded["ids"] == "i" and coded["p_least"] == 9.5 and "text" not in coded.asDict()
+
+    @pytest.mark.parametrize("name", ["quality", "exact_dedup", "jaccard_dedup", "mixing", "byte_bpe"])
+    def test_nothing_gives_nothing(self, spark, name):
+        assert self.run(spark, name) == []
