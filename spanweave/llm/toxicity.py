@@ -15,7 +15,19 @@ from .hashing import Words, batches, mix
 #: Labelled documents of either label that the network is trained on, at most.
 SAMPLE = 1500
 #: Words in a window, and from one window's start to the next one's.
-WINDOW, STRIDE = 64, 56
+WINDOW, STRIDE = 64, 32
+#: Training documents that hold a word for it to count among those that are tested.
+KNOWN = 3
+#: Share of the words of a batch whose inputs are left out in training.
+DROPPED = 0.3
+#: Power of the number of other windows for each toxic one with which these weigh: 0, as they are; 1, both alike.
+BALANCE = 0.6
+#: Steps of a round, about, where there are windows for more.
+STEPS = 40
+#: How much of the mean over the steps stays at each step.
+MEMORY = 0.995
+#: Spread of the first word and trigram vectors; share of a step by which parameters decay.
+SMALL, DECAY = 0.02, 0.1
 #: Hash buckets of words and of character trigrams; sizes of their vectors and of a state.
 WORD_BUCKETS, CHAR_BUCKETS, WIDTH, STATE, ATTENTION = 1 << 14, 1 << 12, 8, 8, 8
 _LOWER = np.arange(256, dtype=np.uint64)
@@ -29,8 +41,13 @@ def new_network(seed: int = 7) -> dict[str, np.ndarray]:
               "focus": (ATTENTION,), "out": (2 * STATE,), "bias": (1,)}
     for way in "fb":
         shapes |= {f"x_{way}": (2 * WIDTH, 3 * STATE), f"u_{way}": (STATE, 3 * STATE), f"c_{way}": (3 * STATE,)}
-    return {k: (draw.normal(0, 0.1 if k in ("word", "char") else 0.3, s) if k not in ("bias", "c_f", "c_b") else np.zeros(s)).astype(np.float32)
-            for k, s in shapes.items()}
+    net = {k: (draw.normal(0, SMALL if k in ("word", "char") else 0.3, s) if k not in ("bias", "c_f", "c_b") else np.zeros(s)).astype(np.float32)
+           for k, s in shapes.items()}
+    return net | {"known": np.ones(WORD_BUCKETS, np.float32)}
+
+
+#: Set before the training, not by it.
+_FIXED = ("known",)
 
 
 class Vocab:
@@ -53,7 +70,7 @@ class Vocab:
 
     def inputs(self, net: dict[str, np.ndarray]) -> np.ndarray:
         chars = np.add.reduceat(net["char"][self.trigram], self.cut[:-1], 0) if len(self.bucket) else np.zeros((0, WIDTH), np.float32)
-        return np.concatenate([net["word"][self.bucket], chars / self.length[:, None]], 1)
+        return np.concatenate([net["word"][self.bucket] * net["known"][self.bucket, None], chars / self.length[:, None]], 1)
 
     def windows(self) -> tuple[np.ndarray, np.ndarray]:
         """(text number, word numbers or -1) of all overlapping windows; a text has one at least."""
@@ -110,12 +127,16 @@ def forward(net: dict[str, np.ndarray], inputs: np.ndarray, ids: np.ndarray, kee
     return pooled @ net["out"] + net["bias"][0]
 
 
-def gradients(net: dict[str, np.ndarray], vocab: Vocab, ids: np.ndarray, label: np.ndarray) -> tuple[float, dict[str, np.ndarray]]:
-    """Mean log loss of the windows and its gradient in all parameters."""
+def gradients(net: dict[str, np.ndarray], vocab: Vocab, ids: np.ndarray, label: np.ndarray,
+              weight: np.ndarray | None = None, mask: np.ndarray | None = None) -> tuple[float, dict[str, np.ndarray]]:
+    """Weighted mean log loss of the windows and its gradient in all parameters. ``mask``
+    multiplies the inputs of each word."""
     keep: dict = {}
-    logit = forward(net, vocab.inputs(net), ids, keep)
-    loss = float(np.mean(np.logaddexp(0, logit) - label * logit))
-    d = ((1 / (1 + np.exp(-logit)) - label) / len(label)).astype(np.float32)
+    share = np.full(len(label), 1 / len(label)) if weight is None else weight / weight.sum()
+    inputs = vocab.inputs(net)
+    logit = forward(net, inputs if mask is None else inputs * mask[:, None], ids, keep)
+    loss = float(((np.logaddexp(0, logit) - label * logit) * share).sum())
+    d = ((1 / (1 + np.exp(-logit)) - label) * share).astype(np.float32)
     states, hidden, weight, pooled = keep["states"], keep["hidden"], keep["weight"], keep["pooled"]
     g = {"bias": np.array([d.sum()]), "out": pooled.T @ d}
     d_pooled = d[:, None] * net["out"]
@@ -147,51 +168,102 @@ def gradients(net: dict[str, np.ndarray], vocab: Vocab, ids: np.ndarray, label:
         g[f"u_{way}"], g[f"c_{way}"] = g_u, d_px.sum(0)
         g[f"x_{way}"] = keep["inputs"].T @ d_px
         d_inputs += d_px @ net[f"x_{way}"].T
-    d_inputs = d_inputs[:-1]
+    d_inputs = d_inputs[:-1] if mask is None else d_inputs[:-1] * mask[:, None]
     g["word"], g["char"] = np.zeros_like(net["word"]), np.zeros_like(net["char"])
-    np.add.at(g["word"], vocab.bucket, d_inputs[:, :WIDTH])
+    np.add.at(g["word"], vocab.bucket, d_inputs[:, :WIDTH] * net["known"][vocab.bucket, None])
     per_trigram = d_inputs[:, WIDTH:] / vocab.length[:, None]
     np.add.at(g["char"], vocab.trigram, np.repeat(per_trigram, np.diff(vocab.cut), 0))
     return loss, g
 
 
-def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 64, step: float = 0.01, seed: int = 7) -> dict[str, np.ndarray]:
-    """A network for documents whose label says whether any part of them is toxic.
+@dataclass(frozen=True)
+class _Windows:
+    """The windows of labelled documents: their words, documents and word numbers."""
 
-    At first all windows of a document have its label, a few drawn at a time; from the third
-    round on only the window that scores highest stands for it. Adam, fixed seed.
-    """
+    words: Vocab
+    text: np.ndarray
+    ids: np.ndarray
+    labels: np.ndarray
+
+    def holders(self) -> np.ndarray:
+        """For each document and each word bucket in it one (bucket, document) pair."""
+        on = self.ids >= 0
+        return np.unique(self.words.bucket[self.ids[on]] * len(self.labels) + np.repeat(self.text, on.sum(1)))
+
+    def best(self, scores: np.ndarray) -> np.ndarray:
+        """Of each document's windows the one that scores highest."""
+        order = np.lexsort((scores, self.text))
+        return order[np.append(self.text[order][1:] != self.text[order][:-1], True)]
+
+
+def _surprise(toxic: np.ndarray, all_: np.ndarray, share: float) -> np.ndarray:
+    """How far the share of toxic documents among those that hold a word is from the share of
+    all, in standard deviations (as told from the Chernoff bound of its chance); 0 where so
+    much would be met by chance among as many words as there are."""
+    p = np.clip(toxic / np.maximum(all_, 1), 1e-12, 1 - 1e-12)
+    bound = all_ * (p * np.log(p / share) + (1 - p) * np.log((1 - p) / (1 - share)))
+    return np.where(bound >= np.log(max(2, (all_ >= KNOWN).sum())), np.sign(p - share) * np.sqrt(2 * np.maximum(bound, 0)), 0)
+
+
+def _fit(held: _Windows, rounds: int, batch: int, step: float, seed: int) -> dict[str, np.ndarray]:
+    """A network for labelled documents. A toxic document is stood for by the window that
+    scores highest, at first by how much more often its words occur in toxic documents; of
+    the others any window is an example, so two more are drawn. Only words that tell the labels
+    apart beyond chance have a vector of their own, which starts from how much they do; words are
+    left out at random, the rarer label weighs more, parameters decay: else a network learns by
+    heart which rare words stood in the few toxic documents."""
     net, draw = new_network(seed), np.random.default_rng(seed)
-    if len(set(labels.tolist())) < 2:
-        share = labels.mean() if len(labels) else 0.0
-        net["out"][:] = 0
-        net["bias"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
-        return net
-    all_words, text, ids = _all_windows(texts)
-    slot = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.items()}
+    pairs = held.holders()
+    bucket, doc = pairs // len(held.labels), pairs % len(held.labels)
+    toxic = held.labels[doc] > 0
+    with_, without = np.bincount(bucket[toxic], minlength=WORD_BUCKETS), np.bincount(bucket[~toxic], minlength=WORD_BUCKETS)
+    more = _surprise(with_, with_ + without, (held.labels > 0).mean())
+    net["known"] = (more != 0).astype(np.float32)
+    net["word"][:, 0] += np.clip(more / 4, -3, 3)
+    told = np.maximum(more, 0)[held.words.bucket]
+    scores = np.append(told, 0)[held.ids].max(1)
+    toxic_rows, plain = np.flatnonzero(held.labels[held.text] > 0), np.flatnonzero(held.labels[held.text] == 0)
+    slot = {k: (np.zeros_like(p), np.zeros_like(p)) for k, p in net.items() if k not in _FIXED}
+    mean = {k: p.copy() for k, p in net.items()}  # over the last steps: steadier than any one of them
     t = 0
     for turn in range(rounds):
-        if turn < 2:
-            rank = draw.random(len(text))
-            use = np.lexsort((rank, text))
-            nth = np.arange(len(use)) - np.searchsorted(text[use], text[use])
-            use = use[nth < 4]
-        else:
-            score = _in_blocks(net, all_words.inputs(net), ids)
-            order = np.lexsort((score, text))
-            use = order[np.append(text[order][1:] != text[order][:-1], True)]
+        nth = np.lexsort((draw.random(len(plain)), held.text[plain]))
+        place = np.arange(len(plain)) - np.searchsorted(held.text[plain][nth], held.text[plain][nth])
+        use = np.union1d(held.best(scores), plain[nth[place < 2]])
         use = draw.permutation(use)
-        for i in range(0, len(use), batch):
-            rows = use[i : i + batch]
-            some, local = _subset(all_words, ids[rows])
-            _, g = gradients(net, some, local, labels[text[rows]].astype(np.float32))
+        label = held.labels[held.text[use]]
+        weight = np.where(label > 0, max(1, (label == 0).sum()) / max(1, (label > 0).sum()), 1.0) ** BALANCE
+        size = max(batch, len(use) // STEPS)
+        for i in range(0, len(use), size):
+            some, local = _subset(held.words, held.ids[use[i : i + size]])
+            mask = (draw.random(len(some.bucket)) >= DROPPED).astype(np.float32)
+            _, g = gradients(net, some, local, label[i : i + size].astype(np.float32), weight[i : i + size], mask)
             t += 1
-            for k, p in net.items():
-                m, v = slot[k]
+            for k, (m, v) in slot.items():
                 m += 0.1 * (g[k] - m)
                 v += 0.001 * (g[k] ** 2 - v)
-                p -= step * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7)
-    return net
+                net[k] -= step * ((m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.999**t)) + 1e-7) + (DECAY * net[k] if k not in ("bias", "c_f", "c_b") else 0))
+                mean[k] += max(1 - MEMORY, 1 / (t + 1)) * (net[k] - mean[k])
+        again = toxic_rows if turn % 3 else np.arange(len(scores))  # the windows of other documents are many, and each an example
+        scores[again] = _in_blocks(mean, held.words.inputs(mean), held.ids[again])
+    return mean
+
+
+def train(texts: list[bytes], labels: np.ndarray, rounds: int = 8, batch: int = 16, step: float = 0.02, seed: int = 7) -> dict[str, np.ndarray]:
+    """A network for documents whose label says whether any part of them is toxic.
+
+    The rarer label weighs more in the training, so a score is a probability among documents
+    of which more are toxic than among those given. A step takes ``batch`` windows, or more where there are many. Documents
+    of one label alone give that label's share as the score of every text. Adam, fixed seed.
+    """
+    labels = np.asarray(labels, float)
+    if len(set(labels.tolist())) < 2:
+        net = new_network(seed)
+        share = labels.mean() if len(labels) else 0.0
+        net["out"][:] = 0
+        net["bias"][0] = np.log((share + 1e-3) / (1 - share + 1e-3))
+        return net
+    return _fit(_Windows(*_all_windows(texts), labels), rounds, batch, step, seed)
 
 
 def _all_windows(texts: list[bytes], size: int = 400_000) -> tuple[Vocab, np.ndarray, np.ndarray]:

@@ -269,6 +269,46 @@ def test_gradients_by_difference():
         assert (loss[0] - loss[1]) / 2e-2 == pytest.approx(g[name][at], rel=2e-2, abs=1e-7)
 
 
+def test_toxicity_forward_against_plain_loops():
+    net = {k: v.astype(float) for k, v in toxicity.new_network(3).items()}
+    vocab = toxicity.Vocab([b"what a bad bad day"])
+    _, ids = vocab.windows()
+    gate = lambda v: 1 / (1 + np.exp(-v))
+    words, n, states = vocab.inputs(net), toxicity.STATE, {}
+    for way, order in (("f", range(5)), ("b", range(4, -1, -1))):
+        h = np.zeros(n)
+        for t in order:
+            x, r = words[ids[0, t]] @ net[f"x_{way}"] + net[f"c_{way}"], h @ net[f"u_{way}"]
+            z, reset = gate(x[:n] + r[:n]), gate(x[n : 2 * n] + r[n : 2 * n])
+            h = z * h + (1 - z) * np.tanh(x[2 * n :] + reset * r[2 * n :])
+            states[way, t] = h
+    whole = np.array([np.concatenate([states["f", t], states["b", t]]) for t in range(5)])
+    focus = np.exp(np.tanh(whole @ net["attend"]) @ net["focus"])
+    logit = (focus / focus.sum()) @ whole @ net["out"] + net["bias"][0]
+    assert toxicity.forward(net, vocab.inputs(net), ids)[0] == pytest.approx(logit)
+
+
+def test_toxicity_is_told_apart_in_documents_that_were_not_seen():
+    import zlib
+
+    import duckdb
+
+    rows = duckdb.sql("SELECT doc_id, text, toxic FROM '/root/testdata/sf0.01/documents.parquet' JOIN '/root/testdata/sf0.01/labels.parquet' "
+                      "USING (doc_id) WHERE toxic IS NOT NULL AND text IS NOT NULL ORDER BY doc_id").fetchall()
+    parts = {k: [(t.encode(), y) for i, t, y in rows if (zlib.crc32(str(i).encode()) % 3 == 1) == k] for k in (False, True)}
+    net = toxicity.train([t for t, _ in parts[False]], np.array([y for _, y in parts[False]], float))
+    score, label = toxicity.score_texts(net, [t for t, _ in parts[True]]), np.array([y for _, y in parts[True]])
+    assert label.sum() == 18 and (score[label == 1] >= 0.7).sum() >= 12 and (score[label == 0] >= 0.7).sum() <= 3
+
+
+def test_runs_of_half_a_window_lie_whole_in_some_window():
+    vocab = toxicity.Vocab([b" ".join(b"w%d" % i for i in range(500))])
+    _, ids = vocab.windows()
+    windows = [set(row[row >= 0].tolist()) for row in ids]
+    runs = [set(vocab.number[i : i + toxicity.STRIDE].tolist()) for i in range(500 - toxicity.STRIDE + 1)]
+    assert all(any(run <= w for w in windows) for run in runs)
+
+
 def test_toxicity_learns_a_word_and_looks_at_all_windows():
     draw = random.Random(1)
     plain = [" ".join(draw.choice(["sun", "rain", "wind", "tree", "road"]) for _ in range(150)) for _ in range(80)]
