@@ -212,7 +212,7 @@ class Vocabulary:
 
 @cache
 def vocabulary(path: str, pattern: str) -> Vocabulary:
-    """One per worker process: tasks that follow on it find the pieces already known."""
+    """One per worker process."""
     return Vocabulary(path, pattern)
 
 
@@ -243,6 +243,8 @@ def _mapped(df: DataFrame, steps: list, without: str | None = None) -> DataFrame
                 for source, target, each in steps:
                     held[target] = pa.array(each(held[source].to_pylist()), pa.binary())
                 yield pa.RecordBatch.from_pydict({name: held[name] for name in [*kept, *targets]})
+        for _, _, each in steps:
+            each.forget()  # the worker idles on while other stages run
 
     schema = df.select(*kept).schema
     for target in targets:
@@ -250,20 +252,26 @@ def _mapped(df: DataFrame, steps: list, without: str | None = None) -> DataFrame
     return df.select(*[f.name for f in given]).mapInArrow(run, schema)
 
 
-def _encoder(path: str, pattern: str):
-    def each(texts):
-        words = vocabulary(path, pattern)
-        return [ids for run in _runs(texts) for ids in words.encode(run)]
+class _Coder:
+    """A step of ``_mapped`` by the vocabulary of its worker process."""
 
-    return each
+    def __init__(self, path: str, pattern: str):
+        self.path, self.pattern = path, pattern
 
+    def forget(self) -> None:
+        vocabulary(self.path, self.pattern).known.clear()
 
-def _decoder(path: str, pattern: str):
-    def each(rows):
-        words = vocabulary(path, pattern)
-        return [words.decode(row or b"") for row in rows]
 
-    return each
+class _Encoder(_Coder):
+    def __call__(self, texts: list) -> list[bytes]:
+        words = vocabulary(self.path, self.pattern)
+        return [ids for run in _runs(texts) for ids in words.encode(run)]
+
+
+class _Decoder(_Coder):
+    def __call__(self, rows: list) -> list[bytes]:
+        words = vocabulary(self.path, self.pattern)
+        return [words.decode(row or b"") for row in rows]
 
 
 def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
@@ -273,18 +281,18 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
     A null or empty text has no ids. An existing column of that name is replaced; all other
     columns and all rows, repeated ones too, pass unchanged; an empty table stays empty.
-    Each worker remembers the ids of up to REMEMBERED distinct pieces.
+    A task remembers the ids of up to REMEMBERED distinct pieces.
     """
-    return _mapped(df, [(text, ids, _encoder(path, pattern))])
+    return _mapped(df, [(text, ids, _Encoder(path, pattern))])
 
 
 def decode(df: DataFrame, path: str, pattern: str, ids: str = "ids", raw: str = "decoded") -> DataFrame:
     """``df`` with a binary column ``raw``: the bytes that ``ids`` stand for; null ids give
     no bytes. An id outside the vocabulary is an error."""
-    return _mapped(df, [(ids, raw, _decoder(path, pattern))])
+    return _mapped(df, [(ids, raw, _Decoder(path, pattern))])
 
 
 def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text") -> DataFrame:
     """``df`` with columns ids and decoded in place of ``text``: ``encode`` and ``decode`` in
     one pass, so that a task needs one Python worker and one vocabulary."""
-    return _mapped(df, [(text, "ids", _encoder(path, pattern)), ("ids", "decoded", _decoder(path, pattern))], without=text)
+    return _mapped(df, [(text, "ids", _Encoder(path, pattern)), ("ids", "decoded", _Decoder(path, pattern))], without=text)

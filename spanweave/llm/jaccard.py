@@ -36,7 +36,7 @@ from .scratch import discard, settle
 FINE = 16
 #: Parts, as a multiple of those that the differences call for.
 SPARE = 1.15
-#: Bins of the sketch of a set of up to 1024 shingles; they double with the size beyond.
+#: Bins of the sketch of a set of up to 4096 shingles; they double with the size beyond.
 BINS = 256
 #: Sets of one signature that are compared with each other at once.
 BLOCK = 1000
@@ -131,7 +131,7 @@ class Bands:
 
 def _sketch(shingles: np.ndarray) -> bytes:
     """Counts of a set in its bins, at most 255 each: a bound from below on how far sets differ."""
-    bits = 8 + max(0, math.ceil(math.log2(max(1, len(shingles)) / 1024)))
+    bits = 8 + max(0, math.ceil(math.log2(max(1, len(shingles)) / 4096)))
     found = np.bincount((mix(shingles, 13) >> np.uint64(64 - bits)).astype(np.int64), minlength=1 << bits)
     return np.minimum(found, 255).astype(np.uint8).tobytes()
 
@@ -165,23 +165,30 @@ def _counts(sketches: list[bytes]) -> np.ndarray:
     """The counts of all in the bins of the shortest: bins are leading bits of a hash, so those
     of a longer sketch add up to those of a shorter one."""
     width = min(map(len, sketches))
-    out = np.empty((len(sketches), width), np.int32)
+    out = np.empty((len(sketches), width), np.int16)  # sketches of one signature are of like sizes
     lengths = np.fromiter(map(len, sketches), np.int64, len(sketches))
     for length in np.unique(lengths):
         rows = np.flatnonzero(lengths == length)
         own = np.frombuffer(b"".join([sketches[i] for i in rows]), np.uint8).reshape(len(rows), width, length // width)
-        out[rows] = own.sum(2, dtype=np.int32)
+        out[rows] = np.minimum(own.sum(2, dtype=np.int64), 32767)
     return out
 
 
+def _differences(counts: np.ndarray, x: int, rows: np.ndarray) -> np.ndarray:
+    """How far row ``x`` is from others, a bounded number of bins at a time."""
+    step = max(1, 1_000_000 // counts.shape[1])
+    parts = [np.abs(counts[rows[i : i + step]] - counts[x]).sum(1, dtype=np.int64) for i in range(0, len(rows), step)]
+    return np.concatenate(parts) if parts else np.zeros(0, np.int64)
+
+
 def _apart(left: list[bytes], right: list[bytes]) -> np.ndarray:
     """For pairs of sketches a number of shingles in which their sets differ at least."""
     out = np.zeros(len(left), np.int64)
     shorter = np.fromiter((min(len(a), len(b)) for a, b in zip(left, right)), np.int64, len(left))
     for width in np.unique(shorter):
         rows = np.flatnonzero(shorter == width)
-        for i in range(0, len(rows), max(1, 2_000_000 // int(width))):
-            part = rows[i : i + max(1, 2_000_000 // int(width))]
+        for i in range(0, len(rows), max(1, 1_000_000 // int(width))):
+            part = rows[i : i + max(1, 1_000_000 // int(width))]
             both = _counts([left[r] for r in part] + [right[r] for r in part])
             out[part] = np.abs(both[: len(part)] - both[len(part) :]).sum(1, dtype=np.int64)
     return out
@@ -244,7 +251,7 @@ def _across(members: DataFrame, found: DataFrame, sketches: DataFrame, percent:
             for x in range(len(head)):
                 y = np.flatnonzero((head > head[x]) & (part != part[x]) & (within | (block != block[x])))
                 y = y[_may_link(np.zeros(1), size[x], size[y], percent)]
-                y = y[_may_link(np.abs(counts[y] - counts[x]).sum(1, dtype=np.int64), size[x], size[y], percent)]
+                y = y[_may_link(_differences(counts, x, y), size[x], size[y], percent)]
                 left.append(np.full(len(y), head[x]))
                 right.append(head[y])
             yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(left)), pa.array(np.concatenate(right))], names=["a", "b"])

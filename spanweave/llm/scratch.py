@@ -8,6 +8,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _CLEAN_SHUFFLES = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+#: Bytes of a batch of rows for a Python worker.
+BATCH = "8m"
+_BATCHES, _DEFAULT = "spark.sql.execution.arrow.maxBytesPerBatch", "67108864b"
 _own_folder: dict[str, str] = {}
 
 
@@ -24,6 +27,13 @@ def shared_folder(spark: SparkSession) -> str:
     return _own_folder.setdefault(context.applicationId, "file://" + tempfile.mkdtemp(prefix="shared-"))
 
 
+def modest_batches(spark: SparkSession) -> None:
+    """Have rows sent to Python workers BATCH at a time, where the session has not chosen
+    otherwise: by default a batch holds up to 64 MB, several times over in the memory of a task."""
+    if spark.conf.get(_BATCHES, _DEFAULT) == _DEFAULT:
+        spark.conf.set(_BATCHES, BATCH)
+
+
 def settle(df: DataFrame, name: str) -> DataFrame:
     """Write ``df`` to the shared folder and return the stored table.
 
@@ -31,6 +41,7 @@ def settle(df: DataFrame, name: str) -> DataFrame:
     write are released as soon as it has ended; nothing reads them again.
     """
     spark = df.sparkSession
+    modest_batches(spark)
     path = f"{shared_folder(spark)}/{name}-{uuid.uuid4().hex}"
     before = spark.conf.get(_CLEAN_SHUFFLES, None)
     spark.conf.set(_CLEAN_SHUFFLES, "true")
@@ -53,4 +64,5 @@ def discard(*tables: DataFrame) -> None:
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    modest_batches(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
