@@ -37,14 +37,20 @@ def winsor_scale(lab: Lab) -> DataFrame:
     return mixture.preprocessing_table(lab.spark, mixture.fit_preprocessing(train))
 
 
-def _posterior_sql(k: int, alias: str, model: str) -> str:
+def _posterior(k: int, alias: str) -> tuple[str, str]:
+    """SQL of the confidence and the entropy of scores ``alias0`` ... in a row."""
     top = f"greatest({', '.join(f'{alias}{c}' for c in range(k))})"
     total = " + ".join(f"exp({alias}{c} - {top})" for c in range(k))
     q = [f"((exp({alias}{c} - {top}) / ({total})) + 1e-10) / (1 + {k}e-10)" for c in range(k)]
     entropy = " - ".join(["0.0"] + [f"({x}) * ln({x})" for x in q])
+    return f"round(1 / ({total}), 6)", f"round({entropy}, 6)"
+
+
+def _posterior_sql(k: int, alias: str, model: str) -> str:
+    confidence, entropy = _posterior(k, alias)
     return compose("labelled", f"""
-SELECT person_id, CAST(year AS INTEGER) AS year, {model}_cluster, round(1 / ({total}), 6) AS {model}_confidence,
-       round({entropy}, 6) AS {model}_entropy,
+SELECT person_id, CAST(year AS INTEGER) AS year, {model}_cluster, {confidence} AS {model}_confidence,
+       {entropy} AS {model}_entropy,
        lag({model}_cluster) OVER (PARTITION BY person_id ORDER BY year) AS prior_year_{model}_cluster
 FROM labelled""")
 
@@ -86,34 +92,40 @@ def gmm_fit(lab: Lab) -> DataFrame:
 
 @query("gmm_model_table")
 def gmm_model_table(lab: Lab) -> DataFrame:
-    model = mixture.fit(sampling.one_year_per_person(lab.stored_features), k=4, n_init=2)
+    model = mixture.fit(sampling.one_year_per_person(lab.stored_features), k=4)
     return mixture.model_table(lab.spark, model, "gmm_4")
 
 
-@query("cluster_label_export", compose("labelled", """
+@query("cluster_label_export", compose("labelled", f"""
 SELECT person_id, CAST(year AS INTEGER) AS year, 'gmm_4' AS model_id, gmm_4_cluster AS cluster,
        CASE gmm_4_cluster WHEN 0 THEN 'Moderate Inpatient' WHEN 1 THEN 'Outpatient Irregular'
             WHEN 2 THEN 'Outpatient Regular' ELSE 'High Inpatient' END AS cluster_label,
+       {_posterior(4, "f")[0]} AS confidence, {_posterior(4, "f")[1]} AS entropy,
        0 AS is_outlier, 'run-1' AS run_timestamp FROM labelled
 UNION ALL
-SELECT person_id, CAST(year AS INTEGER), 'rules', NULL, archetype, 0, 'run-1' FROM labelled"""))
+SELECT person_id, CAST(year AS INTEGER), 'rules', NULL, archetype, NULL, NULL, 0, 'run-1' FROM labelled"""))
 def cluster_label_export(lab: Lab) -> DataFrame:
     mixed = sinks.label_rows(
         lab.labelled, "gmm_4", "gmm_4_cluster", "run-1", "gmm_4_confidence", "gmm_4_entropy",
         label="gmm_4_cluster_label",
     )
     ruled = sinks.label_rows(lab.labelled, "rules", "archetype", "run-1")
-    return mixed.unionByName(ruled).drop("confidence", "entropy")
+    return mixed.unionByName(ruled)
 
 
-@query("input_checks", compose("feature", """
-SELECT count(*) AS n_samples, count(*) FILTER (WHERE visit_count = 0 AND inpatient_visit_count = 0
-         AND hospitalized_days = 0 AND has_valid_regularity = 0 AND coalesce(irregularity_l1, 0) = 0
-         AND coalesce(irregularity_l2, 0) = 0) AS n_all_zero,
-       CAST(0 AS BIGINT) AS n_not_finite FROM feature"""))
+def _checks_sql() -> str:
+    values = [f"CAST({f} AS DOUBLE)" for f in fixed_models.FEATURES]
+    zero = " AND ".join(f"coalesce({v}, 0) = 0" for v in values)
+    broken = " + ".join(f"count(*) FILTER (WHERE isnan({v}) OR isinf({v}))" for v in values)
+    constant = ", ".join(f"CASE WHEN coalesce(stddev_pop({v}), 0) < 1e-10 THEN '{f}' END" for f, v in zip(fixed_models.FEATURES, values))
+    return f"""
+SELECT count(*) AS n_samples, count(*) FILTER (WHERE {zero}) AS n_all_zero, CAST({broken} AS BIGINT) AS n_not_finite,
+       array_to_string(list_filter([{constant}], lambda x: x IS NOT NULL), ',') AS constant_features FROM feature"""
+
+
+@query("input_checks", compose("feature", _checks_sql()))
 def input_checks(lab: Lab) -> DataFrame:
     found = mixture.validate_input(lab.features, fixed_models.FEATURES)
     names = ("n_samples", "n_all_zero", "n_not_finite")
-    return small_table(
-        lab.spark, [tuple(int(found[n]) for n in names)], ", ".join(f"{n} bigint" for n in names)
-    )
+    row = (*(int(found[n]) for n in names), ",".join(found["constant_features"]))
+    return small_table(lab.spark, [row], ", ".join(f"{n} bigint" for n in names) + ", constant_features string")

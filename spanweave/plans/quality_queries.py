@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.constants import GMM4_LABELS, METHODS, PROFILE_FEATURES
+from ..functions.constants import GMM4_LABELS, GMM7_LABELS, PROFILE_FEATURES
 from ..functions.scalar import cluster_name
+from ..functions.stability import settle
 from ..operators import concordance, quality, rules, timelines
 from .lab import METHOD_COLUMNS, Lab
 from .oracle import compose
@@ -169,30 +173,36 @@ def medoid_stays(lab: Lab) -> DataFrame:
     return timelines.medoid_stays(lab.clinical.visits, found)
 
 
-@query("all_medoids", compose("labelled", _CENTROID.replace("archetype", "gmm_4_cluster") + """
-SELECT 'gmm_4' AS method, CAST(gmm_4_cluster AS VARCHAR) AS cluster_id, person_id, CAST(year AS INTEGER) AS year,
-       CASE gmm_4_cluster WHEN 0 THEN 'Moderate Inpatient' WHEN 1 THEN 'Outpatient Irregular'
-            WHEN 2 THEN 'Outpatient Regular' ELSE 'High Inpatient' END AS cluster_label
-FROM (SELECT *, row_number() OVER (PARTITION BY gmm_4_cluster ORDER BY round(dist, 9), person_id, year) AS r
-      FROM d) AS x WHERE r = 1
-UNION ALL
-SELECT 'rules_vanilla', archetype, person_id, CAST(year AS INTEGER), archetype
-FROM (SELECT *, row_number() OVER (PARTITION BY archetype ORDER BY round(sqrt(power(visit_count - c0, 2)
+_MEDOID_COLUMNS = {"rules_vanilla": "archetype", "rules_adaptive": "archetype_adaptive", "gmm_4": "gmm_4_cluster", "gmm_7": "gmm_7_cluster"}
+_CLUSTER_NAMES = {"gmm_4": GMM4_LABELS, "gmm_7": GMM7_LABELS}
+
+
+def _all_medoids_sql() -> str:
+    parts = []
+    for method, k in _MEDOID_COLUMNS.items():
+        names = _CLUSTER_NAMES.get(method)
+        name = "CASE k " + " ".join(f"WHEN {i} THEN '{n}'" for i, n in names.items()) + " END" if names else "k"
+        parts.append(f"""
+SELECT '{method}' AS method, CAST(k AS VARCHAR) AS cluster_id, person_id, CAST(year AS INTEGER) AS year, {name} AS cluster_label
+FROM (SELECT m.k, person_id, year, row_number() OVER (PARTITION BY m.k ORDER BY round(sqrt(power(visit_count - c0, 2)
         + power(inpatient_visit_count - c1, 2) + power(hospitalized_days - c2, 2)), 9), person_id, year) AS r
-      FROM labelled l JOIN (SELECT archetype AS ka, avg(visit_count) AS c0, avg(inpatient_visit_count) AS c1,
-               avg(hospitalized_days) AS c2 FROM labelled GROUP BY 1) AS mm ON l.archetype = mm.ka) AS x WHERE r = 1"""))
+      FROM relabelled l JOIN (SELECT {k} AS k, avg(visit_count) AS c0, avg(inpatient_visit_count) AS c1,
+               avg(hospitalized_days) AS c2 FROM relabelled GROUP BY 1) AS m ON l.{k} = m.k) AS x WHERE r = 1""")
+    return compose("relabelled", " UNION ALL ".join(parts))
+
+
+@query("all_medoids", _all_medoids_sql())
 def all_medoids(lab: Lab) -> DataFrame:
     frames = []
-    for method in ("rules_vanilla", "gmm_4"):
-        column = METHODS[method]["cluster"]
-        found = quality.medoids(lab.stored_labels, column, _CORE, method)
+    for method, column in _MEDOID_COLUMNS.items():
+        found = quality.medoids(lab.relabelled, column, _CORE, method)
         number = found.withColumn("_id", F.expr("try_cast(cluster AS int)"))
-        name = cluster_name("_id", GMM4_LABELS) if method == "gmm_4" else F.col("cluster")
+        name = cluster_name("_id", _CLUSTER_NAMES[method]) if method in _CLUSTER_NAMES else F.col("cluster")
         frames.append(
             number.select("method", F.col("cluster").alias("cluster_id"), "person_id", "year",
                           name.alias("cluster_label"))
         )
-    return frames[0].unionByName(frames[1])
+    return reduce(DataFrame.unionByName, frames)
 
 
 # concordance ------------------------------------------------------------
@@ -306,45 +316,85 @@ def concordance_matrix(lab: Lab) -> DataFrame:
     return concordance.matrices(concordance.pair_scores(_cells(lab)), list(METHOD_COLUMNS))
 
 
+def _exact(name: str) -> str:
+    """The SQL of a query without the rounding of its last step, for differences."""
+    return re.sub(r"round\((.*), 6\) AS (ari|ami)\b", r"\1 AS \2", ORACLES[name])
+
+
 @query("consistency", f"""
+SELECT method, round(ari_vanilla, 6) AS ari_vanilla, round(ari_adaptive, 6) AS ari_adaptive, round(ami_vanilla, 6) AS ami_vanilla,
+       round(ami_adaptive, 6) AS ami_adaptive, round(ari_adaptive - ari_vanilla, 6) AS ari_delta, round(ami_adaptive - ami_vanilla, 6) AS ami_delta FROM (
 SELECT a.method2 AS method, max(a.ari) FILTER (WHERE a.method1 = 'rules_vanilla') AS ari_vanilla,
   max(a.ari) FILTER (WHERE a.method1 = 'rules_adaptive') AS ari_adaptive,
   max(m.ami) FILTER (WHERE a.method1 = 'rules_vanilla') AS ami_vanilla,
   max(m.ami) FILTER (WHERE a.method1 = 'rules_adaptive') AS ami_adaptive
-FROM ({ORACLES["ari"]}) AS a JOIN ({ORACLES["ami"]}) AS m ON a.method1 = m.method1 AND a.method2 = m.method2
-WHERE a.method1 LIKE 'rules%' AND a.method2 LIKE 'gmm%' GROUP BY 1""")
+FROM ({_exact("ari")}) AS a JOIN ({_exact("ami")}) AS m ON a.method1 = m.method1 AND a.method2 = m.method2
+WHERE a.method1 LIKE 'rules%' AND a.method2 LIKE 'gmm%' GROUP BY 1) AS c""")
 def consistency(lab: Lab) -> DataFrame:
     cells = _cells(lab)
     return concordance.consistency(
         concordance.pair_scores(cells), concordance.adjusted_mutual_information(cells)
-    ).drop("ari_delta", "ami_delta")
+    )
+
+
+_AGREE = ("((CASE WHEN archetype_adaptive = archetype THEN 1.0 ELSE 0.0 END) + (CASE WHEN gmm_4_relabeled = archetype THEN 1.0 ELSE 0.0 END)"
+          " + (CASE WHEN gmm_7_relabeled = archetype THEN 1.0 ELSE 0.0 END)) / 3")
 
 
 def _scorecard_sql() -> str:
-    columns = {"rules_vanilla": "archetype", "rules_adaptive": "archetype_adaptive",
-               "gmm_4": "gmm_4_cluster", "gmm_7": "gmm_7_cluster"}
+    """Agreement with the rule runs is by raw clusters, as their names are not compared; a
+    person-year's own agreement is the share of the other methods that name it as the rules do."""
+    columns = _MEDOID_COLUMNS
     long = " UNION ALL ".join(
-        f"SELECT '{m}' AS method, CAST({c} AS VARCHAR) AS k, archetype FROM relabelled" for m, c in columns.items()
+        f"SELECT '{m}' AS method, CAST({c} AS VARCHAR) AS k, archetype, {_AGREE} AS agree, visit_count AS x0, inpatient_visit_count AS x1, "
+        f"hospitalized_days AS x2 FROM relabelled" for m, c in columns.items()
     )
+    pairs = " UNION ALL ".join(
+        f"SELECT '{m}' AS method, '{r}' AS ref, CAST({c} AS VARCHAR) AS a, CAST({columns[r]} AS VARCHAR) AS b FROM relabelled"
+        for m, c in columns.items() for r in ("rules_vanilla", "rules_adaptive"))
     return compose("relabelled", f"""
 , l AS ({long}),
 c AS (SELECT method, k, archetype, count(*) AS n FROM l GROUP BY 1, 2, 3),
-s AS (SELECT method, k, sum(n) AS n, max(n) * 100.0 / sum(n) AS purity FROM c GROUP BY 1, 2)
-SELECT method, CASE WHEN method LIKE 'rules%' THEN 'rules' ELSE 'gmm' END AS method_type,
-  CAST(sum(n) AS BIGINT) AS person_years_inliers, CAST(100 AS DOUBLE) AS pct_person_years_inliers, count(*) AS n_clusters,
+s AS (SELECT method, k, sum(n) AS n, max(n) * 100.0 / sum(n) AS purity FROM c GROUP BY 1, 2),
+g AS (SELECT method, avg(agree) AS mean_agree, avg(CASE WHEN agree >= 0.75 THEN 100.0 ELSE 0.0 END) AS high FROM l GROUP BY 1),
+pc AS (SELECT method, ref, a, b, count(*) AS n FROM ({pairs}) AS p GROUP BY 1, 2, 3, 4),
+pr AS (SELECT method, ref, sum(n * (n - 1) / 2.0) AS x FROM (SELECT method, ref, a, sum(n) AS n FROM pc GROUP BY 1, 2, 3) AS q GROUP BY 1, 2),
+pk AS (SELECT method, ref, sum(n * (n - 1) / 2.0) AS x FROM (SELECT method, ref, b, sum(n) AS n FROM pc GROUP BY 1, 2, 3) AS q GROUP BY 1, 2),
+pa AS (SELECT pc.method, pc.ref, sum(n * (n - 1) / 2.0) AS both_n, sum(n) AS t, coalesce(sum(n) FILTER (WHERE a = b), 0) * 100.0 / sum(n) AS pct,
+              max(pr.x) AS rx, max(pk.x) AS kx
+       FROM pc JOIN pr ON pc.method = pr.method AND pc.ref = pr.ref JOIN pk ON pc.method = pk.method AND pc.ref = pk.ref GROUP BY 1, 2),
+ps AS (SELECT method, ref, (both_n - rx * kx / (t * (t - 1) / 2.0)) / ((rx + kx) / 2.0 - rx * kx / (t * (t - 1) / 2.0)) AS ari, pct FROM pa),
+w AS (SELECT method, max(ari) FILTER (WHERE ref = 'rules_vanilla') AS av, max(pct) FILTER (WHERE ref = 'rules_vanilla') AS pv,
+             max(ari) FILTER (WHERE ref = 'rules_adaptive') AS aa, max(pct) FILTER (WHERE ref = 'rules_adaptive') AS pd FROM ps GROUP BY 1),
+ce AS (SELECT method, k, avg(x0) AS c0, avg(x1) AS c1, avg(x2) AS c2 FROM l GROUP BY 1, 2),
+sp AS (SELECT l.method, l.k, avg(sqrt(power(x0 - c0, 2) + power(x1 - c1, 2) + power(x2 - c2, 2))) AS spread, max(c0) AS c0, max(c1) AS c1, max(c2) AS c2
+       FROM l JOIN ce ON l.method = ce.method AND l.k = ce.k GROUP BY 1, 2),
+db AS (SELECT method, avg(worst) AS db FROM (
+         SELECT a.method, a.k, max((a.spread + b.spread) / sqrt(power(a.c0 - b.c0, 2) + power(a.c1 - b.c1, 2) + power(a.c2 - b.c2, 2))) AS worst
+         FROM sp a JOIN sp b ON a.method = b.method AND a.k <> b.k GROUP BY 1, 2) AS r GROUP BY 1)
+SELECT s.method, CASE WHEN s.method LIKE 'rules%' THEN 'rules' ELSE 'gmm' END AS method_type,
+  CAST(sum(n) AS BIGINT) AS person_years_inliers,
+  round(sum(n) FILTER (WHERE k <> '-1') * 100.0 / sum(n), 6) AS pct_person_years_inliers,
+  round(coalesce(sum(n) FILTER (WHERE k = '-1'), 0) * 100.0 / sum(n), 6) AS pct_person_years_outliers, count(*) AS n_clusters,
   round(quantile_cont(n, 0.5), 6) AS median_cluster_size, CAST(min(n) AS BIGINT) AS min_cluster_size,
   CAST(max(n) AS BIGINT) AS max_cluster_size, round(stddev_samp(n) / avg(n), 6) AS cv_cluster_size,
   round(avg(purity), 6) AS mean_cluster_purity_vs_rules, round(quantile_cont(purity, 0.5), 6) AS median_cluster_purity_vs_rules,
   count(*) FILTER (WHERE purity >= 70) AS n_pure_clusters_vs_rules,
-  round(count(*) FILTER (WHERE purity >= 70) * 100.0 / count(*), 6) AS pct_pure_clusters_vs_rules
-FROM s GROUP BY 1""")
+  round(count(*) FILTER (WHERE purity >= 70) * 100.0 / count(*), 6) AS pct_pure_clusters_vs_rules,
+  round(max(mean_agree), 6) AS mean_patient_agreement, round(max(high), 6) AS pct_patients_agreement_ge_0_75,
+  round(max(av), 6) AS ari_vs_rules_vanilla, round(max(pv), 6) AS agree_vs_rules_vanilla_pct,
+  round(max(aa), 6) AS ari_vs_rules_adaptive, round(max(pd), 6) AS agree_vs_rules_adaptive_pct, round(max(db), 6) AS davies_bouldin_index
+FROM s JOIN g ON s.method = g.method JOIN w ON s.method = w.method JOIN db ON s.method = db.method GROUP BY 1""")
 
 
 @query("scorecard", _scorecard_sql())
 def scorecard(lab: Lab) -> DataFrame:
-    columns = {**METHOD_COLUMNS, "gmm_4": "gmm_4_cluster", "gmm_7": "gmm_7_cluster"}
-    card = concordance.scorecard(lab.relabelled, columns, "rules_vanilla", [])
-    return card.drop("pct_person_years_outliers", "mean_patient_agreement", "pct_patients_agreement_ge_0_75")
+    """Each method against both rule runs, with the agreement of the methods on a person-year."""
+    named = (METHOD_COLUMNS[m] for m in ("rules_adaptive", "gmm_4", "gmm_7"))
+    same = sum((F.when(F.col(c) == F.col("archetype"), 1.0).otherwise(0.0) for c in named), F.lit(0.0))
+    rows = settle(lab.relabelled.withColumn("agree", same / 3))
+    index = [quality.davies_bouldin(rows, c, _CORE).select(F.lit(m).alias("method"), "davies_bouldin_index") for m, c in _MEDOID_COLUMNS.items()]
+    return concordance.scorecard(rows, _MEDOID_COLUMNS, "rules_vanilla", ["rules_vanilla", "rules_adaptive"], reduce(DataFrame.unionByName, index), "agree")
 
 
 @query("run_scorecard")

@@ -27,14 +27,13 @@ SELECT person_id, {_YEAR}, archetype, irregularity_l1 < 0.5 AS is_regular,
        WHEN inpatient_visit_count = 1 THEN '1 IP visit'
        WHEN visit_count <= 1 THEN 'Single visit or no visits'
        ELSE CASE WHEN visit_count >= 4 THEN '≥4' ELSE '2-3' END || ' visits + '
-            || CASE WHEN coalesce(irregularity_l1, 1.0) < 0.5 THEN 'regular' ELSE 'irregular' END END AS reason
+            || CASE WHEN coalesce(irregularity_l1, 1.0) < 0.5 THEN 'regular' ELSE 'irregular' END
+            || ' (score=' || CAST(CAST(round(CAST(CAST(coalesce(irregularity_l1, 1.0) AS VARCHAR) AS DECIMAL(30, 20)), 2)
+                                  AS DECIMAL(20, 2)) AS VARCHAR) || ')' END AS reason
 FROM rule"""))
 def rules_vanilla(lab: Lab) -> DataFrame:
-    # the score text is trimmed here: engines may round a tie in "%.2f" differently
-    return lab.rules.select(
-        "person_id", "year", "archetype", "is_regular",
-        F.regexp_replace("archetype_reason", r" \(score=.*\)$", "").alias("reason"),
-    )
+    """The score's text is the decimal number rounded half up, in the SQL by way of a decimal."""
+    return lab.rules.select("person_id", "year", "archetype", "is_regular", F.col("archetype_reason").alias("reason"))
 
 
 @query("rules_tracking", compose("tracked", f"""

@@ -272,13 +272,15 @@ def cohort_stack(lab: Lab) -> DataFrame:
     )
 
 
-_STATS = ["total_unique_concepts", "total_data_points", "total_nomatch_concepts"]
+_UNIQUE = {f"unique_{d}_count": f"{d}_unique_ct" for d in ("condition", "drug", "procedure")}
+_STATS = {**_UNIQUE, **{c: c for c in ("total_unique_concepts", "total_data_points", "total_nomatch_concepts")}}
 
 
 @query("concept_stats", compose("charac", "SELECT gmm_4_named, " + ", ".join(
-    f"round(avg({c}), 6) AS mean_{c}" for c in _STATS) + " FROM charac GROUP BY 1"))
+    f"round(avg({c}), 6) AS mean_{name}" for name, c in _STATS.items()) + " FROM charac GROUP BY 1"))
 def concept_stats(lab: Lab) -> DataFrame:
-    return cohorts.concept_stats(_characterised(lab), "gmm_4_named", _STATS)
+    named = _characterised(lab).withColumnsRenamed({c: name for name, c in _UNIQUE.items()})
+    return cohorts.concept_stats(named, "gmm_4_named", list(_STATS))
 
 
 @query("metric_by_cluster", compose("metric", "SELECT \"Metric\", " + ", ".join(
