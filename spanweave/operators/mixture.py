@@ -265,17 +265,6 @@ def canonical(model: Mixture) -> Mixture:
     return replace(model, weights=model.weights[place], means=model.means[place])
 
 
-def fit_full_covariance(train: DataFrame, prep: Preprocessing, k: int = 4, seed: int = 42):
-    """Spark ML's own full-covariance mixture on the same preprocessed features."""
-    from pyspark.ml.clustering import GaussianMixture
-    from pyspark.ml.feature import VectorAssembler
-
-    columns = scaled_columns(prep)
-    scaled = train.selectExpr(*[f"{c} AS {n}" for n, c in columns.items()])
-    vectors = VectorAssembler(inputCols=list(columns), outputCol="features").transform(scaled)
-    return GaussianMixture(k=k, seed=seed).fit(vectors)
-
-
 # scoring ----------------------------------------------------------------
 
 
@@ -313,6 +302,9 @@ def with_prior_cluster(df: DataFrame, model_id: str) -> DataFrame:
 # persistence ------------------------------------------------------------
 
 
+_FIT = ("log_likelihood", "bic", "iterations", "converged")
+
+
 def model_table(spark: SparkSession, model: Mixture, model_id: str) -> DataFrame:
     """All parameters as (model_id, kind, component, feature, other, value) rows."""
     names, rows = model.prep.features, []
@@ -328,6 +320,8 @@ def model_table(spark: SparkSession, model: Mixture, model_id: str) -> DataFrame
         ]
     rows += [(model_id, "weight", c, "", "", float(model.weights[c])) for c in range(model.k)]
     rows += [(model_id, "feature_order", i, f, "", float(i)) for i, f in enumerate(names)]
+    # how the fit went
+    rows += [(model_id, "fit", -1, name, "", float(getattr(model, name))) for name in _FIT]
     return small_table(
         spark, rows,
         "model_id string, kind string, component int, feature string, other string, value double",
@@ -358,4 +352,6 @@ def model_from_table(table: DataFrame, model_id: str) -> Mixture:
         tuple(names), by["cap"],
         tuple(by["center"][f] for f in names), tuple(by["scale"][f] for f in names),
     )
-    return Mixture(prep, weights, means, covariance)
+    went = {r["feature"]: r["value"] for r in of("fit")}
+    return Mixture(prep, weights, means, covariance, went.get("log_likelihood", math.nan), went.get("bic", math.nan),
+                   int(went.get("iterations", 0)), bool(went.get("converged", True)))

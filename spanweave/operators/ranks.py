@@ -3,7 +3,7 @@
 Rows are first reduced to (group, value, n), so ties and hot values collapse
 before anything is ordered. Counts have few distinct values: events are
 integers whose sum is the number of rows, so at most sqrt(2 * rows) of them
-differ. For continuous scores pass ``buckets`` to cut the value range into
+differ. For continuous scores pass ``buckets`` to cut the values at quantiles into
 slices that are ordered in parallel.
 """
 
@@ -22,21 +22,20 @@ def frequencies(df: DataFrame, groups: list[str], value: str) -> DataFrame:
 
 
 def _sliced(freq: DataFrame, groups: list[str], buckets: int) -> DataFrame:
-    """Number the equal-width slices of each group's value range."""
-    span = freq.groupBy(*groups).agg(F.min("value").alias("_lo"), F.max("value").alias("_hi"))
-    share = (F.col("value") - F.col("_lo")) / (F.col("_hi") - F.col("_lo"))
-    slot = F.when(F.col("_hi") > F.col("_lo"), F.floor(share * buckets)).otherwise(F.lit(0))
-    return freq.join(span, groups).withColumn(
-        "_slice", F.least(slot, F.lit(buckets - 1)).cast("int")
-    ).drop("_lo", "_hi")
+    """Number the slices of each group's values, which hold about equally many distinct ones:
+    splitters are approximate quantiles, so long tails fill no slice. A value is in one slice."""
+    shares = F.array(*[F.lit(i / buckets) for i in range(1, buckets)])
+    split = freq.groupBy(*groups).agg(F.percentile_approx("value", shares, 100 * buckets).alias("_splits"))
+    return freq.join(split, groups).withColumn(
+        "_slice", F.size(F.filter("_splits", lambda s: s < F.col("value")))
+    ).drop("_splits")
 
 
 def cumulative(freq: DataFrame, groups: list[str], buckets: int | None = None) -> DataFrame:
     """Add ``before`` (rows with a smaller value) and ``total`` per group.
 
     With ``buckets``, each slice is summed on its own and shifted by the total
-    of the slices below it; slice bounds are exact minima and maxima, so a
-    recomputed task reproduces them.
+    of the slices below it; whatever the splitters, the ranks are exact.
     """
     if not buckets:
         w = Window.partitionBy(*groups).orderBy("value").rowsBetween(Window.unboundedPreceding, -1)
@@ -105,17 +104,17 @@ def rho_statistic() -> Column:
     return rho * F.sqrt(F.try_divide((n - 2).cast("double"), (1 - rho) * (1 + rho)))
 
 
-def group_rank_sums(df: DataFrame, scope: list[str], group: str, value: str) -> DataFrame:
+def group_rank_sums(df: DataFrame, scope: list[str], group: str, value: str, buckets: int | None = None) -> DataFrame:
     """Per scope and group: size and mid-rank sum in the pooled sample.
 
-    Also carries the pooled size and the tie term of the scope.
+    Also carries the pooled size and the tie term of the scope. ``buckets``: see ``cumulative``.
     """
     freq = (
         df.filter(F.col(value).isNotNull())
         .groupBy(*scope, group, F.col(value).alias("value"))
         .agg(F.count(F.lit(1)).alias("m"))
     )
-    pooled = cumulative(freq.groupBy(*scope, "value").agg(F.sum("m").alias("n")), scope)
+    pooled = cumulative(freq.groupBy(*scope, "value").agg(F.sum("m").alias("n")), scope, buckets)
     t = F.col("n").cast("double")
     ties = pooled.groupBy(*scope).agg(F.sum(t * t * t - t).alias("tie_term"))
     return (

@@ -9,7 +9,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import formats, tails
@@ -168,58 +168,112 @@ def interaction_p(terms: DataFrame) -> DataFrame:
 
 
 def last_year_counts(df: DataFrame, cluster: str) -> DataFrame:
-    """(max_cci, cluster, n) over each person's last year."""
-    last = df.groupBy("person_id").agg(
-        F.max_by(F.struct(F.col(cluster).alias("cluster"), "max_cci"), "year").alias("r")
-    )
-    return last.select("r.*").dropna().groupBy("max_cci", "cluster").agg(F.count(F.lit(1)).alias("n"))
-
-
-def multinomial_logit(counts: DataFrame, labels: dict[int, str], reference: int = BASELINE_CLUSTER,
-                      max_iter: int = 200, tol: float = 1e-10) -> DataFrame:
-    """Odds ratios of max_cci for each cluster against the reference.
-
-    The (score, cluster) counts are sufficient and small: the score has at most
-    a few dozen values. Newton's method runs on that table.
-    """
-    rows = counts.collect()
-    xs = np.array(sorted({r["max_cci"] for r in rows}), dtype=float)
-    order = [reference] + sorted({r["cluster"] for r in rows} - {reference})
-    n = np.zeros((len(xs), len(order)))
-    for r in rows:
-        n[np.searchsorted(xs, r["max_cci"]), order.index(r["cluster"])] = r["n"]
-    design, size, k = np.column_stack([np.ones_like(xs), xs]), n.sum(1), len(order) - 1
+    """(max_cci, cluster, n) over each person's last year; persons without either there are
+    left out. Year, score and cluster are packed into one number, so the last year is a plain
+    maximum; score and cluster must lie from -1 to 65,000."""
+    def code(c: str) -> Column:
+        return F.coalesce(F.col(c).cast("bigint") + 2, F.lit(0).cast("bigint"))
+
+    packed = F.shiftleft(F.col("year").cast("bigint"), 32).bitwiseOR(F.shiftleft(code("max_cci"), 16)).bitwiseOR(code(cluster))
+    last = df.groupBy("person_id").agg(F.max(packed).alias("last"))
+    parts = last.select(F.shiftright("last", 16).bitwiseAND(F.lit(65535)).alias("score"), F.col("last").bitwiseAND(F.lit(65535)).alias("label"))
+    kinds = {f.name: f.dataType for f in df.schema.fields}
+    return (parts.where("score > 0 AND label > 0").groupBy("score", "label").agg(F.count(F.lit(1)).alias("n"))
+            .select((F.col("score") - 2).cast(kinds["max_cci"]).alias("max_cci"), (F.col("label") - 2).cast(kinds[cluster]).alias("cluster"), "n"))
+
+
+def _log_likelihood(beta: np.ndarray, design: np.ndarray, n: np.ndarray) -> tuple[float, np.ndarray]:
+    eta = np.column_stack([np.zeros(len(design)), design @ beta.T])
+    top = eta.max(1, keepdims=True)
+    total = np.log(np.exp(eta - top).sum(1, keepdims=True)) + top
+    return float((n * (eta - total)).sum()), np.exp(eta - total)
+
+
+def _newton(n: np.ndarray, xs: np.ndarray, max_iter: int, tol: float) -> tuple[np.ndarray, np.ndarray, bool, int]:
+    """Slopes, their standard errors, whether the steps came to an end, and their number.
+    ``n``: rows of the table by score and cluster, the reference first. A step that would
+    lower the likelihood is halved until it does not."""
+    scale = max(1.0, float(np.abs(xs).max()))
+    design, size, k = np.column_stack([np.ones_like(xs), xs / scale]), n.sum(1), n.shape[1] - 1
     beta = np.zeros((k, 2))
-    for _ in range(max_iter):
-        eta = np.column_stack([np.zeros(len(xs)), design @ beta.T])
-        prob = np.exp(eta - eta.max(1, keepdims=True))
-        prob /= prob.sum(1, keepdims=True)
+    value, prob = _log_likelihood(beta, design, n)
+    settled = False
+    for turn in range(1, max_iter + 1):
         gradient = ((n[:, 1:] - size[:, None] * prob[:, 1:]).T @ design).ravel()
         hessian = np.zeros((2 * k, 2 * k))
         for a in range(k):
             for b in range(k):
                 w = size * prob[:, a + 1] * ((a == b) - prob[:, b + 1])
                 hessian[2 * a : 2 * a + 2, 2 * b : 2 * b + 2] = (design * w[:, None]).T @ design
-        step = np.linalg.solve(hessian, gradient)
-        beta += step.reshape(k, 2)
+        step = np.linalg.lstsq(hessian, gradient, rcond=None)[0].reshape(k, 2)
+        share = 1.0
+        for _ in range(40):
+            new_value, new_prob = _log_likelihood(beta + share * step, design, n)
+            if new_value >= value - 1e-12 * abs(value):
+                break
+            share /= 2
+        beta, value, prob = beta + share * step, new_value, new_prob
         if np.abs(step).max() < tol:
+            settled = True
             break
-    se = np.sqrt(np.diag(np.linalg.inv(hessian)))[1::2]
-    table = [(reference, labels.get(reference, str(reference)), 1.0, 0.0, None, None, None, True)]
-    for j, cluster in enumerate(order[1:]):
-        coef, rounded = float(beta[j, 1]), round(float(beta[j, 1]), 4)
-        p = tails.normal_tail(coef / se[j])
-        low, high = np.exp(rounded - 1.96 * se[j]), np.exp(rounded + 1.96 * se[j])
-        table.append(
-            (int(cluster), labels.get(cluster, str(cluster)), round(float(np.exp(coef)), 4), rounded,
-             p, round(float(low), 4), round(float(high), 4), False)
-        )
+    se = np.sqrt(np.maximum(np.diag(np.linalg.pinv(hessian)), 0))[1::2]
+    return beta[:, 1] / scale, se / scale, settled, turn
+
+
+def _sides(n: np.ndarray, xs: np.ndarray) -> np.ndarray:
+    """Numbers of groups of clusters that a score separates, in the order of their scores: all
+    scores of one group are at most those of the next. No finite slope fits across a border."""
+    low = np.array([xs[c > 0].min() for c in n.T])
+    high = np.array([xs[c > 0].max() for c in n.T])
+    order = np.lexsort((high, low))
+    reach = np.maximum.accumulate(high[order])
+    border = np.concatenate([[False], low[order][1:] >= reach[:-1]])
+    out = np.empty(len(order), np.int64)
+    out[order] = np.cumsum(border)
+    return out
+
+
+def multinomial_logit(counts: DataFrame, labels: dict[int, str], reference: int = BASELINE_CLUSTER,
+                      max_iter: int = 200, tol: float = 1e-10) -> DataFrame:
+    """Odds ratios of max_cci for each cluster against the reference.
+
+    The (score, cluster) counts are sufficient and small: the score has at most
+    a few dozen values. Newton's method with halved steps runs on that table. ``converged`` says
+    whether it came to an end. Where the score separates a cluster from the reference (or has one value only), its
+    slope is not finite: ``separated`` is true, and coefficient, ratio, p-value and interval are null. Other
+    clusters are fitted among those not separated from the reference. A table without rows of
+    the reference gives no rows; one with the reference alone its row.
+    """
+    rows = counts.where("n > 0 AND max_cci IS NOT NULL AND cluster IS NOT NULL").collect()
+    xs = np.array(sorted({float(r["max_cci"]) for r in rows}))
+    found = {int(r["cluster"]) for r in rows}
+    table: list[tuple] = []
+    if reference in found:
+        order = [reference] + sorted(found - {reference})
+        n = np.zeros((len(xs), len(order)))
+        for r in rows:
+            n[np.searchsorted(xs, float(r["max_cci"])), order.index(int(r["cluster"]))] += r["n"]
+        side = _sides(n, xs) if len(xs) > 1 else np.arange(len(order))
+        fitted = [j for j in range(len(order)) if side[j] == side[0]]
+        used = n[:, fitted].sum(1) > 0
+        slope, se, settled, _ = _newton(n[used][:, fitted], xs[used], max_iter, tol) if len(fitted) > 1 else ([], [], True, 0)
+        table.append((reference, labels.get(reference, str(reference)), 1.0, 0.0, None, None, None, True, settled, False))
+        for j, cluster in enumerate(order[1:], start=1):
+            name = labels.get(cluster, str(cluster))
+            if j not in fitted:
+                table.append((cluster, name, None, None, None, None, None, False, False, True))
+                continue
+            coef, error = float(slope[fitted.index(j) - 1]), float(se[fitted.index(j) - 1])
+            rounded = round(coef, 4)
+            p = tails.normal_tail(coef / error) if error > 0 else None
+            low, high = (round(float(np.exp(rounded + z * error)), 4) for z in (-1.96, 1.96))
+            table.append((cluster, name, round(float(np.exp(coef)), 4), rounded, p, low, high, False, settled, False))
     out = small_table(
         counts.sparkSession, table,
         "vs_cluster int, vs_label string, odds_ratio double, coef double, p_value double, "
-        "ci_lo_95 double, ci_hi_95 double, is_reference boolean",
+        "ci_lo_95 double, ci_hi_95 double, is_reference boolean, converged boolean, separated boolean",
     )
-    sig = F.when(F.col("is_reference"), "ref").otherwise(formats.significance(F.col("p_value")))
+    sig = F.when(F.col("is_reference"), "ref").when(F.col("p_value").isNull(), "n/a").otherwise(formats.significance(F.col("p_value")))
     return out.withColumn("sig", sig)
 
 
@@ -329,6 +383,8 @@ def summary_table(pooled: DataFrame, stratified: DataFrame, terms: DataFrame, od
     q3 = shape(odds, F.lit("cluster_assignment"),
                F.concat(F.lit("Q3: Does CCI predict "), target, F.lit(f" assignment? (vs {base})")),
                "Multinomial Logit (OR for max_cci)", F.lit(None),
-               F.concat(F.format_string("OR = %.4f", ratio), F.when(F.col("ci_lo_95").isNotNull(), interval).otherwise("")),
-               F.concat(F.lit("Higher CCI "), side, F.lit(" odds of "), target, F.lit(f" vs {base}")))
+               F.when(ratio.isNull(), "OR not finite").otherwise(
+                   F.concat(F.format_string("OR = %.4f", ratio), F.when(F.col("ci_lo_95").isNotNull(), interval).otherwise(""))),
+               F.when(ratio.isNull(), F.concat(F.lit("CCI separates "), target, F.lit(f" from {base}"))).otherwise(
+                   F.concat(F.lit("Higher CCI "), side, F.lit(" odds of "), target, F.lit(f" vs {base}"))))
     return q1.unionByName(q1b).unionByName(q2).unionByName(q3)

@@ -48,20 +48,42 @@ def explode_tokens(df: DataFrame, column: str, out: str, delimiter: str = r"\|")
     return df.withColumn(out, F.explode(split_tokens(F.col(column), delimiter))).drop(column)
 
 
+#: Persons that are ordered in one place at most, and id ranges that are counted at a time.
+ORDERED, RANGES = 10_000, 256
+
+
 def page(daily_df: DataFrame, page: int, page_size: int) -> DataFrame:
     """Daily rows of one page of persons, with lane number and horizontal position.
 
-    The page's persons are a top-k by id (``orderBy`` + ``limit`` never sorts
-    the whole table) and the daily rows are joined to that bounded list.
+    Persons are counted per range of ids, and the range with the page's first person is
+    narrowed until it is small, so the ones before the page are counted, never listed; then
+    the persons from there on are taken in order, as many as the page has. Persons without an id have no lane.
+    ``daily_df`` is read a few times and should be a stored table.
     """
-    people = daily_df.select("person_id").distinct().orderBy("person_id")
-    chosen = people.limit(page * page_size)
-    numbered = chosen.withColumn(
-        "lane", (F.row_number().over(Window.orderBy("person_id")) - 1).cast("int")
-    ).filter(F.col("lane") >= (page - 1) * page_size)
-    return daily_df.join(F.broadcast(numbered), "person_id").withColumn(
-        "x", year_fraction(F.col("date").cast("timestamp"))
-    )
+    people = daily_df.select("person_id").where("person_id IS NOT NULL").distinct()
+    ends = people.agg(F.min("person_id").alias("low"), F.max("person_id").alias("high"), F.count(F.lit(1)).alias("n")).first()
+    skip, before = (page - 1) * page_size, 0
+    low, high, held = ends["low"] or 0, ends["high"] or 0, ends["n"]
+    if skip >= held:
+        held, page_size = 0, 0
+    while held > ORDERED and high > low:
+        width = -(-(high - low + 1) // RANGES)
+        place = F.floor((F.col("person_id") - low) / width)
+        counts = people.where(F.col("person_id").between(low, high)).groupBy(place.alias("place")).agg(F.count(F.lit(1)).alias("n"))
+        for row in sorted(counts.collect()):  # RANGES rows
+            if before + row["n"] > skip:
+                break
+            before += row["n"]
+        low, held = low + row["place"] * width, row["n"]
+        high = min(high, low + width - 1)
+    first = people.where(F.col("person_id") >= low).orderBy("person_id").limit(skip - before + page_size)
+    lanes = [r["person_id"] for r in first.collect()][skip - before :]  # a page
+    listed = F.array(*[F.lit(i) for i in lanes]).cast("array<bigint>")
+    rows = daily_df.where(F.col("person_id").isin(lanes))
+    return rows.withColumns({
+        "lane": (F.array_position(listed, F.col("person_id").cast("bigint")) - 1 + skip).cast("int"),
+        "x": year_fraction(F.col("date").cast("timestamp")),
+    })
 
 
 def language_mix(person: DataFrame, languages: DataFrame, concepts: tuple[int, ...]) -> DataFrame:

@@ -86,7 +86,8 @@ def gmm_fit(lab: Lab) -> DataFrame:
         F.avg("gmm_4_confidence").alias("mean_confidence"),
     )
     return sizes.withColumns(
-        {"mean_log_likelihood": F.lit(model.log_likelihood), "iterations": F.lit(model.iterations)}
+        {"mean_log_likelihood": F.lit(model.log_likelihood), "iterations": F.lit(model.iterations),
+         "converged": F.lit(model.converged), "bic": F.lit(model.bic)}
     )
 
 

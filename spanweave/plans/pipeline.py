@@ -6,6 +6,7 @@ cohort with a stored model, ``compare`` holds two cohorts against each other.
 
 from __future__ import annotations
 
+import warnings
 from collections.abc import Sequence
 from functools import partial
 
@@ -111,7 +112,10 @@ def _mixture(stages: Stages, table: DataFrame, k: int) -> DataFrame:
 
     def fit() -> DataFrame:
         mixture.validate_input(table, list(mixture.clustering_features("BOTH")))
-        return mixture.model_table(stages.spark, mixture.fit(sampling.one_year_per_person(table), k), model_id)
+        model = mixture.fit(sampling.one_year_per_person(table), k)
+        if not model.converged:
+            warnings.warn(f"{model_id} did not converge in {model.iterations} steps", stacklevel=2)
+        return mixture.model_table(stages.spark, model, model_id)
 
     model = mixture.model_from_table(stages.stage(f"{model_id}_model", fit, {"k": k}, [source]), model_id)
     scored = stages.stage(

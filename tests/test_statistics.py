@@ -188,6 +188,7 @@ def test_model_survives_its_table(spark, blobs, tmp_path):
     model = mixture.fit(blobs, 4, mixture.fit_preprocessing(blobs, FEATURES), n_init=2, max_iter=5)
     mixture.model_table(spark, model, "gmm_4").write.parquet(str(tmp_path / "model"))
     back = mixture.model_from_table(spark.read.parquet(str(tmp_path / "model")), "gmm_4")
+    assert (back.iterations, back.converged, back.bic) == (model.iterations, model.converged, pytest.approx(model.bic))
     a = mixture.predict(blobs, model, "m").groupBy("m_cluster").count()
     b = mixture.predict(blobs, back, "m").groupBy("m_cluster").count()
     assert sorted(map(tuple, a.collect())) == sorted(map(tuple, b.collect()))
@@ -195,11 +196,6 @@ def test_model_survives_its_table(spark, blobs, tmp_path):
         mixture.model_from_table(spark.read.parquet(str(tmp_path / "model")), "gmm_7")
 
 
-def test_full_covariance_option(blobs):
-    prep = mixture.fit_preprocessing(blobs, FEATURES)
-    assert mixture.fit_full_covariance(blobs, prep, k=2).summary.k == 2
-
-
 def test_input_checks(spark, blobs):
     with pytest.raises(ValueError, match="missing"):
         mixture.validate_input(blobs, ["nope"])
@@ -319,6 +315,53 @@ def test_multinomial_logit_solves_score_equations(spark):
     assert got[1]["coef"] == pytest.approx(fit[1, 0] - fit[0, 0], abs=2e-4)
 
 
+def logit_of(spark, rows, reference=0, **kw):
+    counts = spark.createDataFrame(rows, "max_cci int, cluster int, n bigint")
+    return {r["vs_cluster"]: r for r in residuals.multinomial_logit(counts, {}, reference, **kw).collect()}
+
+
+def test_multinomial_logit_where_no_finite_slope_fits(spark):
+    got = logit_of(spark, [(0, 0, 5), (1, 0, 5), (2, 1, 5), (3, 1, 5), (0, 2, 3), (1, 2, 9)])
+    assert got[1]["separated"] and got[1]["odds_ratio"] is None and got[1]["sig"] == "n/a" and not got[1]["converged"]
+    assert got[2]["converged"] and got[2]["coef"] == pytest.approx(np.log(3), abs=1e-3)  # odds 3/5 and 9/5
+    touching = logit_of(spark, [(0, 0, 5), (1, 0, 5), (1, 1, 5), (2, 1, 5)])
+    assert touching[1]["separated"] and touching[0]["is_reference"]
+    assert logit_of(spark, [(4, 0, 5), (4, 1, 2)])[1]["separated"]
+
+
+def test_multinomial_logit_of_one_class_and_of_none(spark):
+    assert [r["is_reference"] for r in logit_of(spark, [(0, 0, 5), (3, 0, 1)]).values()] == [True]
+    assert logit_of(spark, [(0, 1, 5)]) == {} and logit_of(spark, []) == {}
+
+
+def test_multinomial_logit_says_when_it_stops_early(spark):
+    rows = [(x, k, n) for x in range(6) for k, n in ((0, 10 + x), (1, 3 * x + 1), (2, 20 - 3 * x))]
+    assert not logit_of(spark, rows, max_iter=1)[1]["converged"]
+    full = logit_of(spark, [(100 * x, k, 1000 * n) for x, k, n in rows])
+    assert full[1]["converged"] and full[2]["coef"] < 0 < full[1]["coef"]
+
+
+def test_last_year_counts_pick_the_last_year(spark):
+    df = spark.createDataFrame([(1, 2000, 3, 1), (1, 2002, 4, 2), (2, 2001, 0, 0), (3, 2001, None, 1), (3, 2000, 2, 1), (4, 1999, 65, -1)],
+                               "person_id bigint, year int, max_cci int, k int")
+    rows = residuals.last_year_counts(df, "k")
+    assert sorted(map(tuple, rows.collect())) == [(0, 0, 1), (4, 2, 1), (65, -1, 1)]
+    assert "SortAggregate" not in rows._jdf.queryExecution().executedPlan().toString()
+
+
+def test_one_year_per_person_without_sorting_rows(spark):
+    from spanweave.operators import sampling
+
+    df = spark.createDataFrame([(p, y, p * y) for p in range(40) for y in range(2000, 2000 + p % 7 + 1)], "person_id bigint, year int, v bigint")
+    one, flagged = sampling.one_year_per_person(df), sampling.with_training_flag(df)
+    assert one.count() == 40 and flagged.count() == df.count()
+    assert flagged.where("training_data = 1").drop("training_data").exceptAll(one).isEmpty()
+    assert len({r["year"] for r in one.collect()}) > 3
+    for plan in (one, flagged):
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        assert "SortAggregate" not in text and "Join" not in text
+
+
 def rss(design, y):
     beta = np.linalg.lstsq(design, y, rcond=None)[0]
     return ((y - design @ beta) ** 2).sum()
@@ -370,3 +413,38 @@ def test_publication_matrix_orders_metrics(panel):
     wide = cohorts.publication_matrix(long, ["c2", "c1", "c0"], ["V", "A"])
     assert wide.columns == ["Metric", "c2", "c1", "c0"]
     assert [r["Metric"] for r in wide.collect()] == ["V", "A"]
+
+
+def test_slices_of_long_tailed_scores_are_even_and_ranks_exact(spark):
+    from spanweave.operators import ranks
+
+    rng = np.random.default_rng(4)
+    values = np.round(np.exp(3 * rng.normal(size=20_000)), 4)
+    df = spark.createDataFrame(pd.DataFrame({"g": "a", "v": values}))
+    freq = ranks.frequencies(df, ["g"], "v")
+    sizes = [r["count"] for r in ranks._sliced(freq, ["g"], 64).groupBy("_slice").count().collect()]
+    assert max(sizes) <= 2 * sum(sizes) / len(sizes) and len(sizes) == 64
+    got = {r["value"]: r["before"] for r in ranks.cumulative(freq, ["g"], 64).collect()}
+    ordered = np.sort(values)
+    assert all(got[v] == np.searchsorted(ordered, v) for v in values[:500])
+    few = ranks.cumulative(spark.createDataFrame([("a", 1.0, 3), ("a", 2.0, 1), ("b", 5.0, 2)], "g string, value double, n bigint"), ["g"], 64)
+    assert {(r["g"], r["value"]): (r["before"], r["total"]) for r in few.collect()} == {("a", 1.0): (0, 4), ("a", 2.0): (3, 4), ("b", 5.0): (0, 2)}
+
+
+@pytest.mark.parametrize("ordered", [3, 10_000])
+def test_pages_of_persons(spark, monkeypatch, ordered):
+    from datetime import date
+
+    from spanweave.operators import timelines
+
+    monkeypatch.setattr(timelines, "ORDERED", ordered)
+    monkeypatch.setattr(timelines, "RANGES", 4)
+    ids = sorted({i * i * 7 for i in range(40)} | {10**12 + i for i in range(25)})
+    df = spark.createDataFrame([(i, date(2020, 1, 1)) for i in [*ids, *ids[:3]]] + [(None, date(2020, 1, 1))], "person_id bigint, date date")
+    for number in (1, 2, 5, 7, 9):
+        rows = timelines.page(df, number, 10).collect()
+        wanted = dict(enumerate(ids))
+        assert {(r["lane"], r["person_id"]) for r in rows} == {(k, wanted[k]) for k in range(10 * number - 10, 10 * number) if k in wanted}
+    assert timelines.page(df.limit(0), 1, 10).count() == 0
+    plan = timelines.page(df, 2, 10)._jdf.queryExecution().executedPlan().toString()
+    assert "Window" not in plan and "Broadcast" not in plan
