@@ -114,25 +114,73 @@ def pair_scores(cells: DataFrame, min_rows: int = 10) -> DataFrame:
 
 
 _EXACT_FACTORIALS = 20
+_NEGLIGIBLE = 80.0  # a bound e^-80 on what lies outside the summed range
 
 
-def log_factorial(n: Column) -> Column:
-    """ln(n!) exactly for small n, else Stirling's series (error below 1e-12)."""
+def stirling_error(n: Column) -> Column:
+    """ln(n!) less Stirling's n ln n - n + ln(2 pi n) / 2, for n >= 1: exact for small n, then its series."""
     x = n.cast("double")
-    table = F.array(*[F.lit(math.lgamma(i + 1)) for i in range(_EXACT_FACTORIALS)])
-    series = (
-        x * F.log(x) - x + F.log(x * (2 * math.pi)) / 2
-        + 1 / (12 * x) - 1 / (360 * x * x * x) + 1 / (1260 * x * x * x * x * x)
-    )
+    table = F.array(*[
+        F.lit(math.lgamma(i + 1) - (i * math.log(i) - i + math.log(2 * math.pi * i) / 2) if i else 0.0)
+        for i in range(_EXACT_FACTORIALS)
+    ])
+    x2 = x * x
+    series = (1 / 12 - (1 / 360 - (1 / 1260 - 1 / (1680 * x2)) / x2) / x2) / x
     return F.when(n < _EXACT_FACTORIALS, table[n.cast("int")]).otherwise(series)
 
 
+def _deviance(x: Column, mean: Column) -> Column:
+    """x ln(x / mean) + mean - x without the cancellation of its parts near the mean."""
+    d = (x - mean) / mean
+    near = d * d * (1 / 2 - d * (1 / 6 - d * (1 / 12 - d * (1 / 20 - d * (1 / 30 - d / 42)))))
+    far = (1 + d) * F.log1p(d) - d
+    return F.when(x == 0, mean).otherwise(mean * F.when(F.abs(d) < 1e-3, near).otherwise(far))
+
+
+def _log_binomial(k: Column, n: Column, p: Column, q: Column) -> Column:
+    """ln of the binomial weight of k of n, from differences that stay small at any n."""
+    k, n = k.cast("double"), n.cast("double")
+    rest = n - k
+    inner = (
+        stirling_error(n) - stirling_error(k) - stirling_error(rest)
+        - _deviance(k, n * p) - _deviance(rest, n * q)
+        - F.log(k * rest / n * (2 * math.pi)) / 2
+    )
+    return F.when(n == 0, 0.0).when(k == 0, n * F.log(q)).when(rest == 0, n * F.log(p)).otherwise(inner)
+
+
+def log_cell_weight(k: Column, row: Column, col: Column, total: Column) -> Column:
+    """ln of the chance of k in a cell with these margins (hypergeometric), for ``col`` below
+    ``total``. Written as binomial weights with the share col / total, so no large logarithms cancel."""
+    p, q = col / total.cast("double"), (total - col) / total.cast("double")
+    return _log_binomial(k, row, p, q) + _log_binomial(col - k, total - row, p, q) - _log_binomial(col, total, p, q)
+
+
+def cell_counts(margins: DataFrame, x: str, y: str, total: str, chunk: int) -> DataFrame:
+    """A row for every count ``k`` that a cell with margins ``x`` and ``y`` may hold.
+
+    Only counts around the mean are listed: by Bernstein's bound the others together weigh
+    less than 2 e^-80, below the rounding of the sum. Ranges are cut into chunks and spread before
+    they are expanded, so one large cell is not one task.
+    """
+    a, b, n = F.col(x), F.col(y), F.col(total)
+    mean = a.cast("double") * b / n
+    spread = mean * F.least(1 - a / n, 1 - b / n)
+    reach = F.ceil(_NEGLIGIBLE / 3 + F.sqrt((_NEGLIGIBLE / 3) ** 2 + 2 * _NEGLIGIBLE * spread))
+    low = F.greatest(F.lit(1), a + b - n, F.floor(mean) - reach).cast("bigint")
+    high = F.least(a, b, F.ceil(mean) + reach).cast("bigint")
+    ranges = margins.withColumns({"_low": low, "_high": high}).filter("_low <= _high")
+    starts = ranges.select("*", F.explode(F.sequence("_low", "_high", F.lit(chunk).cast("bigint"))).alias("_start"))
+    dealt = starts.repartition(margins.sparkSession.sparkContext.defaultParallelism, x, y, "_start")
+    last = F.least(F.col("_start") + (chunk - 1), F.col("_high"))
+    return dealt.withColumn("k", F.explode(F.sequence("_start", last))).drop("_low", "_high", "_start")
+
+
 def adjusted_mutual_information(cells: DataFrame, chunk: int = 65536) -> DataFrame:
     """AMI (arithmetic-mean normaliser) per method pair.
 
     The expected information sums a hypergeometric term per possible cell
-    count. Long ranges are cut into chunks and spread before they are expanded,
-    so one large cell is not one task.
+    count, once for each distinct pair of margins.
     """
     n, row, col, total = F.col("n"), F.col("row_n"), F.col("col_n"), F.col("total").cast("double")
     per_pair = with_margins(cells).groupBy(*_PAIR).agg(
@@ -143,32 +191,21 @@ def adjusted_mutual_information(cells: DataFrame, chunk: int = 65536) -> DataFra
         F.collect_set(F.struct("a", "row_n")).alias("rows"),
         F.collect_set(F.struct("b", "col_n")).alias("cols"),
     )
-    carried = [*_PAIR, "mi", "h_a", "h_b"]
+    carried = [*_PAIR, "mi", "h_a", "h_b", "total"]
+    rows = per_pair.select(*carried, "cols", F.explode("rows").alias("r"))
     margins = (
-        per_pair.select(*carried, "total", F.explode("rows").alias("r"), "cols")
-        .select(*carried, "total", F.col("r.row_n").alias("x"), F.explode("cols").alias("c"))
-        .select(*carried, "total", "x", F.col("c.col_n").alias("y"))
-    )
-    x, y, size = F.col("x"), F.col("y"), F.col("total")
-    low = F.greatest(F.lit(1), x + y - size)
-    starts = margins.withColumn("high", F.least(x, y)).select(
-        "*", F.explode(F.sequence(low, F.col("high"), F.lit(chunk).cast("bigint"))).alias("start")
-    )
-    spread = starts.repartition(cells.sparkSession.sparkContext.defaultParallelism, "x", "y", "start")
-    terms = spread.select(
-        *carried, "x", "y", "total",
-        F.explode(F.sequence("start", F.least(F.col("start") + (chunk - 1), F.col("high")))).alias("k"),
-    )
-    k, big = F.col("k"), size.cast("double")
-    log_weight = (
-        log_factorial(x) + log_factorial(y) + log_factorial(size - x) + log_factorial(size - y)
-        - log_factorial(size) - log_factorial(k) - log_factorial(x - k) - log_factorial(y - k)
-        - log_factorial(size - x - y + k)
+        rows.select(*carried, F.col("r.row_n").alias("x"), F.explode("cols").alias("c"))
+        .select(*carried, "x", F.col("c.col_n").alias("y"))
+        .groupBy(*carried, "x", "y")
+        .agg(F.count(F.lit(1)).alias("times"))
     )
-    term = k / big * F.log(big * k / (x.cast("double") * y)) * F.exp(log_weight)
+    x, y, k, size = F.col("x"), F.col("y"), F.col("k"), F.col("total").cast("double")
+    weight = F.when(F.col("y") == F.col("total"), 1.0).otherwise(F.exp(log_cell_weight(k, x, y, F.col("total"))))
+    term = F.col("times") * k / size * F.log(size * k / (x.cast("double") * y)) * weight
     norm = (F.col("h_a") + F.col("h_b")) / 2
     return (
-        terms.groupBy(*carried)
+        cell_counts(margins, "x", "y", "total", chunk)
+        .groupBy(*carried)
         .agg(F.sum(term).alias("emi"))
         .select(
             *_PAIR, "mi", "emi",

@@ -75,25 +75,40 @@ def mid_rank() -> Column:
     return F.col("before") + (F.col("n") + 1) / 2
 
 
-def _ranked(df: DataFrame, groups: list[str], value: str, out: str, buckets: int | None) -> DataFrame:
-    cum = cumulative(frequencies(df, groups, value), groups, buckets)
+def _ranked(pairs: DataFrame, groups: list[str], value: str, out: str, buckets: int) -> DataFrame:
+    counts = pairs.groupBy(*groups, F.col(value).alias("value")).agg(F.sum("n").alias("n"))
+    cum = cumulative(counts, groups, buckets)
     centred = mid_rank() - (F.col("total") + 1) / 2
     return cum.select(*groups, F.col("value").alias(value), centred.alias(out))
 
 
+def _rank_within(groups: list[str], value: str) -> Column:
+    """Centred mid-rank of a value of the frequency table: rows up to it, less half its ties."""
+    upto = Window.partitionBy(*groups).orderBy(value).rangeBetween(Window.unboundedPreceding, Window.currentRow)
+    ties = F.sum("n").over(Window.partitionBy(*groups, value))
+    total = F.sum("n").over(Window.partitionBy(*groups))
+    return F.sum("n").over(upto) - (ties - 1) / 2 - (total + 1) / 2
+
+
 def spearman(df: DataFrame, groups: list[str], x: str, y: str, buckets: int | None = None) -> DataFrame:
     """Rank correlation per group over rows where both values are present.
 
-    Works on the (x, y) frequency table joined to two centred rank lookups.
+    The rows become one (x, y) frequency table, from which both ranks follow. Without ``buckets``
+    a group's table lies in one task and two windows rank it in place; its size is that
+    of the distinct pairs. With ``buckets`` (continuous values) it is joined to two rank lookups.
     """
     both = df.filter(F.col(x).isNotNull() & F.col(y).isNotNull())
     pairs = both.groupBy(*groups, x, y).agg(F.count(F.lit(1)).alias("n"))
-    rx = _ranked(both, groups, x, "_rx", buckets)
-    ry = _ranked(both, groups, y, "_ry", buckets)
-    joined = pairs.join(rx, [*groups, x]).join(ry, [*groups, y])
+    if buckets:
+        rx = _ranked(pairs, groups, x, "_rx", buckets)
+        ry = _ranked(pairs, groups, y, "_ry", buckets)
+        ranked = pairs.join(rx, [*groups, x]).join(ry, [*groups, y])
+    else:
+        dealt = pairs.repartition(*groups)  # the windows would each ask for layouts of their own
+        ranked = dealt.withColumns({"_rx": _rank_within(groups, x), "_ry": _rank_within(groups, y)})
     n, a, b = F.col("n"), F.col("_rx"), F.col("_ry")
     spread = F.sqrt(F.sum(n * a * a)) * F.sqrt(F.sum(n * b * b))
-    return joined.groupBy(*groups).agg(
+    return ranked.groupBy(*groups).agg(
         F.sum("n").alias("n"), F.try_divide(F.sum(n * a * b), spread).alias("spearman_rho")
     )
 

@@ -57,10 +57,32 @@ def test_adjusted_mutual_information(spark):
     assert whole["emi"] == pytest.approx(chunked["emi"], rel=1e-12)
 
 
-def test_log_factorial(spark):
-    df = spark.range(0, 400)
-    got = [r[0] for r in df.select(concordance.log_factorial(F.col("id"))).collect()]
-    assert got == pytest.approx([math.lgamma(i + 1) for i in range(400)], rel=1e-12)
+def test_expected_information_against_all_cell_counts(spark):
+    pairs = [("x", "p")] * 40 + [("x", "q")] * 7 + [("y", "p")] * 11 + [("z", "r")] * 25 + [("y", "r")] * 40
+    got = concordance.adjusted_mutual_information(contingency(spark, pairs)).first()["emi"]
+    n, expect = len(pairs), 0.0
+    sizes = [list(pd.Series([p[i] for p in pairs]).value_counts()) for i in (0, 1)]
+    for x in sizes[0]:
+        for y in sizes[1]:
+            for k in range(max(1, x + y - n), min(x, y) + 1):
+                chance = math.comb(y, k) * math.comb(n - y, x - k) / math.comb(n, x)
+                expect += k / n * math.log(n * k / (x * y)) * chance
+    assert got == pytest.approx(expect, rel=1e-11)
+
+
+def test_cell_weights_sum_to_one_at_any_size(spark):
+    margins = [(30, 20, 50), (7, 90, 100), (600, 400, 5000), (10**6, 3 * 10**6, 10**9), (4 * 10**6, 10**10, 10**12),
+               (10**7, 5 * 10**11, 10**12), (6 * 10**11, 500_000, 10**12)]
+    df = spark.createDataFrame(margins, "x bigint, y bigint, total bigint")
+    weight = F.exp(concordance.log_cell_weight(F.col("k"), F.col("x"), F.col("y"), F.col("total")))
+    # the count 0 is no term of the information, so its weight is added here
+    zero = F.when(F.col("x") + F.col("y") <= F.col("total"),
+                  F.exp(concordance.log_cell_weight(F.lit(0), F.col("x"), F.col("y"), F.col("total")))).otherwise(0.0)
+    sums = concordance.cell_counts(df, "x", "y", "total", 65536).groupBy("x", "y", "total").agg(F.sum(weight).alias("w"))
+    got = sums.withColumn("w", F.col("w") + zero).collect()
+    assert len(got) == len(margins)
+    for r in got:
+        assert r["w"] == pytest.approx(1, abs=1e-9), r
 
 
 @pytest.fixture(scope="module")
