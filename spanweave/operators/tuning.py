@@ -102,12 +102,12 @@ def widest_plateau(flags: list[bool]) -> tuple[int, int]:
     return best
 
 
-def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
-                   low: float = 0.0, high: float = 1.0) -> dict:
-    """Threshold at the centre of the most stable stretch of the grid.
+def search_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
+                     low: float = 0.0, high: float = 1.0) -> dict:
+    """Threshold at the centre of the most stable stretch of the grid, searched on all rows.
 
-    The search runs on all rows. The class shares of one year per person at the chosen
-    threshold are only compared with those of all rows.
+    The grid spans the 1st to 99th percentile of the scores that decide a class; only its
+    points come to the driver.
     """
     score = f"irregularity_{penalty.lower()}"
     bounds = (
@@ -122,12 +122,24 @@ def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
     points = grid(low, high, step)
     curve = threshold_curve(features, score, points)
     rows = stability_curve(curve, len(points)).orderBy("threshold").collect()
+    if not rows:  # no person-years: any point is as stable as another
+        return {"threshold": points[0], "points": points, "width": 1, "least": 0.0}
     smooth = np.array([r["smoothed_derivative"] for r in rows])
     flags = smooth <= smooth.min() + max(0.05, float(np.quantile(smooth, 0.1)))
     start, end = widest_plateau(flags.tolist())
     plateau = [r["threshold"] for r in rows[start : end + 1]]
-    chosen = plateau[len(plateau) // 2]
+    return {"threshold": plateau[len(plateau) // 2], "points": points, "width": end - start + 1, "least": float(smooth.min())}
 
+
+def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
+                   low: float = 0.0, high: float = 1.0) -> dict:
+    """The searched threshold with its report.
+
+    The class shares of one year per person at the chosen
+    threshold are only compared with those of all rows.
+    """
+    found = search_threshold(features, penalty, step, low, high)
+    chosen, points, width = found["threshold"], found["points"], found["width"]
     full = rules.classify(features, penalty, chosen)
     one_year = rules.classify(one_year_per_person(features), penalty, chosen)
     jsd = js_divergence(one_year, full, "archetype").first()[0]
@@ -135,7 +147,6 @@ def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
         (F.avg(F.col("archetype").startswith("Regular").cast("int")) * 100).alias("r"),
         (F.avg(F.col("archetype").startswith("Irregular").cast("int")) * 100).alias("i"),
     ).first()
-    width = end - start + 1
     if width >= 3 and jsd < 0.02:
         confidence = "HIGH"
     elif width >= 2 and jsd < 0.05:
@@ -147,7 +158,7 @@ def find_threshold(features: DataFrame, penalty: str = "L1", step: float = 0.05,
         "confidence": confidence,
         "regular_pct": shares["r"],
         "irregular_pct": shares["i"],
-        "stability_min_derivative": float(smooth.min()),
+        "stability_min_derivative": found["least"],
         "stability_plateau_width": width * step,
         "js_divergence_sample_full": float(jsd),
         "threshold_grid_min": points[0],

@@ -10,7 +10,7 @@ from pyspark.sql.types import DoubleType
 
 from ..functions.constants import GMM4_LABELS, GMM7_LABELS
 from ..functions.stability import settle
-from ..operators import comorbidity, concordance, features, mixture, rollup, rules, runs, spine
+from ..operators import comorbidity, concordance, features, mixture, rollup, rules, runs, spine, tuning
 from ..sources import lens
 from . import fixed_models
 
@@ -76,6 +76,11 @@ class Lab:
         cohort = F.when(F.col("person_id") % 3 == 0, "cohort_2a").otherwise("cohort_1")
         return scored.withColumn("cohort", cohort)
 
+    @cached_property
+    def tuned_threshold(self) -> float:
+        """Threshold that the search finds on the labelled rows, an action on its grid points."""
+        return tuning.search_threshold(self.stored_labels, "L1")["threshold"]
+
     @cached_property
     def relabels(self) -> dict[str, DataFrame]:
         return {
@@ -87,8 +92,8 @@ class Lab:
 
     @cached_property
     def relabelled(self) -> DataFrame:
-        """Labelled rows plus reference-based names and a second rule run (threshold 0.4)."""
-        second, _ = rules.archetype(threshold=0.4)
+        """Labelled rows plus reference-based names and the rule run at the tuned threshold."""
+        second, _ = rules.archetype(threshold=self.tuned_threshold)
         df = self.stored_labels.withColumn("archetype_adaptive", second)
         for method, names in self.relabels.items():
             df = concordance.apply_labels(df, names, method)

@@ -252,6 +252,38 @@ def rule_case(threshold: str, score: str = "irregularity_l1") -> str:
     )
 
 
+_SCORED = ("Regular Frequent", "Regular Infrequent", "Irregular Frequent", "Irregular Infrequent")
+_shares = ", ".join(f"count(*) FILTER (WHERE a = '{a}') * 100.0 / count(*) AS p{i}" for i, a in enumerate(_SCORED))
+_slopes = " + ".join(
+    f"abs((coalesce(lead(p{i}) OVER w, p{i}) - coalesce(lag(p{i}) OVER w, p{i}))"
+    " / (coalesce(lead(t) OVER w, t) - coalesce(lag(t) OVER w, t)))" for i in range(len(_SCORED))
+)
+block("score_range", "feature", """
+SELECT CASE WHEN greatest(a, 0.0) < least(b, 1.0) THEN greatest(a, 0.0) ELSE 0.0 END AS low,
+       CASE WHEN greatest(a, 0.0) < least(b, 1.0) THEN least(b, 1.0) ELSE 1.0 END AS high
+FROM (SELECT quantile_disc(irregularity_l1, 0.01) AS a, quantile_disc(irregularity_l1, 0.99) AS b
+      FROM feature WHERE inpatient_visit_count = 0 AND visit_count >= 2 AND irregularity_l1 IS NOT NULL) AS q""")
+block("grid_point", "score_range", """
+SELECT i, round(low + i * 0.05, 6) AS t FROM score_range, range(0, 21) AS r(i) WHERE low + i * 0.05 < high + 0.025""")
+# On the grid a missing score is regular nowhere, also at points above 1.
+block("grid_slope", "grid_point", f"""
+SELECT i, t, avg(d) OVER (ORDER BY i ROWS BETWEEN 1 PRECEDING AND 1 FOLLOWING) AS slope
+FROM (SELECT i, t, {_slopes} AS d
+      FROM (SELECT i, t, {_shares} FROM (SELECT i, t, {rule_case('t', 'coalesce(irregularity_l1, 2.0)')} AS a FROM feature, grid_point) AS c GROUP BY 1, 2) AS k
+      WINDOW w AS (ORDER BY i)) AS s""")
+block("plateau", "grid_slope", """
+SELECT a, least(z + 1, (SELECT max(i) FROM grid_slope)) AS z
+FROM (SELECT min(i) AS a, max(i) AS z
+      FROM (SELECT i, i - row_number() OVER (ORDER BY i) AS run FROM grid_slope
+            WHERE slope <= (SELECT min(slope) + greatest(0.05, quantile_cont(slope, 0.1)) FROM grid_slope)) AS c
+      GROUP BY run) AS r ORDER BY least(z + 1, (SELECT max(i) FROM grid_slope)) - a DESC, a LIMIT 1""")
+block("tuned", "plateau", """
+SELECT g.t AS threshold, p.z - p.a + 1 AS width, (SELECT min(slope) FROM grid_slope) AS least,
+       (SELECT min(t) FROM grid_point) AS grid_min, (SELECT max(t) FROM grid_point) AS grid_max
+FROM (SELECT CASE WHEN z > a THEN a ELSE 0 END AS a, CASE WHEN z > a THEN z ELSE 0 END AS z FROM plateau) AS p
+JOIN grid_point g ON g.i = p.a + (p.z - p.a + 1) // 2""")
+TUNED = "(SELECT threshold FROM tuned)"
+
 block("rule", "feature", f"SELECT *, {rule_case('0.5')} AS archetype FROM feature")
 
 block("tracked", "rule", """
@@ -293,8 +325,8 @@ FROM (SELECT *, CASE WHEN r = 1 THEN archetype END AS first, CASE WHEN r = 2 THE
 
 block("relabel4", "labelled", _relabel("gmm_4_cluster"))
 block("relabel7", "labelled", _relabel("gmm_7_cluster"))
-block("relabelled", "relabel4 relabel7", f"""
-SELECT l.*, {rule_case('0.4')} AS archetype_adaptive, r4.relabeled AS gmm_4_relabeled,
+block("relabelled", "relabel4 relabel7 tuned", f"""
+SELECT l.*, {rule_case(TUNED)} AS archetype_adaptive, r4.relabeled AS gmm_4_relabeled,
        r7.relabeled AS gmm_7_relabeled
 FROM labelled l JOIN relabel4 r4 ON l.gmm_4_cluster = r4.gmm_4_cluster
 JOIN relabel7 r7 ON l.gmm_7_cluster = r7.gmm_7_cluster""")

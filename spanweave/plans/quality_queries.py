@@ -397,7 +397,29 @@ def scorecard(lab: Lab) -> DataFrame:
     return concordance.scorecard(rows, _MEDOID_COLUMNS, "rules_vanilla", ["rules_vanilla", "rules_adaptive"], reduce(DataFrame.unionByName, index), "agree")
 
 
-@query("run_scorecard")
+def _run_sql() -> str:
+    casts = ", ".join(f"CAST({f} AS DOUBLE) AS {f}" for f in PROFILE_FEATURES)
+    runs = {"v": "archetype", "w": "archetype_adaptive"}
+    parts = [f"""
+o{r} AS (SELECT avg(CASE WHEN {c} <> prior THEN 100.0 ELSE 0.0 END) AS moved
+  FROM (SELECT {c}, lag({c}) OVER (PARTITION BY person_id ORDER BY year) AS prior FROM relabelled) AS l WHERE prior IS NOT NULL),
+u{r} AS (UNPIVOT (SELECT {c} AS k, {casts} FROM relabelled) ON {", ".join(PROFILE_FEATURES)} INTO NAME feature VALUE v),
+c{r} AS (SELECT k, feature, count(*) AS n, avg(v) AS m, coalesce(var_samp(v), 0) AS s2 FROM u{r} GROUP BY 1, 2),
+r{r} AS (SELECT c.k, c.feature, count(*) AS n, avg(v) AS m, coalesce(var_samp(v), 0) AS s2
+  FROM c{r} c JOIN u{r} u ON u.feature = c.feature AND u.k <> c.k GROUP BY 1, 2),
+d{r} AS (SELECT avg(d) AS d FROM (SELECT c.feature,
+    avg(abs(c.m - r.m) / sqrt(((c.n - 1) * c.s2 + (r.n - 1) * r.s2) / (c.n + r.n - 2))) AS d
+  FROM c{r} c JOIN r{r} r ON c.k = r.k AND c.feature = r.feature GROUP BY 1) AS f)""" for r, c in runs.items()]
+    return compose("relabelled", "," + ",".join(parts) + """,
+a AS (SELECT avg(CASE WHEN archetype = archetype_adaptive THEN 100.0 ELSE 0.0 END) AS same FROM relabelled)
+SELECT 'Coverage (Agreement)' AS dimension, round(same, 6) AS vanilla, round(same, 6) AS adaptive, 'Tie' AS winner FROM a
+UNION ALL SELECT 'Stability (Transition Rate, lower=better)', round(ov.moved, 6), round(ow.moved, 6),
+  CASE WHEN ow.moved < ov.moved THEN 'Adaptive' ELSE 'Vanilla' END FROM ov, ow
+UNION ALL SELECT 'Separation (Mean |Cohen d|, higher=better)', round(dv.d, 6), round(dw.d, 6),
+  CASE WHEN dw.d > dv.d THEN 'Adaptive' ELSE 'Vanilla' END FROM dv, dw""")
+
+
+@query("run_scorecard", _run_sql())
 def run_scorecard(lab: Lab) -> DataFrame:
     """Fixed against tuned rules: agreement, transition rate, separation."""
     runs = {"vanilla": "archetype", "adaptive": "archetype_adaptive"}

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..functions.constants import ARCHETYPES
 from ..operators import rules, sampling, tuning
 from .lab import Lab
-from .oracle import compose, rule_case
+from .oracle import TUNED, compose, rule_case
 from .registry import query
 
 _YEAR = "CAST(year AS INTEGER) AS year"
@@ -77,11 +77,16 @@ def training_sample(lab: Lab) -> DataFrame:
     return sampling.with_training_flag(lab.features).select("person_id", "year", "training_data")
 
 
-SAMPLE_SQL = compose("feature", f"""
+
+def _sample_sql(needs: str) -> str:
+    return compose(needs, f"""
 , s AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY person_id
         ORDER BY {_ORDER_KEY}, year) AS rn FROM feature) AS f WHERE rn = 1)""")
 
 
+SAMPLE_SQL = _sample_sql("feature")
+
+
 def _curve_sql(source: str) -> str:
     cells = ", ".join(
         f"count(*) FILTER (WHERE a = '{a}') AS \"{a}\"" for a in ARCHETYPES
@@ -128,7 +133,23 @@ def stability_curve(lab: Lab) -> DataFrame:
     return tuning.stability_curve(curve, n_points=21)
 
 
-@query("threshold_choice")
+_DIVERGENCE = """(SELECT 0.5 * sum(p * ln(p / m)) + 0.5 * sum(q * ln(q / m))
+   FROM (SELECT greatest(coalesce(a.share, 0), 1e-12) AS p, greatest(coalesce(b.share, 0), 1e-12) AS q,
+                greatest((coalesce(a.share, 0) + coalesce(b.share, 0)) / 2, 1e-12) AS m
+         FROM a FULL JOIN b ON a.c = b.c) AS j)"""
+
+
+@query("threshold_choice", _sample_sql("tuned") + f""",
+a AS (SELECT {rule_case(TUNED)} AS c, count(*) * 1.0 / (SELECT count(*) FROM s) AS share FROM s GROUP BY 1),
+b AS (SELECT {rule_case(TUNED)} AS c, count(*) * 1.0 / (SELECT count(*) FROM feature) AS share FROM feature GROUP BY 1)
+SELECT threshold AS optimal_threshold,
+  CASE WHEN width >= 3 AND jsd < 0.02 THEN 'HIGH' WHEN width >= 2 AND jsd < 0.05 THEN 'MODERATE' ELSE 'LOW' END AS confidence,
+  round((SELECT sum(share) * 100 FROM b WHERE c LIKE 'Regular%'), 6) AS regular_pct,
+  round((SELECT sum(share) * 100 FROM b WHERE c LIKE 'Irregular%'), 6) AS irregular_pct,
+  round(least, 6) AS stability_min_derivative, round(width * CAST(0.05 AS DOUBLE), 6) AS stability_plateau_width,
+  round(jsd, 6) AS js_divergence_sample_full, grid_min AS threshold_grid_min, grid_max AS threshold_grid_max,
+  CAST(0.05 AS DOUBLE) AS threshold_grid_step
+FROM (SELECT *, {_DIVERGENCE} AS jsd FROM tuned) AS t""")
 def threshold_choice(lab: Lab) -> DataFrame:
     return tuning.choice_row(lab.spark, tuning.find_threshold(lab.stored_features, "L1"))
 
@@ -199,8 +220,8 @@ def js_divergence(lab: Lab) -> DataFrame:
     return tuning.js_divergence(sample, lab.rules, "archetype")
 
 
-@query("compare_stability", compose("feature", f"""
-, a AS (SELECT person_id, year, {rule_case('0.5')} AS v, {rule_case('0.4')} AS w FROM feature),
+@query("compare_stability", compose("tuned", f"""
+, a AS (SELECT person_id, year, {rule_case('0.5')} AS v, {rule_case(TUNED)} AS w FROM feature),
 l AS (SELECT *, lag(v) OVER x AS pv, lag(w) OVER x AS pw FROM a
       WINDOW x AS (PARTITION BY person_id ORDER BY year)),
 sv AS (SELECT pv AS archetype, avg(CASE WHEN v = pv THEN 100.0 ELSE 0.0 END) AS s FROM l WHERE pv IS NOT NULL GROUP BY 1),
@@ -210,6 +231,5 @@ SELECT coalesce(sv.archetype, sw.archetype) AS archetype, round(coalesce(sv.s, 0
        round(coalesce(sw.s, 0) - coalesce(sv.s, 0), 6) AS improvement
 FROM sv FULL JOIN sw ON sv.archetype = sw.archetype"""))
 def compare_stability(lab: Lab) -> DataFrame:
-    return rules.compare_stability(
-        rules.track(lab.rules), rules.track(rules.classify(lab.features, threshold=0.4))
-    )
+    labels = lab.stored_labels
+    return rules.compare_stability(rules.track(labels), rules.track(rules.classify(labels, threshold=lab.tuned_threshold)))
