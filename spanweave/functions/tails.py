@@ -39,8 +39,9 @@ def _beta_tail(a: float, b: float, x: float, y: float) -> float:
         return 0.0
     if y <= 0.0:
         return 1.0
-    # near x = 1 the fraction's own terms cancel, so the other end serves there, too
-    if x > (a + 1.0) / (a + b + 2.0) or x > 0.9 and y * (a + b + 2.0) < 40.0 and b < a:
+    # near x = 1 the fraction's own terms cancel, so the other end serves there, too; further out
+    # its terms grow beyond what they sum to
+    if x > (a + 1.0) / (a + b + 2.0) or x > 0.9 and y * (a + b + 2.0) < 8.0 and b < a:
         return 1.0 - _beta_fraction(b, a, y, x)
     return _beta_fraction(a, b, x, y)
 

@@ -470,3 +470,18 @@ def test_pages_of_persons(spark, monkeypatch, ordered):
     assert timelines.page(df.limit(0), 1, 10).count() == 0
     plan = timelines.page(df, 2, 10)._jdf.queryExecution().executedPlan().toString()
     assert "Window" not in plan and "Broadcast" not in plan
+
+
+def test_far_tail_of_t_against_its_integral():
+    from spanweave.functions import tails
+
+    def integral(start, stop, power, n=4000):
+        h = (stop - start) / n
+        return h / 3 * sum((1 if i in (0, n) else 4 if i % 2 else 2) * math.cos(start + i * h) ** power for i in range(n + 1))
+
+    for dof in (300, 1094, 20_000):
+        reach = 12 / math.sqrt(dof)
+        for t in (0.5, 2.0, 3.5, 4.5, 6.0, 8.5, 9.5):
+            start = math.atan(t / math.sqrt(dof))
+            expect = integral(start, start + reach, dof - 1) / integral(0.0, reach, dof - 1)
+            assert tails.t_tail(t, dof) == pytest.approx(expect, rel=1e-7, abs=1e-300), (dof, t)
