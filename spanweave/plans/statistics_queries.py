@@ -89,6 +89,21 @@ SELECT {keys}, count(*) AS n, round(corr(rv, rc), 6) AS spearman_rho, count(DIST
 FROM r GROUP BY {keys}""")
 
 
+def _simpson(density: str, start: str, end: str, steps: int = 2000) -> str:
+    """SQL of the integral of ``density`` (of ``u``) by Simpson's rule; nulls give null."""
+    at = density.replace("u", f"({start} + ({end} - ({start})) * i / {steps}.0)")
+    weight = f"CASE WHEN i = 0 OR i = {steps} THEN 1.0 WHEN i % 2 = 1 THEN 4.0 ELSE 2.0 END"
+    return f"(({end} - ({start})) / {3 * steps}.0 * (SELECT sum({weight} * {at}) FROM range(0, {steps + 1}) AS g(i)))"
+
+
+# A t value on f degrees of freedom is sqrt(f) tan(a), so its tail is one of cos(a)^(f - 1), with a = asin(rho)
+_REACH = "least(pi() / 2, {} + 12 / sqrt(n - 2))"
+_RHO_TAIL = "{} / {}".format(
+    _simpson("power(cos(u), n - 3)", "asin(abs(rho))", _REACH.format("asin(abs(rho))")),
+    _simpson("power(cos(u), n - 3)", "0.0", _REACH.format("0.0")),
+)
+
+
 @query("spearman_pooled", _spearman_sql("outcome"))
 def spearman_pooled(lab: Lab) -> DataFrame:
     return residuals.spearman(_outcomes(lab), ["outcome"])
@@ -99,7 +114,9 @@ def spearman_by_cluster(lab: Lab) -> DataFrame:
     return residuals.spearman(_outcomes(lab), ["outcome", _K])
 
 
-@query("spearman_p")
+@query("spearman_p", f"""
+SELECT outcome, gmm_4_cluster, n, round(rho, 6) AS spearman_rho, n_patients, round(p, 6) AS p_value, p < 0.05 / 4 AS significant_bonferroni
+FROM (SELECT *, {_RHO_TAIL} AS p FROM ({_spearman_sql("outcome, gmm_4_cluster").replace("round(corr(rv, rc), 6) AS spearman_rho", "corr(rv, rc) AS rho")}) AS c) AS t""")
 def spearman_p(lab: Lab) -> DataFrame:
     rho = residuals.spearman(_outcomes(lab), ["outcome", _K])
     return residuals.with_bonferroni(residuals.spearman_p(rho))

@@ -16,7 +16,7 @@ SF = "/root/testdata/sf0.001"
 CHECKED = [
     "unified_daily", "rollup_month", "feature_table", "cci_visit", "rules_tracking", "penalty_stats",
     "winsor_scale", "cluster_profiles", "ami", "spearman_by_cluster", "rank_biserial", "cohort_compare",
-    "threshold_choice", "run_scorecard",
+    "threshold_choice", "run_scorecard", "spearman_p",
 ]
 
 
@@ -37,7 +37,7 @@ def test_registry_is_complete():
     assert set(ORACLES) <= set(QUERIES)
     without = set(QUERIES) - set(ORACLES)
     assert without == {
-        "penalty_choice", "gmm_fit", "gmm_model_table", "spearman_p",
+        "penalty_choice", "gmm_fit", "gmm_model_table",
         "ols_interaction_p", "logit_or", "kruskal_p", "association_summary", "metric_by_cluster_p",
         "cohort_partial_f", "cohort_compare_p", "publication_matrix",
     }
