@@ -2,7 +2,7 @@
 
 A roll-up reads days, or the rows of a finer roll-up: months merge into years. Sums add,
 maxima and masks combine, date lists join, and the run-length lists merge; their
-merged runs also give the distinct concepts, so no period goes back to the events.
+values also give the distinct concepts, so no period goes back to the events.
 """
 
 from __future__ import annotations
@@ -40,21 +40,17 @@ def rollup_period(rows: DataFrame, unit: str, dates: bool = True, lists: bool =
     """Roll days, or periods that lie within one of ``unit``, up to ``week``, ``month`` or ``year``.
 
     ``rows`` is the daily table with its lists or a roll-up, finalized or not; it is read
-    twice, with the numbers and with the lists, so it should be a stored table. Date
-    lists hold at most the days of the period; leave them or the other lists out with
-    ``dates=False`` or ``lists=False`` for an all-numeric last aggregation.
+    once. Where it lies clustered by person, as :func:`spine.daily` leaves it, no row
+    moves. Date lists hold at most the days of the period; leave them or the other lists
+    out with ``dates=False`` or ``lists=False``: only distinct concepts are counted then.
     """
     if "period_start_date" not in rows.columns:
         rows = as_periods(rows)
     elif "cci_mask" not in rows.columns:
         rows = rows.withColumn("cci_mask", comorbidity.mask_of_flags())
-    period = period_label("period_start_date", unit).alias("period")
-    numbers = rows.select("person_id", period, "period_start_date", "period_end_date", *_DAYS, *_SUMMED, "cci_total", "cci_mask",
-                          *(_DATES if dates else []))
-    values = runs.merge(runs.unpack(rows, ["person_id", period]), ["person_id", "period"])
-    counted = F.col("key").isNotNull()
-    return (
-        numbers.unionByName(values, allowMissingColumns=True)
+    concepts = {d: f"{d}_concept_ids" for d in DOMAINS}
+    rolled = (
+        rows.withColumn("period", period_label("period_start_date", unit))
         .groupBy("person_id", "period")
         .agg(
             F.min("period_start_date").alias("period_start_date"),
@@ -64,11 +60,13 @@ def rollup_period(rows: DataFrame, unit: str, dates: bool = True, lists: bool =
             F.max("cci_total").alias("cci_total"),
             F.bit_or("cci_mask").alias("cci_mask"),
             *[F.sum(c).alias(c) for c in _SUMMED],
-            *[F.count_if((F.col("tag") == d) & counted).alias(f"{d}_unique_ct") for d in DOMAINS],
-            *(runs.pack() if lists else []),
+            *[runs.gather(c).alias(c) for c in (runs.LISTS if lists else concepts.values())],
         )
-        .withColumns(spine.totals())
+        .withColumns({f"{d}_unique_ct": runs.distinct(c) for d, c in concepts.items()})
     )
+    rest = {c: runs.merge(c) for c in runs.LISTS} if lists else {}
+    kept = [c for c in rolled.columns if c not in runs.LISTS]
+    return rolled.select(*kept, *[c.alias(name) for name, c in rest.items()]).withColumns(spine.totals())
 
 
 def finalize(rolled: DataFrame, people: DataFrame) -> DataFrame:

@@ -2,8 +2,8 @@
 
 A list of a day, a month or a year is an array of its distinct values with their
 numbers, so its length is bounded by the vocabulary, not by the rows. Lists are merged by
-taking their runs apart, adding the numbers of equal values, and packing once; values are
-never repeated in between.
+laying their runs side by side and adding the numbers of equal values; values are never
+repeated in between, and the rows stay where they are.
 """
 
 from __future__ import annotations
@@ -23,35 +23,55 @@ LISTS = {
 }
 
 
-def pack(n: Column | None = None) -> list[Column]:
-    """Aggregates of rows (tag, key, text, n), one per value, to the list columns."""
-    n = F.col("n") if n is None else n
-    out = []
-    for name, (tag, kind) in LISTS.items():
-        value = F.col("text") if kind == "string" else F.col("key").cast(kind)
-        run = F.when((F.col("tag") == tag) & value.isNotNull(), F.struct(value.alias("value"), n.cast("bigint").alias("n")))
-        out.append(F.sort_array(F.collect_list(run)).alias(name))
-    return out
+#: Tags of conditions whose values are in a column of their own.
+_TEXTS = ("code", "vocab")
 
 
-def unpack(rows: DataFrame, keys: list[Column | str]) -> DataFrame:
-    """The runs of all list columns as rows (keys, tag, key, text, n)."""
+def collect(n: Column, out: str = "_entries") -> Column:
+    """Aggregate of rows (tag, key, code, vocab, n) to the one column that :func:`pack` takes apart."""
+    return F.collect_list(F.when(
+        F.col("key").isNotNull() | F.col("code").isNotNull() | F.col("vocab").isNotNull(),
+        F.struct("tag", "key", *_TEXTS, n.cast("bigint").alias("n")))).alias(out)
+
+
+def pack(counted: DataFrame, entries: str = "_entries") -> DataFrame:
+    """The collected rows of a day as list columns."""
     def of(name: str) -> Column:
         tag, kind = LISTS[name]
-        nothing = F.lit(None)
+        field, tag = (tag, "condition") if tag in _TEXTS else ("key", tag)
+        mine = F.filter(entries, lambda e: (e["tag"] == tag) & e[field].isNotNull())
+        return F.sort_array(F.transform(mine, lambda e: F.struct(e[field].cast(kind).alias("value"), e["n"].alias("n"))))
+
+    kept = [c for c in counted.columns if c != entries]
+    gathered = counted.select(*kept, *[of(name).alias(name) for name in LISTS])
+    return gathered.select(*kept, *[merge(name).alias(name) for name in LISTS])
+
+
+def gather(name: str) -> Column:
+    """Aggregate: all runs of a list column in order of their values, equal values side by side."""
+    return F.sort_array(F.flatten(F.collect_list(name)))
+
 
-        def run(r: Column) -> Column:
-            key, text = (nothing, r["value"]) if kind == "string" else (r["value"], nothing)
-            return F.struct(F.lit(tag).alias("tag"), key.cast("bigint").alias("key"), text.cast("string").alias("text"), r["n"].alias("n"))
+def distinct(name: str) -> Column:
+    """Number of distinct values of a gathered list."""
+    return F.size(F.array_distinct(F.col(name)["value"])).cast("bigint")
 
-        return F.transform(name, run)
 
-    return rows.select(*keys, F.explode(F.concat(*[of(name) for name in LISTS])).alias("run")).select("*", "run.*").drop("run")
+def merge(name: str) -> Column:
+    """A gathered list with the numbers of equal values added up. Each step is one pass over
+    the list: first and last place of each value, then the sum between them."""
+    runs = F.col(name)
+    places = F.transform(runs, lambda r, i: i)
 
+    def differs(i: Column, j: Column) -> Column:
+        return ~F.get(runs, i)["value"].eqNullSafe(F.get(runs, j)["value"])
 
-def merge(rows: DataFrame, keys: list[str]) -> DataFrame:
-    """Equal values of a key added up: one row per (keys, tag, key, text)."""
-    return rows.groupBy(*keys, "tag", "key", "text").agg(F.sum("n").alias("n"))
+    first = F.filter(places, lambda i: (i == 0) | differs(i, i - 1))
+    last = F.filter(places, lambda i: (i == F.size(runs) - 1) | differs(i, i + 1))
+    merged = F.zip_with(first, last, lambda a, b: F.struct(
+        F.get(runs, a)["value"].alias("value"),
+        F.aggregate(F.slice(runs, a + 1, b - a + 1), F.lit(0).cast("bigint"), lambda n, r: n + r["n"]).alias("n")))
+    return F.when(distinct(name) == F.size(runs), runs).otherwise(merged)
 
 
 def expand(entries: Column) -> Column:

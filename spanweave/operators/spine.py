@@ -1,9 +1,10 @@
 """Person-date spine: visit days, concept counts and comorbidity per person and day.
 
-Everything is one tagged union and two partially aggregated ``groupBy`` steps.
-The first groups by (person, date, tag, key), so one busy person or day is
-spread over many tasks and arrives at the second step already counted. No
-array is built just to be measured.
+Everything is one tagged union and two ``groupBy`` steps. The first groups by
+(person, date, tag, key), so one busy person or day is spread over many tasks and
+arrives at the second step already counted. Its narrow rows are then clustered by
+person once; the days, and the roll-ups and features made from them, stay where they
+are. No array is built just to be measured.
 """
 
 from __future__ import annotations
@@ -64,38 +65,24 @@ def person_dates(events: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
-def _event_entries(events: DataFrame, known: Column) -> DataFrame:
-    """Concept, code and vocabulary of each event as rows, from one reading."""
-    def entry(tag: Column, key: Column, text: Column) -> Column:
-        return F.struct(tag.alias("tag"), key.cast("bigint").alias("key"), text.cast("string").alias("text"))
-
-    nothing = F.lit(None)
-    concept = entry(F.col("domain"), F.when(known, F.col("concept_id")), nothing)
-    coded = [F.when(known & (F.col("domain") == "condition") & F.col(c).isNotNull(), entry(F.lit(tag), nothing, F.col(c)))
-             for tag, c in (("code", "source_code"), ("vocab", "vocab_id"))]
-    entries = F.array_compact(F.array(concept, *coded))
-    return events.select("person_id", "date", F.explode(entries).alias("entry"), F.lit(0).alias("in_hospital")).select(
-        "person_id", "date", "entry.*", "in_hospital")
-
-
 def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> DataFrame:
     """Row counts per (person, date, tag, key): key is a concept or a visit id.
 
-    ``lists`` adds rows of the tags code and vocab, whose value is in ``text``.
-    Without a person there is nothing to attach a row to, so it keeps its place
-    on the spine but contributes no counts.
+    ``lists`` also tells rows apart by the code and vocabulary of their condition, so that
+    one row still stands for each event. Without a person there is nothing to attach a row
+    to, so it keeps its place on the spine but contributes no counts.
     """
     known = F.col("person_id").isNotNull()
-    if lists:
-        concept_rows = _event_entries(events, known)
-    else:
-        concept_rows = events.select(
-            "person_id",
-            "date",
-            F.col("domain").alias("tag"),
-            F.when(known, F.col("concept_id").cast("bigint")).alias("key"),
-            F.lit(0).alias("in_hospital"),
-        )
+    coded = known & (F.col("domain") == "condition")
+    concept_rows = events.select(
+        "person_id",
+        "date",
+        F.col("domain").alias("tag"),
+        F.when(known, F.col("concept_id").cast("bigint")).alias("key"),
+        F.lit(0).alias("in_hospital"),
+        *([F.when(coded, F.col("source_code")).cast("string").alias("code"),
+           F.when(coded, F.col("vocab_id")).cast("string").alias("vocab")] if lists else []),
+    )
     visit_rows = days.select(
         "person_id",
         "date",
@@ -105,7 +92,7 @@ def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> Dat
     )
     return (
         concept_rows.unionByName(visit_rows, allowMissingColumns=True)
-        .groupBy("person_id", "date", "tag", "key", *["text"] * lists)
+        .groupBy("person_id", "date", "tag", "key", *(["code", "vocab"] if lists else []))
         .agg(F.count(F.lit(1)).alias("n"), F.max("in_hospital").alias("in_hospital"))
     )
 
@@ -135,7 +122,8 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
 
     ``cci_mask`` holds the comorbidity groups; :func:`with_cci_flags` expands it. ``lists``
     adds the run-length lists of :mod:`runs`, packed from the same counted rows; a
-    day without values has empty lists. A visit counts once a day in its list.
+    day without values has empty lists. A visit counts once a day in its list. The rows
+    are clustered by person, before they grow wide.
     """
     keyed = keyed_counts(events, days, lists)
     rows = keyed.withColumns(
@@ -156,14 +144,16 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
             allowMissingColumns=True,
         )
     is_visit = (F.col("tag") == "visit") & F.col("key").isNotNull()
-    counted = rows.groupBy("person_id", "date").agg(
+    counted = rows.repartition("person_id").groupBy("person_id", "date").agg(
         F.count_if(is_visit).alias("visit_count"),
         F.max("in_hospital").alias("hospitalized_flag"),
         *[c for d in DOMAINS for c in _domain_aggregates(d)],
         F.max("cci_total").alias("cci_total"),
         F.bit_or("cci_mask").alias("cci_mask"),
-        *(runs.pack(F.when(F.col("tag") == "visit", 1).otherwise(F.col("n"))) if lists else []),
+        *([runs.collect(F.when(F.col("tag") == "visit", 1).otherwise(F.col("n")))] if lists else []),
     )
+    if lists:  # a concept has a row for each of its codes
+        counted = runs.pack(counted).withColumns({f"{d}_unique_ct": runs.distinct(f"{d}_concept_ids") for d in DOMAINS})
     out = counted.withColumns(totals())
     return out.withColumn(
         "has_clinical_concepts", F.when(F.col("total_data_points") > 0, 1).otherwise(0)

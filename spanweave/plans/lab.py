@@ -51,6 +51,11 @@ class Lab:
         self.daily = stored.drop(*runs.LISTS)
         return stored
 
+    @cached_property
+    def months(self) -> DataFrame:
+        """Month roll-up in one pass with its days, for a single reader."""
+        return rollup.rollup_period(self.listed_daily, "month")
+
     @cached_property
     def stored_months(self) -> DataFrame:
         """Month roll-up, from which years follow."""

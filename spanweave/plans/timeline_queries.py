@@ -194,17 +194,17 @@ _WEEK = "strftime(date_trunc('week', date), '%Y-%m-%d')"
 
 @query("rollup_week", _rollup_sql(_WEEK, _WEEK))
 def rollup_week(lab: Lab) -> DataFrame:
-    return _published(lab, rollup.rollup_period(lab.stored_listed_daily, "week"))
+    return _published(lab, rollup.rollup_period(lab.listed_daily, "week"))
 
 
 @query("rollup_month", _rollup_sql("strftime(date, '%Y-%m')", "strftime(date, '%Y-%m')"))
 def rollup_month(lab: Lab) -> DataFrame:
-    return _published(lab, rollup.rollup_period(lab.stored_listed_daily, "month"))
+    return _published(lab, lab.months)
 
 
 @query("rollup_year", _rollup_sql("CAST(year(date) AS INTEGER)", "CAST(year(date) AS INTEGER)"))
 def rollup_year(lab: Lab) -> DataFrame:
-    return _published(lab, rollup.rollup_period(lab.stored_months, "year"))
+    return _published(lab, rollup.rollup_period(lab.months, "year"))
 
 
 @query("rollup_lists", compose("event", """

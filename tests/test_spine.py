@@ -181,6 +181,30 @@ def test_lists_are_counted_sorted_and_empty_rather_than_null(spark):
     assert spine.daily(e, days).drop("x").exceptAll(daily.drop(*runs.LISTS)).isEmpty()
 
 
+def test_concept_with_several_codes_is_one_value(spark):
+    rows = [(1, d("2020-01-01"), "condition", c, code, "V", 1, 5) for c, code in ((4, "A"), (4, "B"), (4, "B"), (0, "A"), (0, None), (9, "C"))]
+    e = spark.createDataFrame(rows, EVENTS)
+    daily = spine.daily(e, spine.visit_days(visits(spark, [])), lists=True)
+    for row in (daily.first(), rollup.rollup_period(daily, "week").first()):
+        assert [tuple(x) for x in row["condition_concept_ids"]] == [(0, 2), (4, 3), (9, 1)]
+        assert [tuple(x) for x in row["condition_source_codes"]] == [("A", 2), ("B", 2), ("C", 1)]
+        assert [tuple(x) for x in row["condition_vocab_ids"]] == [("V", 6)]
+        assert (row["condition_count"], row["condition_unique_ct"], row["condition_nomatch_ct"]) == (6, 3, 2)
+
+
+def exchanges(df) -> int:
+    return df._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning")
+
+
+def test_rollups_move_and_store_no_days(lab):
+    """Days lie clustered by person, so months and years of them are made where they are."""
+    days = exchanges(lab.listed_daily)
+    months = rollup.rollup_period(lab.listed_daily, "month")
+    assert exchanges(months) == days
+    assert exchanges(rollup.rollup_period(months, "year")) == days
+    assert "ExistingRDD" not in lab.months._jdf.queryExecution().executedPlan().toString()
+
+
 def test_lists_of_an_empty_table(spark):
     daily = spine.daily(no_events(spark), spine.visit_days(visits(spark, [])), lists=True)
     assert daily.count() == 0 and rollup.rollup_period(daily, "week").count() == 0
