@@ -14,6 +14,7 @@ from ..functions.constants import (
     GMM4_LABELS,
     GMM4_ORDER,
 )
+from ..functions.stability import settle
 from ..operators import cohorts, features, residuals, rollup
 from .lab import Lab
 from .oracle import block, compose
@@ -261,11 +262,16 @@ block("metric", "charac", " UNION ALL ".join(
 
 
 def _characterised(lab: Lab) -> DataFrame:
-    yearly = rollup.rollup_period(lab.stored_months, "year", dates=False, lists=False)
+    yearly = rollup.rollup_period(lab.months, "year", dates=False, lists=False)
     full = cohorts.assemble(features.with_prior_year(lab.labelled), yearly, _YEARLY)
     return full.withColumn("gmm_4_named", F.col("gmm_4_cluster_label"))
 
 
+def _stored(lab: Lab, *columns: str) -> DataFrame:
+    """Columns of the characterised rows behind a checkpoint, for more than one reader."""
+    return settle(_characterised(lab).select(*columns))
+
+
 @query("label_assembly", compose("charac", f"""
 SELECT person_id, CAST(year AS INTEGER) AS year, archetype, gmm_4_cluster, gmm_7_cluster, cohort,
        prior_year_max_cci, {", ".join(_YEARLY)} FROM charac"""))
@@ -280,7 +286,7 @@ def label_assembly(lab: Lab) -> DataFrame:
 SELECT cohort, count(*) AS n, count(DISTINCT person_id) AS persons, CAST(sum(total_data_points) AS BIGINT) AS points
 FROM charac GROUP BY 1"""))
 def cohort_stack(lab: Lab) -> DataFrame:
-    full = _characterised(lab)
+    full = _stored(lab, "person_id", "cohort", "gmm_7_cluster", "total_data_points")
     first = full.filter("cohort = 'cohort_1'")
     second = full.filter("cohort = 'cohort_2a'").drop("gmm_7_cluster")
     return cohorts.stack_cohorts(first, second).groupBy("cohort").agg(
@@ -309,7 +315,8 @@ def metric_by_cluster(lab: Lab) -> DataFrame:
 
 @query("metric_by_cluster_p")
 def metric_by_cluster_p(lab: Lab) -> DataFrame:
-    return cohorts.transposed_means(_characterised(lab), "gmm_4_named", DENSITY_METRICS, GMM4_ORDER)
+    rows = _stored(lab, "gmm_4_named", "prior_year_max_cci", *[c for _, c in DENSITY_METRICS])
+    return cohorts.transposed_means(rows, "gmm_4_named", DENSITY_METRICS, GMM4_ORDER)
 
 
 @query("anova_f", compose("metric", """

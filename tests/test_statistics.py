@@ -485,3 +485,16 @@ def test_far_tail_of_t_against_its_integral():
             start = math.atan(t / math.sqrt(dof))
             expect = integral(start, start + reach, dof - 1) / integral(0.0, reach, dof - 1)
             assert tails.t_tail(t, dof) == pytest.approx(expect, rel=1e-7, abs=1e-300), (dof, t)
+
+
+def test_cross_cohort_queries_store_no_days_or_months(spark):
+    """One reader: nothing is stored. Several readers: only the columns they read are."""
+    from spanweave.plans.all_queries import QUERIES
+
+    def plan(name: str) -> str:
+        return QUERIES[name](spark, "/root/testdata/sf0.001")._jdf.queryExecution().optimizedPlan().toString()
+
+    assert "LogicalRDD" not in plan("label_assembly")
+    assert "LogicalRDD" not in plan("cohort_compare")
+    stored = [line for line in plan("cohort_stack").splitlines() if "LogicalRDD" in line]
+    assert stored and all("condition_count" not in line for line in stored)
