@@ -45,7 +45,7 @@ class Tokens:
         self.lengths = np.fromiter(map(len, pieces), np.int64, len(pieces))
 
 
-def _byte_letters() -> dict[str, int]:
+def byte_letters() -> dict[str, int]:
     """The letter by which byte-level vocabularies write each byte: printable ones
     themselves, the others, in order, the code points from 256 on."""
     plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
@@ -63,7 +63,7 @@ def byte_level(path: str, pattern: str) -> Tokens:
 
     with open(path, encoding="utf-8") as f:
         model = json.load(f)["model"]
-    letters = _byte_letters()
+    letters = byte_letters()
     merges = [m.split(" ") if isinstance(m, str) else m for m in model["merges"]]
     made = [model["vocab"]["".join(m)] for m in merges]
     if made != list(range(256, 256 + len(made))):

@@ -20,18 +20,27 @@ import re
 import uuid
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, cached_property
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyarrow import fs
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .alignment import byte_letters
 from .scratch import settle
 
-#: A comma or full stop between a letter and a blank.
-_STOP = re.compile(rb"(?<=[A-Za-z])([.,])[ \n]")
+#: Letters of ASCII and Latin-1, in UTF-8: none of them is composed further.
+_LETTERS = re.compile(rb"(?:[A-Za-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: ASCII punctuation but the apostrophe, which may belong to letters after it.
+_STOPS = b"!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~"
+#: Such punctuation between a letter and a blank.
+_STOP = r"([A-Za-z])([!-&(-/:-@\[-`{-~]+) "
+#: The letter by which byte-level files write each byte.
+_BYTE_LETTERS = {byte: letter for letter, byte in byte_letters().items()}
+_NO_IDS = np.zeros(0, "<u4")
 MAGIC = b"S8BTOK01"
 # Fixed values of the coding: values per word and bits per value, by selector.
 COUNTS = np.array([1, 60, 30, 20, 15, 12, 10, 8, 7, 6, 5, 4, 3, 2, 1])
@@ -41,6 +50,8 @@ _STEPS = WIDTHS[1:]
 BLOCK = 4096
 #: A file is closed after the document that brings it to so many ids.
 FILE_IDS = 4_000_000
+#: Texts are tokenized together until they have so many characters.
+CALL_CHARS = 6_000_000
 
 
 def _classes(values: np.ndarray) -> np.ndarray:
@@ -177,6 +188,18 @@ def unpack(data: bytes) -> Iterator[tuple[int, np.ndarray]]:
         held = run[length:]
 
 
+def _portions(texts: list[str]) -> Iterator[tuple[int, int]]:
+    """(start, end) of runs of texts that are tokenized together."""
+    start, size = 0, 0
+    for i, text in enumerate(texts):
+        size += len(text)
+        if size >= CALL_CHARS:
+            yield start, i + 1
+            start, size = i + 1, 0
+    if start < len(texts):
+        yield start, len(texts)
+
+
 def write_files(docs: DataFrame, folder: str, tokens: Callable[[list[str]], list[np.ndarray]]) -> DataFrame:
     """Write the ids of ``docs`` (doc_id, text) to files in ``folder`` in ascending doc_id
     order and return their list: file, part, number, documents, ids, start.
@@ -205,8 +228,9 @@ def write_files(docs: DataFrame, folder: str, tokens: Callable[[list[str]], list
 
         for chunk in chunks:
             keys, texts = chunk.column("doc_id").to_pylist(), chunk.column("text").to_pylist()
-            for i in range(0, len(keys), 256):
-                for key, some in zip(keys[i : i + 256], tokens([t or "" for t in texts[i : i + 256]])):
+            texts = [t or "" for t in texts]
+            for i, end in _portions(texts):
+                for key, some in zip(keys[i:end], tokens(texts[i:end])):
                     if key is None:
                         raise ValueError("a document without doc_id has no place in the files")
                     doc_ids.append(key)
@@ -258,12 +282,13 @@ class WordTokens:
     """Ids by a tokenizer file of the tokenizers library, followed by ``end``.
 
     For files that lower-case, drop white space and part letters from punctuation: there
-    the library works between blanks and line breaks independently, and on a comma or full
-    stop between a letter and a blank apart from that letter. So each worker asks it once
-    for each distinct word, and its model alone where a word is plain small letters, which
-    the steps before the model leave as they are. Words of ASCII are lower-cased before;
-    others are asked as they are, as the file may compose letters before it lower-cases them.
-    It remembers up to REMEMBERED words.
+    the library works between blanks and line breaks independently, and on ASCII punctuation
+    without an apostrophe after a letter apart from that letter. So each worker asks it once
+    for each distinct part of a word, and its model alone where that is plain letters of ASCII
+    or Latin-1, which the steps before the model only lower-case and write byte by byte. Words
+    of ASCII are lower-cased before; others are asked as they are, as the file may compose
+    letters before it lower-cases them. The words of a call are told apart and their ids
+    gathered by Arrow. It remembers up to REMEMBERED words.
 
     ``special``: the file's special tokens in a text count as such, as by the library's
     default; else they are text like any other.
@@ -275,18 +300,28 @@ class WordTokens:
         self.path, self.end, self.special = path, end, special
         self.known: dict[bytes, bytes] | None = None
 
-    def _ask(self, words: list[bytes]) -> None:
+    def _ask(self, parts: list[bytes]) -> None:
         other = []
-        for word in words:
-            if word.isalpha():
-                self.known[word] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(word.decode())])
+        for part in parts:
+            if _LETTERS.fullmatch(part):
+                written = part.decode().lower()
+                if not written.isascii():
+                    written = written.encode().decode("latin-1").translate(_BYTE_LETTERS)
+                self.known[part] = b"".join([t.id.to_bytes(4, "little") for t in self.model.tokenize(written)])
             else:
-                other.append(word)
+                other.append(part)
         for i in range(0, len(other), 20_000):
-            part = other[i : i + 20_000]
-            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)
-            for word, ids in zip(part, found):
-                self.known[word] = np.array(ids.ids, "<u4").tobytes()
+            some = other[i : i + 20_000]
+            found = self.library.encode_batch_fast([w.decode("utf-8", "replace") for w in some], add_special_tokens=False)
+            for part, ids in zip(some, found):
+                self.known[part] = np.array(ids.ids, "<u4").tobytes()
+
+    def _learn(self, words: list[bytes]) -> None:
+        cuts = {word: parts for word in words if (parts := _cut(word)) != (word,)}
+        asked = {word for word in words if word not in cuts}.union(*cuts.values())
+        self._ask([part for part in asked if part not in self.known])
+        for word, parts in cuts.items():
+            self.known[word] = b"".join([self.known[part] for part in parts])
 
     def __call__(self, texts: list[str]) -> list[np.ndarray]:
         if self.known is None:
@@ -297,35 +332,57 @@ class WordTokens:
             added = self.library.get_added_tokens_decoder()
             if self.special and any(not t.special or t.normalized or t.single_word or t.lstrip or t.rstrip for t in added.values()):
                 raise ValueError("only special tokens that stand for themselves can be cut out of a text")
-            self.marks = {t.content: i.to_bytes(4, "little") for i, t in added.items()} if self.special else {}
+            self.marks = {t.content: i for i, t in added.items()} if self.special else {}
             self.mark = re.compile("|".join(map(re.escape, sorted(self.marks, key=len, reverse=True))))
             self.library.encode_special_tokens = True  # texts are cut at them before; lower-cased words may look like one
             self.model = self.library.model
         if len(self.known) > self.REMEMBERED:
             self.known.clear()
         cut = [self._parts(text) for text in texts]
-        self._ask([word for word in set().union(*(words for parts in cut for words, _ in parts)) if word not in self.known])
-        end = b"" if self.end is None else self.end.to_bytes(4, "little")
-        known = self.known.__getitem__
-        return [np.frombuffer(b"".join([b"".join([*map(known, words), mark]) for words, mark in parts] + [end]), "<u4") for parts in cut]
-
-    def _parts(self, text: str) -> list[tuple[list[bytes], bytes]]:
-        """(words, id of the special token after them or nothing) of a text, part by part."""
+        raw = [part.encode("utf-8", "replace").replace(b"\n", b" ") for parts in cut for part, _ in parts]
+        apart = pc.replace_substring_regex(pa.array(raw, pa.large_binary()), _STOP, r"\1 \2 ")
+        words = pc.split_pattern(apart, " ")
+        coded = words.flatten().dictionary_encode()
+        distinct = coded.dictionary.to_pylist()
+        self._learn([word for word in distinct if word not in self.known])
+        ids = pa.array(list(map(self.known.__getitem__, distinct)), pa.large_binary()).take(coded.indices)
+        _, places, data = ids.buffers()
+        flat = np.frombuffer(data, "<u4") if data is not None and data.size else np.zeros(0, "<u4")
+        ends = np.frombuffer(places, "<i8")[words.offsets.to_numpy()] // 4 if len(ids) else np.zeros(len(raw) + 1, int)
+        out, at = [], 0
+        for parts in cut:
+            run = []
+            for _, mark in parts:
+                run += [flat[ends[at] : ends[at + 1]], mark]
+                at += 1
+            out.append(np.concatenate([*run, self._closing]))
+        return out
+
+    @cached_property
+    def _closing(self) -> np.ndarray:
+        return np.array([] if self.end is None else [self.end], "<u4")
+
+    def _parts(self, text: str) -> list[tuple[str, np.ndarray]]:
+        """(text, id of the special token after it or nothing), part by part."""
         if not any(mark in text for mark in self.marks):
-            return [(_words(text), b"")]
+            return [(text, _NO_IDS)]
         out, at = [], 0
         for hit in self.mark.finditer(text):
-            out.append((_words(text[at : hit.start()]), self.marks[hit.group()]))
+            out.append((text[at : hit.start()], np.array([self.marks[hit.group()]], "<u4")))
             at = hit.end()
-        return [*out, (_words(text[at:]), b"")]
-
-
-def _words(text: str) -> list[bytes]:
-    raw = text.encode("utf-8", "replace")
-    if raw.isascii():
-        return _STOP.sub(rb" \1 ", raw.lower()).replace(b"\n", b" ").split(b" ")
-    words = _STOP.sub(rb" \1 ", raw).replace(b"\n", b" ").split(b" ")
-    return [word.lower() if word.isascii() else word for word in words]
+        return [*out, (text[at:], _NO_IDS)]
+
+
+def _cut(word: bytes) -> tuple[bytes, ...]:
+    """The parts of a word that the library treats apart, lower-cased where they are ASCII."""
+    if _LETTERS.fullmatch(word):
+        return (word.lower() if word.isascii() else word,)
+    head = word.rstrip(_STOPS)
+    if len(head) < len(word) and (head[-1:].isalpha() or _LETTERS.fullmatch(head)):
+        parts = (head, word[len(head) :])
+    else:
+        parts = (word,)
+    return tuple([part.lower() if part.isascii() else part for part in parts])
 
 
 @cache

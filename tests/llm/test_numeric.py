@@ -77,6 +77,37 @@ def test_word_tokens_of_the_query_equal_the_untouched_library():
     assert got[0].tolist().count(49407) == 1 and got[1].tolist() == [49406, 49407, 2]
 
 
+def test_words_with_punctuation_and_latin_letters_cost_no_library_call_of_their_own():
+    draw = random.Random(5)
+    letters = "aBz" + "".join(map(chr, range(0xC0, 0x100)))
+    texts = ["".join(draw.choice(letters) for _ in range(8)) + draw.choice(["", ".", "$$$", ",%%%", "!?", "'s.", "'", ".'t"]) for _ in range(3000)]
+    texts += ["é\u0301. ", "t\u0308, T\u0308, ", "a\u0301\u0301.. ", "e.\u0301 ", "ª. µ, º!", "1. 2, x9.", "\u0301.", "..", "ß$ ÿ$ ×. ÷.", "“a.” “.", " \n \n", "a\n.b"]
+    library = Tokenizer.from_file(WORD_FILE)
+    library.encode_special_tokens = True
+    own = simple8b.WordTokens(WORD_FILE, 2)
+    assert [g.tolist() for g in own(texts)] == [[*library.encode(t, add_special_tokens=False).ids, 2] for t in texts]
+
+    class Counted:
+        calls = 0
+
+        def encode_batch_fast(self, words, **options):
+            Counted.calls += len(words)
+            return library.encode_batch_fast(words, **options)
+
+    own.library, plain = Counted(), [t + "$$$" for t in ("qué", "ÉTÉ", "words", "naïf")]
+    own(plain * 3 + ["más. ", "otras, más"])
+    assert Counted.calls <= 3
+    assert simple8b.WordTokens(WORD_FILE, None)(["", "a"])[0].tolist() == []
+
+
+def test_portions_hold_every_text_once(monkeypatch):
+    monkeypatch.setattr(simple8b, "CALL_CHARS", 5)
+    texts = ["abc", "", "defghi", "j", "", "klmnopqr", "s", ""]
+    runs = list(simple8b._portions(texts))
+    assert [t for a, b in runs for t in texts[a:b]] == texts and len(runs) == 3
+    assert list(simple8b._portions([])) == []
+
+
 def test_shingles_follow_their_definition():
     texts = [b"", b" \n", b"One", b"one two", b"a b c a b c a", b"A  b\tC"]
     sets = hashing.shingle_sets(texts, 3)
