@@ -135,13 +135,13 @@ def code_rows(variant: str = "main") -> list[tuple[int, str, int]]:
 
 
 def clean_code(col: Column) -> Column:
-    return F.upper(F.regexp_replace(col, r"\.", ""))
+    return F.upper(F.translate(col, ".", ""))
 
 
 def is_v_code_to_drop(code: str, vocab: str) -> Column:
     """True or unknown for V-codes in ICD10CM or without vocabulary."""
     like = " OR ".join(f"{code} LIKE '{pattern}'" for pattern in V_CODE_PATTERNS)
-    return F.expr(f"({like}) AND {vocab} = 'ICD10CM'")
+    return F.expr(f"{vocab} = 'ICD10CM' AND ({like})")
 
 
 def with_groups(df: DataFrame, code_col: str = "code", variant: str = "main") -> DataFrame:

@@ -26,8 +26,11 @@ def label_column(method: str, columns: Sequence[str]) -> str | None:
 def contingency(df: DataFrame, methods: Mapping[str, str]) -> DataFrame:
     """Counts per (method1, method2, a, b) for every pair of labelled methods.
 
-    Rows where either label is missing or ``Unknown`` are left out of that pair.
+    Rows where either label is missing or ``Unknown`` are left out of that pair. Equal rows
+    of labels are counted first, so that only their combinations are laid out by pair.
     """
+    labels = list(dict.fromkeys(methods.values()))
+    counted = df.groupBy(*labels).agg(F.count(F.lit(1)).alias("_rows"))
     pairs = F.array(
         *[
             F.struct(
@@ -40,10 +43,10 @@ def contingency(df: DataFrame, methods: Mapping[str, str]) -> DataFrame:
         ]
     )
     return (
-        df.select(F.inline(pairs))
+        counted.select("_rows", F.inline(pairs))
         .filter((F.col("a") != "Unknown") & (F.col("b") != "Unknown"))
         .groupBy("method1", "method2", "a", "b")
-        .agg(F.count(F.lit(1)).alias("n"))
+        .agg(F.sum("_rows").alias("n"))
     )
 
 

@@ -27,11 +27,11 @@ LISTS = {
 _TEXTS = ("code", "vocab")
 
 
-def collect(n: Column, out: str = "_entries") -> Column:
-    """Aggregate of rows (tag, key, code, vocab, n) to the one column that :func:`pack` takes apart."""
+def collect(n: Column, tag: Column, out: str = "_entries") -> Column:
+    """Aggregate of rows (key, code, vocab) with their tags and n to the one column that :func:`pack` takes apart."""
     return F.collect_list(F.when(
         F.col("key").isNotNull() | F.col("code").isNotNull() | F.col("vocab").isNotNull(),
-        F.struct("tag", "key", *_TEXTS, n.cast("bigint").alias("n")))).alias(out)
+        F.struct(tag.alias("tag"), "key", *_TEXTS, n.cast("bigint").alias("n")))).alias(out)
 
 
 def pack(counted: DataFrame, entries: str = "_entries") -> DataFrame:

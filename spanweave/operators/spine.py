@@ -65,8 +65,17 @@ def person_dates(events: DataFrame, days: DataFrame) -> DataFrame:
     )
 
 
+#: Rows are grouped by the places of their tags here, which are narrower than names.
+_TAGS = (*DOMAINS, "visit", "cci")
+
+
+def _tag(name: str) -> Column:
+    return F.lit(_TAGS.index(name)).cast("tinyint")
+
+
 def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> DataFrame:
-    """Row counts per (person, date, tag, key): key is a concept or a visit id.
+    """Row counts per (person, date, tag, key): key is a concept or a visit id, tag a place
+    in ``_TAGS``, null for rows of other domains, which only keep their days.
 
     ``lists`` also tells rows apart by the code and vocabulary of their condition, so that
     one row still stands for each event. Without a person there is nothing to attach a row
@@ -77,7 +86,7 @@ def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> Dat
     concept_rows = events.select(
         "person_id",
         "date",
-        F.col("domain").alias("tag"),
+        F.coalesce(*[F.when(F.col("domain") == t, _tag(t)) for t in _TAGS]).alias("tag"),
         F.when(known, F.col("concept_id").cast("bigint")).alias("key"),
         F.lit(0).alias("in_hospital"),
         *([F.when(coded, F.col("source_code")).cast("string").alias("code"),
@@ -86,7 +95,7 @@ def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> Dat
     visit_rows = days.select(
         "person_id",
         "date",
-        F.lit("visit").alias("tag"),
+        _tag("visit").alias("tag"),
         F.when(known, F.col("visit_occurrence_id").cast("bigint")).alias("key"),
         F.when(known, F.col("is_hospitalized")).otherwise(0).alias("in_hospital"),
     )
@@ -98,7 +107,7 @@ def keyed_counts(events: DataFrame, days: DataFrame, lists: bool = False) -> Dat
 
 
 def _domain_aggregates(domain: str) -> list[Column]:
-    mine = f"tag = '{domain}' AND key IS NOT NULL"
+    mine = f"tag = {_TAGS.index(domain)}Y AND key IS NOT NULL"
     return [
         F.expr(f"sum(CASE WHEN {mine} THEN n ELSE 0 END) AS {domain}_count"),
         F.expr(f"count_if({mine}) AS {domain}_unique_ct"),
@@ -134,7 +143,7 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
             visit_cci.filter(F.col("person_id").isNotNull()).select(
                 "person_id",
                 "date",
-                F.lit("cci").alias("tag"),
+                _tag("cci").alias("tag"),
                 F.lit(None).cast("bigint").alias("key"),
                 F.lit(0).cast("bigint").alias("n"),
                 F.lit(0).alias("in_hospital"),
@@ -143,14 +152,16 @@ def daily(events: DataFrame, days: DataFrame, visit_cci: DataFrame | None = None
             ),
             allowMissingColumns=True,
         )
-    is_visit = (F.col("tag") == "visit") & F.col("key").isNotNull()
+    of_visit = F.col("tag") == _tag("visit")
+    is_visit = of_visit & F.col("key").isNotNull()
+    named = F.array(*[F.lit(t) for t in _TAGS])[F.col("tag").cast("int")]
     counted = rows.repartition("person_id").groupBy("person_id", "date").agg(
         F.count_if(is_visit).alias("visit_count"),
         F.max("in_hospital").alias("hospitalized_flag"),
         *[c for d in DOMAINS for c in _domain_aggregates(d)],
         F.max("cci_total").alias("cci_total"),
         F.bit_or("cci_mask").alias("cci_mask"),
-        *([runs.collect(F.when(F.col("tag") == "visit", 1).otherwise(F.col("n")))] if lists else []),
+        *([runs.collect(F.when(of_visit, 1).otherwise(F.col("n")), named)] if lists else []),
     )
     if lists:  # a concept has a row for each of its codes
         counted = runs.pack(counted).withColumns({f"{d}_unique_ct": runs.distinct(f"{d}_concept_ids") for d in DOMAINS})

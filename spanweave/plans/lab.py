@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from copy import copy
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession
@@ -21,6 +23,16 @@ class Lab:
     def __init__(self, spark: SparkSession, sf_dir: str):
         self.spark = spark
         self.clinical = lens.load(spark, sf_dir)
+        self.label_columns: Sequence[str] | None = None
+
+    def keeping(self, columns: Sequence[str]) -> Lab:
+        """This lab with only some columns of the labelled rows behind their checkpoint, which
+        nothing prunes: what is not read later is neither computed nor written."""
+        other = copy(self)
+        for name in ("stored_labels", "tuned_threshold", "relabels", "relabelled"):
+            other.__dict__.pop(name, None)
+        other.label_columns = columns
+        return other
 
     @cached_property
     def days(self) -> DataFrame:
@@ -107,7 +119,7 @@ class Lab:
     @cached_property
     def stored_labels(self) -> DataFrame:
         """Labelled rows behind a checkpoint, for operators that make several passes."""
-        return settle(self.labelled)
+        return settle(self.labelled.select(*self.label_columns) if self.label_columns else self.labelled)
 
     @cached_property
     def stored_features(self) -> DataFrame:
@@ -122,6 +134,10 @@ METHOD_COLUMNS = {
     "gmm_7": "gmm_7_relabeled",
 }
 
+#: What the methods' labels follow from: the stored ones, and what the tuned rule run reads.
+COMPARED_COLUMNS = ("archetype", "gmm_4_cluster", "gmm_7_cluster", "inpatient_visit_count", "visit_count",
+                    "irregularity_l1", "irregularity_score")
+
 
 def tidy(df: DataFrame, digits: int = 6) -> DataFrame:
     """Round the double columns, so results do not depend on summation order."""

@@ -12,7 +12,7 @@ from ..functions.constants import GMM4_LABELS, GMM7_LABELS, PROFILE_FEATURES
 from ..functions.scalar import cluster_name
 from ..functions.stability import settle
 from ..operators import concordance, quality, rules, timelines
-from .lab import METHOD_COLUMNS, Lab
+from .lab import COMPARED_COLUMNS, METHOD_COLUMNS, Lab
 from .oracle import compose
 from .registry import ORACLES, query
 
@@ -209,7 +209,7 @@ def all_medoids(lab: Lab) -> DataFrame:
 
 
 def _cells(lab: Lab) -> DataFrame:
-    return concordance.contingency(lab.relabelled, METHOD_COLUMNS)
+    return concordance.contingency(lab.keeping(COMPARED_COLUMNS).relabelled, METHOD_COLUMNS)
 
 
 @query("composition", compose("labelled", """

@@ -250,3 +250,19 @@ def test_archetype_edges(spark):
 def test_birth_date_expression_needs_a_year(spark):
     df = spark.createDataFrame([(None, 1, 1)], "y int, m int, d int")
     assert df.select(birth_date("y", "m", "d")).first()[0] is None
+
+
+def test_rows_of_other_domains_keep_their_days(spark):
+    rows = [(1, d("2020-01-01"), domain, 4, None, None, 1, 5) for domain in ("device", None, "drug")]
+    rows += [(1, d("2020-01-02"), "device", 4, "A", "V", 1, 5), (2, d("2020-01-03"), None, 4, None, None, 1, 5)]
+    e, days = spark.createDataFrame(rows, EVENTS), spine.visit_days(visits(spark, [(5, 1, 9201, "2020-01-02", None)]))
+    assert dict(spine.keyed_counts(e, days).dtypes)["tag"] == "tinyint"  # a name would be most of a row
+    for lists in (False, True):
+        got = [tuple(r) for r in spine.daily(e, days, lists=lists).orderBy("person_id", "date").select(
+            "person_id", F.dayofmonth("date"), "visit_count", "hospitalized_flag", "drug_count", "total_data_points").collect()]
+        assert got == [(1, 1, 0, 0, 1, 1), (1, 2, 1, 1, 0, 0), (2, 3, 0, 0, 0, 0)]
+
+
+def test_codes_are_cleaned_of_all_dots(spark):
+    df = spark.createDataFrame([("v56.1.x",), ("..",), ("",), (None,)], "c string")
+    assert [r[0] for r in df.select(comorbidity.clean_code(F.col("c"))).collect()] == ["V561X", "", "", None]

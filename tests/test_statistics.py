@@ -1,4 +1,5 @@
 import math
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -498,3 +499,31 @@ def test_cross_cohort_queries_store_no_days_or_months(spark):
     assert "LogicalRDD" not in plan("cohort_compare")
     stored = [line for line in plan("cohort_stack").splitlines() if "LogicalRDD" in line]
     assert stored and all("condition_count" not in line for line in stored)
+
+
+def test_label_pairs_are_laid_out_from_counted_rows(spark):
+    rows = [("a", 1, "x")] * 5 + [("a", 2, "Unknown")] * 3 + [("b", None, "x")] * 2 + [(None, None, None)] + [("1", 1, "a")]
+    df = spark.createDataFrame(rows, "p string, q int, r string")
+    methods = {"m1": "p", "m2": "q", "m3": "r", "m4": "p"}
+    expected = {}
+    for row in rows:
+        row = dict(zip("pqr", row))
+        for one, two in combinations(methods, 2):
+            a, b = row[methods[one]], row[methods[two]]
+            if None not in (a, b) and "Unknown" not in (a, b):
+                key = (one, two, str(a), str(b))
+                expected[key] = expected.get(key, 0) + 1
+    cells = concordance.contingency(df, methods)
+    assert {tuple(r)[:4]: r["n"] for r in cells.collect()} == expected
+    plan = concordance.contingency(df, methods)._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate" in plan[plan.index("Generate"):]
+
+
+def test_comparisons_store_only_the_columns_they_read(lab):
+    from spanweave.plans.lab import COMPARED_COLUMNS, METHOD_COLUMNS
+
+    wide, narrow = lab.relabelled, lab.keeping(COMPARED_COLUMNS)
+    assert narrow.stored_labels.columns == list(COMPARED_COLUMNS) and "archetype_reason" in lab.stored_labels.columns
+    assert narrow.tuned_threshold == lab.tuned_threshold
+    one, two = [concordance.contingency(df, METHOD_COLUMNS) for df in (wide, narrow.relabelled)]
+    assert one.exceptAll(two).isEmpty() and two.exceptAll(one).isEmpty()
