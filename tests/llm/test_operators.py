@@ -151,6 +151,54 @@ def test_near_vectors_with_repeated_ids(spark):
     assert found == sorted(linked + plain)
 
 
+def test_regions_hold_all_links_that_brute_force_finds(spark, monkeypatch):
+    """Evenly spread vectors, crowds over the borders of regions, lengths apart; regions compared whole,
+    in parts with a core, and by graphs."""
+    draw = np.random.default_rng(14)
+    groups = draw.normal(size=(60, 1, 32)) + 0.13 * draw.normal(size=(60, 6, 32))
+    crowd = draw.normal(size=32) + 0.11 * draw.normal(size=(500, 32))
+    x = np.concatenate([draw.normal(size=(1200, 32)), groups.reshape(-1, 32), crowd])[draw.permutation(2060)]
+    y = np.concatenate([x[:40, :9], x[:40, :9] + 0.01])
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    other = y / np.linalg.norm(y, axis=1, keepdims=True)
+    near = np.zeros((2140, 2140), bool)
+    near[:2060, :2060], near[2060:, 2060:] = unit @ unit.T >= 0.95, other @ other.T >= 0.95
+    label = np.arange(2140)
+    while (new := np.where(near, label, 2140).min(1)).tolist() != label.tolist():
+        label = new
+    rows = [(i, v.tolist()) for i, v in enumerate([*x, *y])]
+    df = spark.createDataFrame([*rows, rows[3]], "vec_id bigint, embedding array<double>")
+    links = near.sum(1) - 1 + near[3]  # row 3 is there twice
+    called, by_graphs = [], near_vectors._met_by_graphs
+    monkeypatch.setattr(near_vectors, "_met_by_graphs", lambda *given: called.append(name) or by_graphs(*given))
+    for name, sizes in {"whole": {}, "parts": {"whole": 150}, "graphs": {"whole": 80, "shard": 15}}.items():
+        found = {r["vec_id"]: r for r in near_vectors.near_vectors(df, **({"region": 50} | sizes)).collect()}
+        count = np.array([found[i]["n_links"] for i in range(2140)])
+        assert (count <= links).all() and (count != links).mean() <= (0.01 if name == "graphs" else 0.002), name
+        assert np.mean([found[i]["component_id"] != label[i] for i in range(2140)]) <= 0.002, name
+    assert called == ["graphs"]
+
+
+def test_near_vectors_compares_a_small_part_of_all_pairs(spark, monkeypatch):
+    """Work grows with the rows, not with their square: each vector reaches few regions."""
+    draw = np.random.default_rng(15)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(draw.normal(size=(6000, 64)))], "vec_id bigint, embedding array<float>")
+    pairs = []
+    settle = near_vectors.settle
+
+    def counted(table, name):
+        made = settle(table, name)
+        if name == "vector-routes":
+            sizes = made.groupBy("region").count().withColumnRenamed("region", "place")
+            reach = made.select(F.explode(F.concat("visits", F.array("region"))).alias("place"))
+            pairs.append(reach.join(sizes, "place").agg(F.sum("count")).first()[0])
+        return made
+
+    monkeypatch.setattr(near_vectors, "settle", counted)
+    assert near_vectors.near_vectors(df, region=60).count() == 6000
+    assert pairs[-1] < 0.12 * 6000**2
+
+
 def test_bpe_round_trip(docs, none):
     import public_tokenizers
 
